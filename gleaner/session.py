@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make sure the context has a checkpoint folder, for iterative fits."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}/{name}"
