@@ -28,7 +28,11 @@ class LogisticModel:
 
 
 def fit_logistic(
-    df: DataFrame, params: LogisticParams, vec: str = "vec", label: str = "label"
+    df: DataFrame,
+    params: LogisticParams,
+    vec: str = "vec",
+    label: str = "label",
+    max_iter: int = 100,
 ) -> LogisticModel:
     """L2 logistic regression with strength ``c``: ``|w|^2 / 2 + c * sum(weight * loss)``.
 
@@ -53,8 +57,8 @@ def fit_logistic(
         regParam=1.0 / (params.c * total),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=200,
-        tol=1e-9,
+        maxIter=max_iter,
+        tol=1e-8,
     ).fit(data)
     data.unpersist()
     return LogisticModel(model)

@@ -43,8 +43,6 @@ def fit_trees(
     model = GBTClassifier(
         featuresCol="gbt_in",
         labelCol="label",
-        probabilityCol="gbt_prob",
-        rawPredictionCol="gbt_raw",
         predictionCol="gbt_class",
         maxIter=rounds,
         stepSize=rate,
@@ -56,4 +54,4 @@ def fit_trees(
         seed=trees.seed,
     ).fit(data)
     data.unpersist()
-    return TreesModel(model)
+    return TreesModel(model.setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))

@@ -71,7 +71,7 @@ def cross_validate(
 
     tasks = [(r, f) for r in range(n_repeats) for f in range(n_splits)]
     with ThreadPool(min(parallel_fits, len(tasks))) as pool:
-        parts = pool.map(inheritable_thread_target(run), tasks)
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)

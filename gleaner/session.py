@@ -7,12 +7,33 @@ and later passes read only the columns they need.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Not needed where every executor has it installed or ``--py-files`` names it.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='gleaner-')}/gleaner", "zip", package.parent, package.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def local_session(cores: str = "8", app: str = "gleaner") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
@@ -28,6 +49,7 @@ def local_session(cores: str = "8", app: str = "gleaner") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
