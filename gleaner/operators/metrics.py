@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import ranks, vectors
+from gleaner.session import staged
 
 SWEEP_POINTS = 101
 RATIO_BASELINE = 0.001
@@ -39,16 +40,18 @@ def auc(
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counting half; null with a single class.
 
-    Mann-Whitney over counts per distinct score. Scores are cut into quantile buckets, so
-    the running count of negatives is taken inside a bucket and carried across buckets by
-    their totals; no task sees the whole order.
+    Mann-Whitney over counts per distinct score. The counts are written once, so ``df`` is
+    computed once. Scores are cut into quantile buckets: the running count of negatives
+    is taken inside a bucket and carried across buckets by their totals, and no task sees
+    the whole order.
     """
     by = list(by)
-    scored = df.select(*by, F.col(p).cast("double").alias("score"), F.col(y).alias("truth"))
-    scored = ranks.order_buckets(scored.where(F.col("score").isNotNull()), "score", n_buckets)
-    per_score = scored.groupBy(*by, "bucket", "score").agg(
-        F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
+    per_score = (
+        df.where(F.col(p).isNotNull())
+        .groupBy(*by, F.col(p).cast("double").alias("score"))
+        .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
     )
+    per_score = ranks.order_buckets(staged(per_score, "score_counts"), "score", n_buckets)
 
     def below(*partition: str, order: str) -> Column:
         earlier = (

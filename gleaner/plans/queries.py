@@ -28,7 +28,7 @@ from gleaner.operators.ensemble import MEMBERS, fit_ensemble, weighted_score
 from gleaner.operators.params import DEFAULT, EnsembleParams, for_sample_size
 from gleaner.plans.apply import dedup_routed, score_and_route
 from gleaner.plans.train import fit_labeled, retrain_and_rescore, score_items
-from gleaner.session import new_path, staged
+from gleaner.session import new_path, spread, staged
 from gleaner.sources import items as items_source
 from gleaner.sources import models as models_source
 from gleaner.sources import store
@@ -52,6 +52,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "sample_id")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the documents that featurizers read, on all cores."""
+    return spread(documents(spark, sf_dir).select("sample_id", "text", "n_chars", "lang"))
+
+
+def labeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labeled documents: joined first, so that only they are featurized."""
+    return texts(spark, sf_dir).join(labels(spark, sf_dir), "sample_id")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("sample_id"), F.col("quality").cast("double").alias("label")
@@ -71,15 +81,18 @@ def long_form(df: DataFrame, vec: str = "vec", value: str = "value") -> DataFram
     )
 
 
-def toy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def toy_scores(items: DataFrame, *keep: str) -> DataFrame:
     """Three fixed scores of the shape of every document, and their weighted mean."""
-    shape = featurize.featurize(documents(spark, sf_dir), "shape8").select("sample_id", "vec")
+    shape = items.select(
+        "sample_id", *keep, featurize.feature_column("shape8").alias("vec")
+    )
 
     def clipped(value: Column) -> Column:
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6)
 
     scores = shape.select(
         "sample_id",
+        *keep,
         clipped(F.element_at("vec", 7)).alias("p_knn"),
         clipped(1.0 - 5.0 * F.element_at("vec", 3)).alias("p_lr"),
         clipped(2.0 - 2.4 * F.element_at("vec", 8)).alias("p_gbt"),
@@ -87,8 +100,12 @@ def toy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("p", weighted_score(DEFAULT.weights))
 
 
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toy_scores(texts(spark, sf_dir))
+
+
 def labeled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toy_scores(spark, sf_dir).join(labels(spark, sf_dir), "sample_id")
+    return toy_scores(labeled_documents(spark, sf_dir), "label")
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -101,12 +118,12 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def doc_letter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = featurize.featurize(documents(spark, sf_dir), "letters27")
+    features = featurize.featurize(texts(spark, sf_dir), "letters27")
     return long_form(features.withColumn("vec", vectors.l2_normalize("vec")))
 
 
 def doc_shape_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(featurize.featurize(documents(spark, sf_dir), "shape8"))
+    return long_form(featurize.featurize(texts(spark, sf_dir), "shape8"))
 
 
 def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +143,7 @@ def id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_store_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left to featurize when the labeled ones are in the store already."""
-    docs = documents(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     cached = store.FeatureStore(spark, new_path(spark, "features"), id_type="bigint")
     featurize.extract_features(
         docs.join(labels(spark, sf_dir), "sample_id", "left_semi"), ["shape8"], cached
@@ -136,7 +153,7 @@ def feature_store_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_store_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all documents, computed in two visits to one store."""
-    docs = documents(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     cached = store.FeatureStore(spark, new_path(spark, "features"), id_type="bigint")
     labeled = docs.join(labels(spark, sf_dir), "sample_id", "left_semi")
     featurize.extract_features(labeled, ["shape8"], cached)
@@ -173,7 +190,7 @@ def width_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letter_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.direct_features(
-        documents(spark, sf_dir), ["letters27"], keep=["n_chars", "lang"]
+        texts(spark, sf_dir), ["letters27"], keep=["n_chars", "lang"]
     )
 
 
@@ -212,7 +229,7 @@ def near_dup_two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dup_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-scored copies inside each route."""
-    routed = routing.route_items(toy_scores(spark, sf_dir), 0.7, 0.6)
+    routed = routing.route_items(document_scores(spark, sf_dir), 0.7, 0.6)
     kept = dedup_routed(routed, letter_vectors(spark, sf_dir), threshold=TEXT_THRESHOLD)
     return kept.select("sample_id", "route")
 
@@ -278,7 +295,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adaptive_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation, prediction and session histograms, bins by number of rows."""
-    scores = toy_scores(spark, sf_dir)
+    scores = document_scores(spark, sf_dir)
     known = labels(spark, sf_dir)
     judged = scores.join(known, "sample_id")
     pool = scores.join(known, "sample_id", "left").withColumn(
@@ -299,7 +316,7 @@ def adaptive_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tail_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tails = metrics.tail_fractions(toy_scores(spark, sf_dir))
+    tails = metrics.tail_fractions(document_scores(spark, sf_dir))
     return rounded(tails, "share_high", "share_low")
 
 
@@ -309,7 +326,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
-        labeling.sort_by_score(toy_scores(spark, sf_dir).select("sample_id", "p")), "p"
+        labeling.sort_by_score(document_scores(spark, sf_dir).select("sample_id", "p")), "p"
     )
 
 
@@ -318,19 +335,19 @@ def sort_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping thresholds: items from 0.6 to 0.7 take both routes."""
-    routed = routing.route_items(toy_scores(spark, sf_dir), positive=0.6, negative=0.7)
+    routed = routing.route_items(document_scores(spark, sf_dir), positive=0.6, negative=0.7)
     return rounded(routed.select("sample_id", "p", "route"), "p")
 
 
 def route_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = toy_scores(spark, sf_dir).select("sample_id", "p")
+    scores = document_scores(spark, sf_dir).select("sample_id", "p")
     left = routing.residual(scores, routing.route_items(scores, positive=0.8, negative=0.6))
     return rounded(left, "p")
 
 
 def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = routing.route_items(toy_scores(spark, sf_dir), positive=0.8, negative=0.6)
-    features = featurize.featurize(documents(spark, sf_dir), "shape8").select("sample_id", "vec")
+    routed = routing.route_items(document_scores(spark, sf_dir), positive=0.8, negative=0.6)
+    features = featurize.featurize(texts(spark, sf_dir), "shape8").select("sample_id", "vec")
     moved = routing.routed_features(routed, features)
     return moved.select(
         "dest_id", "route", F.round(F.element_at("vec", 6), 6).alias("log_length")
@@ -385,7 +402,7 @@ def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncertainty_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = labeling.uncertainty_sample(
-        toy_scores(spark, sf_dir).select("sample_id", "p"), labels(spark, sf_dir), 50, 0.35, 0.65, 7
+        document_scores(spark, sf_dir).select("sample_id", "p"), labels(spark, sf_dir), 50, 0.35, 0.65, 7
     )
     return rounded(drawn.select("sample_id", "p", "weight"), "p", "weight")
 
@@ -412,7 +429,7 @@ def label_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = labeling.first_labels(label_events(spark, sf_dir))
-    found = labeling.session_eval(given, toy_scores(spark, sf_dir))
+    found = labeling.session_eval(given, document_scores(spark, sf_dir))
     return rounded(found, "accuracy", "auc")
 
 
@@ -440,12 +457,12 @@ def multiclass_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both document models side by side, written once for the several passes of a fit."""
-    return staged(collect.direct_features(documents(spark, sf_dir), DOCUMENT_MODELS), "vectors")
+    return staged(collect.direct_features(texts(spark, sf_dir), DOCUMENT_MODELS), "vectors")
 
 
 def labeled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of the labeled documents only."""
-    known = documents(spark, sf_dir).join(labels(spark, sf_dir), "sample_id")
+    known = labeled_documents(spark, sf_dir)
     return staged(collect.direct_features(known, DOCUMENT_MODELS, keep=["label"]), "labeled")
 
 
@@ -513,7 +530,7 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the labeled documents, score and route the others, count the routes."""
     known = labels(spark, sf_dir)
     model = fit_labeled(labeled_vectors(spark, sf_dir), QUERY_PARAMS, DOCUMENT_MODELS).model
-    pool = documents(spark, sf_dir).join(known, "sample_id", "left_anti")
+    pool = texts(spark, sf_dir).join(known, "sample_id", "left_anti")
     pool_vectors = collect.direct_features(pool, DOCUMENT_MODELS)
     routed, _ = score_and_route(model, pool_vectors)
     return routed.groupBy("route").agg(F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("mean_p"))

@@ -80,6 +80,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}/{name}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that was read in fewer pieces than there are cores.
+
+    Large tables come in many pieces and stay as they are, without a shuffle. Meant for
+    plain scans: asking for the number of partitions would run the stages of a join.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession

@@ -51,11 +51,13 @@ def test_letter_counts():
     assert sliced.sum() == 3
 
 
-def test_letter_counts_in_slices(monkeypatch):
-    monkeypatch.setattr(text, "_SLICE_BYTES", 7)
-    texts = ["abc" * i for i in range(12)] + ["", "q"]
-    counts = text.letter_counts(pa.array(texts))
-    assert counts.sum(1).tolist() == [len(t) for t in texts]
+def test_shape_of_odd_texts():
+    """Rare control characters do not part words; multi-byte characters count once."""
+    texts = ["a\x0bb a\x0bb c", "äö äö\tß", "", None]
+    got = text.shape_statistics(pa.array(texts), pa.array([9, 7, 0, 0]))
+    np.testing.assert_allclose(got[0, 6:], [2 / 3, 7 / 3 / 10])
+    np.testing.assert_allclose(got[1, 6:], [2 / 3, 5 / 3 / 10])
+    assert got[2].tolist() == [0.0] * 8 and got[3].tolist() == [0.0] * 8
 
 
 def test_shape8(spark):
