@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.params import KnnParams
+from gleaner.session import packed
 
 # Templates up to this size are broadcast in one piece; more come in several pieces.
 _BROADCAST_BYTES = 64 << 20
 _MATRIX_CELLS = 4 << 20
+# Products a task of one k-means step should take.
+_PRODUCTS_PER_TASK = 2e7
 
 
 def nearest(x: np.ndarray, templates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +255,9 @@ def fit_knn(
     n_clusters = max(
         1, min(params.n_rows, int(0.8 * params.minibatch_size_kmeans), int(0.8 * n))
     )
-    clusters = KMeans(k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=30).fit(reduced)
+    kmeans = KMeans(k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=30)
+    work = float(n) * n_clusters * n_components
+    clusters = kmeans.fit(packed(reduced, work, _PRODUCTS_PER_TASK))
     spread = reduced.agg(Summarizer.variance(F.col("knn_z"))).first()[0].toArray().sum() * (n - 1)
     inertia = clusters.summary.trainingCost
 

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.params import LogisticParams
+from gleaner.session import packed
+
+# Vector elements a task of one optimiser step should hold.
+_NUMBERS_PER_TASK = 2e6
 
 
 @dataclass
@@ -46,7 +50,11 @@ def fit_logistic(
         F.col(label).cast("double").alias("label"),
         weight.alias("weight"),
     ).persist()
-    total = data.agg(F.sum("weight")).first()[0]
+    size = data.agg(
+        F.sum("weight").alias("weight"),
+        F.count("*").alias("n"),
+        F.max(F.size(vector_to_array("lr_in"))).alias("width"),
+    ).first()
     model = LogisticRegression(
         featuresCol="lr_in",
         labelCol="label",
@@ -54,12 +62,12 @@ def fit_logistic(
         probabilityCol="lr_prob",
         rawPredictionCol="lr_raw",
         predictionCol="lr_class",
-        regParam=1.0 / (params.c * total),
+        regParam=1.0 / (params.c * size.weight),
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
         tol=1e-8,
-    ).fit(data)
+    ).fit(packed(data, size.n * size.width, _NUMBERS_PER_TASK))
     data.unpersist()
     return LogisticModel(model)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATIO_TARGET = 30
@@ -13,32 +13,60 @@ POSITIVE_FLOOR = 0.65
 NEGATIVE_CEILING = 0.35
 
 
-def curve_peaks(
-    curves: DataFrame, ratio: str, target: float = RATIO_TARGET, by: Sequence[str] = ()
-) -> DataFrame:
-    """Interior local maxima ``k`` of ``-abs(ratio - target)`` per group.
+def peak_positions(heights: Column) -> Column:
+    """Zero-based positions of the interior local maxima of an array, in order.
 
-    A flat top gives its middle point (rounded down); a curve's ends are never peaks.
-    Windows run over one curve, at most as many rows as the sweep has thresholds.
+    One walk over the array: a rise starts a top, a fall after a rise ends it. A flat top
+    gives its middle (rounded down); the ends of the array are never peaks.
     """
-    by = list(by)
-    along = Window.partitionBy(*by, "curve").orderBy("k")
-    heights = curves.select(
-        *by, F.lit(ratio).alias("curve"), "k", (-F.abs(F.col(ratio) - target)).alias("height")
-    )
-    changed = F.lag("height").over(along).eqNullSafe(F.col("height"))
-    runs = (
-        heights.withColumn("starts", (~changed).cast("int"))
-        .withColumn("run", F.sum("starts").over(along))
-        .groupBy(*by, "curve", "run")
-        .agg(F.min("k").alias("first"), F.max("k").alias("last"), F.first("height").alias("height"))
-    )
-    across = Window.partitionBy(*by, "curve").orderBy("run")
-    neighbours = runs.withColumn("left", F.lag("height").over(across)).withColumn(
-        "right", F.lead("height").over(across)
+    nothing = F.struct(
+        F.lit(None).cast("double").alias("previous"),
+        F.lit(0).alias("at"),
+        F.lit(0).alias("start"),
+        F.lit(False).alias("rising"),
+        F.array().cast("array<int>").alias("peaks"),
     )
-    return neighbours.where("left < height and right < height").select(
-        *by, "curve", F.floor((F.col("first") + F.col("last")) / 2).cast("int").alias("k")
+
+    def step(state: Column, height: Column) -> Column:
+        rises = F.coalesce(height > state.previous, F.lit(False))
+        falls = F.coalesce(height < state.previous, F.lit(False))
+        middle = F.floor((state.start + state["at"] - 1) / 2).cast("int")
+        return F.struct(
+            height.alias("previous"),
+            (state["at"] + 1).alias("at"),
+            F.when(rises, state["at"]).otherwise(state.start).alias("start"),
+            F.when(rises, F.lit(True)).when(falls, F.lit(False)).otherwise(state.rising).alias(
+                "rising"
+            ),
+            F.when(falls & state.rising, F.concat(state.peaks, F.array(middle)))
+            .otherwise(state.peaks)
+            .alias("peaks"),
+        )
+
+    return F.aggregate(heights, nothing, step, lambda state: state.peaks)
+
+
+def _with_peaks(
+    curves: DataFrame, ratios: Sequence[str], target: float, by: Sequence[str]
+) -> DataFrame:
+    """One row per curve: its points in order and the peaks of each named ratio.
+
+    A curve has as many points as the sweep has thresholds, so it fits one row.
+    """
+    points = F.array_sort(F.collect_list(F.struct("k", "t", *ratios)))
+    gathered = curves.groupBy(*by).agg(points.alias("points"))
+    for ratio in ratios:
+        heights = F.transform("points", lambda point: -F.abs(point[ratio] - target))
+        gathered = gathered.withColumn(f"{ratio}_peaks", peak_positions(heights))
+    return gathered
+
+
+def curve_peaks(
+    curves: DataFrame, ratio: str, target: float = RATIO_TARGET, by: Sequence[str] = ()
+) -> DataFrame:
+    """Interior local maxima ``k`` of ``-abs(ratio - target)`` per group."""
+    return _with_peaks(curves, [ratio], target, by).select(
+        *by, F.explode(f"{ratio}_peaks").alias("k")
     )
 
 
@@ -49,21 +77,17 @@ def ratio_peaks(
 
     The thresholds ``t`` at these peaks are null where a curve has none.
     """
-    by = list(by)
-    peaks = curve_peaks(curves, "positives_ratio", target, by).unionByName(
-        curve_peaks(curves, "negatives_ratio", target, by)
-    )
-    chosen = peaks.groupBy(*by, "curve").agg(
-        F.when(F.col("curve") == "positives_ratio", F.min("k")).otherwise(F.max("k")).alias("k")
-    )
-    marked = curves.select(*by, "k", "t").join(chosen, [*by, "k"], "left")
+    found = _with_peaks(curves, ["positives_ratio", "negatives_ratio"], target, by)
 
-    def threshold(curve: str) -> Column:
-        return F.max(F.when(F.col("curve") == curve, F.col("t")))
+    def threshold(position: Column) -> Column:
+        return F.try_element_at("points", position + 1)["t"]
 
-    return marked.groupBy(*by).agg(
-        threshold("positives_ratio").alias("positive_threshold"),
-        threshold("negatives_ratio").alias("negative_threshold"),
+    first = F.try_element_at("positives_ratio_peaks", F.lit(1))
+    last = F.try_element_at("negatives_ratio_peaks", F.lit(-1))
+    return found.select(
+        *by,
+        threshold(first).alias("positive_threshold"),
+        threshold(last).alias("negative_threshold"),
     )
 
 

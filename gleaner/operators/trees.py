@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.params import EnsembleParams, boosting_rounds
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import ensure_checkpoint_dir, packed
 
 # Long boosting runs cut their lineage every so many trees.
 _CHECKPOINT_EVERY = 50
+# Vector elements a task of one tree level should hold.
+_NUMBERS_PER_TASK = 5e5
 
 
 @dataclass
@@ -40,6 +42,9 @@ def fit_trees(
     data = df.select(
         array_to_vector(vec).alias("gbt_in"), F.col(label).cast("double").alias("label")
     ).persist()
+    size = data.agg(
+        F.count("*").alias("n"), F.max(F.size(vector_to_array("gbt_in"))).alias("width")
+    ).first()
     model = GBTClassifier(
         featuresCol="gbt_in",
         labelCol="label",
@@ -52,6 +57,6 @@ def fit_trees(
         featureSubsetStrategy=str(trees.column_sample),
         checkpointInterval=_CHECKPOINT_EVERY,
         seed=trees.seed,
-    ).fit(data)
+    ).fit(packed(data, size.n * size.width, _NUMBERS_PER_TASK))
     data.unpersist()
     return TreesModel(model.setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))

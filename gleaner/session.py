@@ -7,6 +7,7 @@ and later passes read only the columns they need.
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 import uuid
@@ -90,6 +91,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def packed(df: DataFrame, work: float, work_per_task: float) -> DataFrame:
+    """A cached table in as many partitions as its work asks for, never more than it has.
+
+    Iterative fits run a job per step: on a few thousand labels, tasks cost more than the
+    arithmetic in them. ``work`` and ``work_per_task`` share any unit.
+    """
+    return df.coalesce(max(1, math.ceil(work / work_per_task)))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
     spark = df.sparkSession
