@@ -15,9 +15,11 @@ similar items lie within a fixed radius and the join is a metric range join:
 3. In every cell a few of the latest rows act as witnesses. Rows similar to a later
    witness are settled: they are dropped and only serve as partners from then on. This
    takes dense groups of near-copies out of the quadratic part.
-4. Cells are cut into tiles by a hash of the vector, about ``tile_rows`` rows a side; one
+4. Cells are cut into tiles by a hash of the vector, about ``tile_rows`` rows each; one
    task compares one pair of tiles with a matrix product and emits dropped ids, never
    pairs. Two tiles of settled rows are not compared.
+
+The number of pivots balances rows moved against products, estimated on a sample.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import to_list_array
 from gleaner.session import staged
 
 # Pivots and witnesses are broadcast: their number follows from this many bytes.
@@ -43,6 +47,11 @@ _SMALLEST_TILE = 2048
 _WITNESSES_PER_CELL = 8
 # Cells of a dense matrix a task may hold at a time.
 _MATRIX_CELLS = 4 << 20
+# Cells of a block of products; small enough to stay in a core's cache.
+_BLOCK_CELLS = 1 << 19
+_SAMPLE_ROWS = 2048
+# Measured cost of moving one byte to a comparison, in multiplications.
+_PRODUCTS_PER_BYTE = 40
 # Slack for rounding in distances; it only widens the candidate set.
 _SLACK = 1e-6
 
@@ -50,10 +59,11 @@ _SLACK = 1e-6
 class _Layout:
     """Pivots, witnesses and tile counts as every task needs them (read only there)."""
 
-    def __init__(self, pivots: np.ndarray, radius: float, limit: float):
+    def __init__(self, pivots: np.ndarray, radius: float, limit: float, n_models: int = 1):
         self.pivots = pivots
         self.radius = radius
         self.limit = np.float32(limit)
+        self.n_models = n_models
         self.cell_radius = np.full(len(pivots), np.inf)
         self.witness_vecs: dict[int, np.ndarray] = {}
         self.witness_keys: dict[int, list[tuple[tuple, tuple]]] = {}
@@ -84,45 +94,51 @@ class _Layout:
     def similar(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (left @ right.T).astype(np.float32) > self.limit
 
-    def settled(self, x: np.ndarray, home: np.ndarray, keys: list[tuple]) -> np.ndarray:
+    def similar_pairs(
+        self, x: np.ndarray, left: np.ndarray, right: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Similar pairs of two sets of rows, block by block.
+
+        A product in single precision, loosened by its largest possible error, finds the
+        candidates; these are decided in double precision.
+        """
+        low = x.astype(np.float32)
+        others = np.ascontiguousarray(low[right].T)
+        error = np.float32((x.shape[1] + 4) * 2.0**-23 * self.n_models)
+        step = max(1, _BLOCK_CELLS // max(1, len(right)))
+        for start in range(0, len(left), step):
+            part = left[start : start + step]
+            near = low[part] @ others > self.limit - error
+            n_near = np.count_nonzero(near)
+            if not n_near:
+                continue
+            if n_near * 16 > near.size:
+                i, j = np.nonzero(self.similar(x[part], x[right]))
+                yield part[i], right[j]
+            else:
+                i, j = np.nonzero(near)
+                i, j = part[i], right[j]
+                exact = np.einsum("ij,ij->i", x[i], x[j]).astype(np.float32) > self.limit
+                yield i[exact], j[exact]
+
+    def settled(self, x: np.ndarray, home: np.ndarray, rows: _Rows) -> np.ndarray:
         """Rows similar to a later witness of their home cell (and of their group)."""
         settled = np.zeros(len(x), dtype=bool)
         for cell in np.unique(home):
             witnesses = self.witness_keys.get(cell)
             if not witnesses:
                 continue
-            rows = np.flatnonzero(home == cell)
-            hits = self.similar(x[rows], self.witness_vecs[cell])
-            for at, witness in zip(*np.nonzero(hits)):
-                group, order = keys[rows[at]]
-                w_group, w_order = witnesses[witness]
-                if w_group == group and w_order > order:
-                    settled[rows[at]] = True
+            members = np.flatnonzero(home == cell)
+            hits = self.similar(x[members], self.witness_vecs[cell])
+            close = members[hits.any(1)]
+            for at, hit, (group, order) in zip(close, hits[hits.any(1)], rows.keys(close)):
+                settled[at] = any(
+                    witnesses[w][0] == group and witnesses[w][1] > order
+                    for w in np.flatnonzero(hit)
+                )
         return settled
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy())
-
-
-def _pieces(batches: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Cut batches so that rows x ``width`` numbers stay within a task's memory."""
-    step = max(1, _MATRIX_CELLS // max(1, width))
-    for frame in batches:
-        for start in range(0, len(frame), step):
-            yield frame.iloc[start : start + step].reset_index(drop=True)
-
-
-def _located(
-    batches: Iterable[pd.DataFrame], layout: _Layout
-) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches with their vectors, squared pivot distances and home cells."""
-    for frame in _pieces(batches, max(layout.pivots.shape)):
-        x = _stack(frame["vec"])
-        d2 = layout.squared_distances(x)
-        yield frame, x, d2, d2.argmin(1)
-
-
 class _Columns:
     """The columns a comparison carries: group, order (id last) and their types."""
 
@@ -136,15 +152,72 @@ class _Columns:
     def ddl(self, names: Sequence[str]) -> str:
         return ", ".join(f"`{n}` {self.types[n]}" for n in names)
 
-    def keys(self, frame: pd.DataFrame) -> list[tuple]:
-        """``(group values, order values)`` of every row."""
-        order = zip(*[frame[n] for n in self.order])
-        group = zip(*[frame[n] for n in self.group]) if self.group else [()] * len(frame)
-        return list(zip(group, order))
 
-    def ranks(self, frame: pd.DataFrame) -> np.ndarray:
-        """Position of every row in the order; several copies of one row share it."""
-        return frame.groupby(self.order, sort=True).ngroup().to_numpy()
+def _matrix(vecs: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """An Arrow list column of equally long vectors as a dense matrix."""
+    if isinstance(vecs, pa.ChunkedArray):
+        vecs = vecs.combine_chunks()
+    flat = vecs.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vecs), -1)
+
+
+def _packed_rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow binary column: shuffled as whole blocks of bytes."""
+    n, row_bytes = len(x), x.shape[1] * x.itemsize
+    offsets = pa.py_buffer((np.arange(n + 1) * row_bytes).astype(np.int32))
+    data = pa.py_buffer(np.ascontiguousarray(x))
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, data])
+
+
+def _unpacked_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Inverse of ``_packed_rows``."""
+    rows = column.cast(pa.large_binary()).combine_chunks()
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.chunk(0)
+    offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(np.float64).reshape(len(rows), -1)
+
+
+class _Rows:
+    """A piece of an Arrow batch with its vectors."""
+
+    def __init__(self, batch: pa.RecordBatch, columns: _Columns):
+        self.batch = batch
+        self.columns = columns
+        self.x = _matrix(batch.column("vec"))
+
+    def __len__(self) -> int:
+        return self.batch.num_rows
+
+    def vec_keys(self) -> np.ndarray:
+        return self.batch.column("vec_key").to_numpy(zero_copy_only=False)
+
+    def keys(self, at: np.ndarray) -> list[tuple[tuple, tuple]]:
+        """``(group values, order values)`` of the rows at some positions."""
+        part = self.batch.take(pa.array(at))
+
+        def values(names: list[str]) -> list[tuple]:
+            if not names:
+                return [()] * len(at)
+            return list(zip(*[part.column(n).to_pylist() for n in names]))
+
+        return list(zip(values(self.columns.group), values(self.columns.order)))
+
+
+def _located(
+    batches: Iterable[pa.RecordBatch], layout: _Layout, columns: _Columns
+) -> Iterator[tuple[_Rows, np.ndarray, np.ndarray]]:
+    """Pieces of batches with squared pivot distances and home cells.
+
+    Pieces are small enough for a matrix of rows x pivots.
+    """
+    step = max(1, _MATRIX_CELLS // max(layout.pivots.shape))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            rows = _Rows(batch.slice(start, step), columns)
+            d2 = layout.squared_distances(rows.x)
+            yield rows, d2, d2.argmin(1)
 
 
 def _distinct_rows(df: DataFrame, vec: str, columns: _Columns) -> DataFrame:
@@ -196,21 +269,23 @@ def survivors(
         return without
     row_bytes = 8 * size.width
     if tile_rows is None:
-        sides = math.ceil(math.sqrt(4 * df.sparkSession.sparkContext.defaultParallelism))
-        largest = max(1, _TILE_BYTES // row_bytes)
-        tile_rows = min(largest, max(_SMALLEST_TILE, math.ceil(size.n / sides)))
+        share = size.n // (4 * df.sparkSession.sparkContext.defaultParallelism)
+        tile_rows = min(max(1, _TILE_BYTES // row_bytes), max(_SMALLEST_TILE, share))
+    pivots_given = n_pivots is not None
     if n_pivots is None:
-        n_pivots = 1 if size.n <= tile_rows else math.ceil(size.n / _SMALLEST_TILE)
+        n_pivots = 1 if size.n <= _SMALLEST_TILE else math.ceil(size.n / _SMALLEST_TILE)
     budget = max(1, _BROADCAST_BYTES // (row_bytes * (1 + _WITNESSES_PER_CELL)))
     n_pivots = min(n_pivots, budget, _MAX_PIVOTS)
 
     radius = math.sqrt(max(0.0, 2 * (n_models - limit)) + _SLACK)
-    # Smallest hashes first: a uniform sample of the distinct vectors.
-    sample = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(n_pivots).select("vec")
-    pivots = np.unique(np.array([r.vec for r in sample.collect()]), axis=0)
-    layout = _Layout(pivots, radius, limit)
-    if size.n <= tile_rows and len(pivots) == 1:
-        layout.tiles = {0: (1, 0, 1, 0)}
+    # Smallest hashes first: a uniform sample of the distinct vectors, pivots in front.
+    sample = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(n_pivots + _SAMPLE_ROWS)
+    points = np.array([r.vec for r in sample.select("vec").collect()])
+    if not pivots_given:
+        n_pivots = _pivot_count(points, n_pivots, radius, size.n, tile_rows)
+    layout = _Layout(points[:n_pivots], radius, limit, n_models)
+    if size.n <= tile_rows and len(layout.pivots) == 1:
+        layout.tiles = {0: (1, 0, 0, 0)}
     else:
         _choose_witnesses(rows, layout, columns)
         _choose_tiles(rows, layout, columns, tile_rows)
@@ -219,6 +294,37 @@ def survivors(
     return kept.unionByName(without)
 
 
+def _pivot_count(
+    points: np.ndarray, most: int, radius: float, n_rows: int, tile_rows: int
+) -> int:
+    """The number of pivots, up to ``most``, with the least estimated work.
+
+    More pivots mean smaller cells but more visits; which of the two wins depends on how
+    clustered the vectors are, so both are measured on the sample.
+    """
+    rows = points[-_SAMPLE_ROWS:]
+    candidates = sorted({*(4**i for i in range(12) if 4**i < most), most})
+    best, least = 1, math.inf
+    for n_pivots in candidates:
+        layout = _Layout(points[:n_pivots], radius, 0.0)
+        home, visits = np.zeros(n_pivots), np.zeros(n_pivots)
+        step = max(1, _MATRIX_CELLS // n_pivots)
+        for start in range(0, len(rows), step):
+            d2 = layout.squared_distances(rows[start : start + step])
+            nearest = d2.argmin(1)
+            home += np.bincount(nearest, minlength=n_pivots)
+            visits += layout.visits(d2, nearest).sum(0)
+        home, visits = home * n_rows / len(rows), visits * n_rows / len(rows)
+        home_tiles, visit_tiles = np.ceil(home / tile_rows), np.ceil(visits / tile_rows)
+        width = points.shape[1]
+        moved = home * (home_tiles + visit_tiles) + visits * home_tiles
+        products = home * (home / 2 + visits) * width
+        work = (moved * 8 * width * _PRODUCTS_PER_BYTE + products).sum()
+        if work < least:
+            best, least = n_pivots, work
+    return best
+
+
 def _share(rows: DataFrame, layout: _Layout) -> Broadcast:
     return rows.sparkSession.sparkContext.broadcast(layout)
 
@@ -231,34 +337,37 @@ def _choose_witnesses(rows: DataFrame, layout: _Layout, columns: _Columns) -> No
     """
     shared = _share(rows, layout)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        found: dict[tuple[int, int], list] = {}
-        for frame, x, d2, home in _located(batches, here):
-            reach = np.sqrt(d2[np.arange(len(d2)), home])
-            salts = frame["vec_key"].to_numpy() % _WITNESSES_PER_CELL
-            keys = columns.keys(frame)
-            for i in range(len(frame)):
-                entry = found.setdefault((int(home[i]), int(salts[i])), [0.0, None, None])
-                entry[0] = max(entry[0], reach[i])
-                if entry[1] is None or keys[i][1] > entry[1][1]:
-                    entry[1], entry[2] = keys[i], x[i]
+        found: dict[tuple[int, int], tuple] = {}
+        reach = np.zeros(len(here.pivots))
+        for piece, d2, home in _located(batches, here, columns):
+            np.maximum.at(reach, home, np.sqrt(d2[np.arange(len(d2)), home]))
+            salts = piece.vec_keys() % _WITNESSES_PER_CELL
+            # The latest row of every cell and class of this piece comes last.
+            order = [(n, "ascending") for n in columns.order]
+            by_order = pc.sort_indices(piece.batch, sort_keys=order).to_numpy()
+            last = {(home[i], salts[i]): i for i in by_order}
+            at = np.fromiter(last.values(), dtype=np.int64)
+            for spot, i, key in zip(last, at, piece.keys(at)):
+                if spot not in found or key[1] > found[spot][0][1]:
+                    found[spot] = (key, piece.x[i].copy())
         if found:
-            out = pd.DataFrame(
-                {
-                    "home": [h for h, _ in found],
-                    "salt": [s for _, s in found],
-                    "reach": [e[0] for e in found.values()],
-                    "vec": [e[2] for e in found.values()],
-                }
-            )
-            for n, name in enumerate(columns.order):
-                out[name] = [e[1][1][n] for e in found.values()]
-            for n, name in enumerate(columns.group):
-                out[name] = [e[1][0][n] for e in found.values()]
-            yield out
-
-    partial = rows.mapInPandas(
+            names = [*columns.group, *columns.order]
+            values = list(zip(*[(*key[0], *key[1]) for key, _ in found.values()]))
+            homes = [int(h) for h, _ in found]
+            data = {
+                "home": pa.array(homes, pa.int32()),
+                "salt": pa.array([int(s) for _, s in found], pa.int32()),
+                "reach": pa.array(reach[homes]),
+                "vec": to_list_array(np.stack([vec for _, vec in found.values()])),
+            }
+            for name in columns.all:
+                kind = piece.batch.schema.field(name).type
+                data[name] = pa.array(values[names.index(name)], kind)
+            yield pa.RecordBatch.from_pydict(data)
+
+    partial = rows.mapInArrow(
         best, f"home int, salt int, reach double, vec array<double>, {columns.ddl(columns.all)}"
     )
     latest = F.struct(*columns.order)
@@ -283,24 +392,25 @@ def _choose_witnesses(rows: DataFrame, layout: _Layout, columns: _Columns) -> No
 def _choose_tiles(
     rows: DataFrame, layout: _Layout, columns: _Columns, tile_rows: int
 ) -> None:
-    """Tile counts per cell, from the numbers of open and settled home rows and visitors."""
+    """Tile counts per cell: open and settled home rows, open and settled visitors."""
     shared = _share(rows, layout)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
         totals = np.zeros((len(here.pivots), 4), dtype=np.int64)
-        for frame, x, d2, home in _located(batches, here):
-            settled = here.settled(x, home, columns.keys(frame))
+        for piece, d2, home in _located(batches, here, columns):
+            settled = here.settled(piece.x, home, piece)
             visits = here.visits(d2, home)
             for flag, column in ((~settled, 0), (settled, 1)):
-                own = np.bincount(home[flag], minlength=len(totals))
-                totals[:, column] += own
-                totals[:, column + 2] += own + visits[flag].sum(0)
+                totals[:, column] += np.bincount(home[flag], minlength=len(totals))
+                totals[:, column + 2] += visits[flag].sum(0)
         cells = np.flatnonzero(totals.sum(1))
-        yield pd.DataFrame({"cell": cells, **{f"n{i}": totals[cells, i] for i in range(4)}})
+        yield pa.RecordBatch.from_pydict(
+            {"cell": cells, **{f"n{i}": totals[cells, i] for i in range(4)}}
+        )
 
     sizes = [f"n{i}" for i in range(4)]
-    counts = rows.select("vec", *columns.all).mapInPandas(
+    counts = rows.select("vec", *columns.all).mapInArrow(
         count, "cell long, n0 long, n1 long, n2 long, n3 long"
     )
     totals = counts.groupBy("cell").agg(*[F.sum(n).alias(n) for n in sizes])
@@ -310,89 +420,100 @@ def _choose_tiles(
 
 
 def _places(
-    tiles: tuple[int, int, int, int], is_home: bool, settled: bool, key: int
-) -> Iterator[tuple[int, int, bool, bool]]:
-    """``(home tile, visitor tile, acts as home, acts as visitor)`` of one row in a cell.
-
-    A cell has tiles of open and of settled home rows, and tiles of open and of settled
-    visitors; its home rows count among the visitors as well.
+    tiles: tuple[int, int, int, int],
+    keys: np.ndarray,
+    settled: np.ndarray,
+    is_home: bool,
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, own tile, left tile, right tile)`` of rows that share a cell and a role.
+
+    Tiles of a cell are numbered: open home, settled home, open visitors, settled
+    visitors. Home tiles meet each other (once) and the visitors' tiles; settled tiles do
+    not meet.
     """
     home_open, home_done, visit_open, visit_done = tiles
-    as_visitor = visit_open + key % visit_done if settled else key % visit_open
-    meets = range(home_open if settled else home_open + home_done)
-    if not is_home:
-        for other in meets:
-            yield other, as_visitor, False, True
-        return
-    as_home = home_open + key % home_done if settled else key % home_open
-    for other in range(visit_open if settled else visit_open + visit_done):
-        yield as_home, other, True, other == as_visitor and as_home in meets
-    for other in meets:
-        if other != as_home or (settled and as_visitor >= visit_open):
-            yield other, as_visitor, False, True
+    n_home = home_open + home_done
+    for done in (False, True):
+        at = np.flatnonzero(settled == done)
+        if not len(at):
+            continue
+        if is_home:
+            first, n_own = (home_open, home_done) if done else (0, home_open)
+        else:
+            first, n_own = (n_home + visit_open, visit_done) if done else (n_home, visit_open)
+        own = first + (keys[at] % np.uint64(n_own)).astype(np.int64)
+        others = list(range(home_open if done else n_home))
+        if is_home:
+            others += range(n_home, n_home + visit_open + (0 if done else visit_done))
+        for other in others:
+            yield at, own, np.minimum(own, other), np.maximum(own, other)
 
 
 def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
     """Ids of the distinct rows that have a similar later row."""
     shared = _share(rows, layout)
-    carried = [*columns.all, "vec"]
+    spots = ["cell", "left", "right", "tile"]
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        for frame, x, d2, home in _located(batches, here):
-            settled = here.settled(x, home, columns.keys(frame))
+        for piece, d2, home in _located(batches, here, columns):
+            settled = here.settled(piece.x, home, piece)
             visits = here.visits(d2, home)
-            keys = frame["vec_key"].to_numpy().view(np.uint64) >> np.uint64(8)
-            source, spots = [], []
-            for i in range(len(frame)):
-                for cell in (home[i], *np.flatnonzero(visits[i])):
-                    for place in _places(
-                        here.tiles[cell], cell == home[i], settled[i], int(keys[i])
+            keys = piece.vec_keys().view(np.uint64) >> np.uint64(8)
+            parts: list[tuple[np.ndarray, ...]] = []
+            for cell, tiles in here.tiles.items():
+                for is_home, chosen in ((True, home == cell), (False, visits[:, cell])):
+                    members = np.flatnonzero(chosen)
+                    for at, own, left, right in _places(
+                        tiles, keys[members], settled[members], is_home
                     ):
-                        source.append(i)
-                        spots.append((cell, *place))
-            for start in range(0, len(source), len(frame)):
-                chosen = source[start : start + len(frame)]
-                out = frame[carried].iloc[chosen].reset_index(drop=True)
-                names = ["cell", "home_tile", "visit_tile", "as_home", "as_visit"]
-                for name, values in zip(names, zip(*spots[start : start + len(frame)])):
-                    out[name] = values
-                out["is_open"] = ~settled[chosen]
-                yield out
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+                        parts.append((members[at], np.full(len(at), cell), left, right, own))
+            if not parts:
+                continue
+            source, *places = (np.concatenate(column) for column in zip(*parts))
+            for start in range(0, len(source), len(piece)):
+                part = slice(start, start + len(piece))
+                chosen = source[part]
+                taken = piece.batch.select(columns.all).take(pa.array(chosen))
+                data = {n: taken.column(n) for n in columns.all}
+                data["vec"] = _packed_rows(piece.x[chosen])
+                for name, place in zip(spots, places):
+                    data[name] = pa.array(place[part].astype(np.int32))
+                data["is_open"] = pa.array(~settled[chosen])
+                yield pa.RecordBatch.from_pydict(data)
+
+    def compare(table: pa.Table) -> pa.Table:
         here = shared.value
-        ranks = columns.ranks(frame)
-        left = np.flatnonzero(frame["as_home"].to_numpy())
-        right = np.flatnonzero(frame["as_visit"].to_numpy())
-        x = _stack(frame["vec"])
-        drop = np.zeros(len(frame), dtype=bool)
-        step = max(1, _MATRIX_CELLS // max(1, len(right)))
-        for start in range(0, len(left), step):
-            part = left[start : start + step]
-            near = here.similar(x[part], x[right])
-            ahead = ranks[right][None, :] > ranks[part][:, None]
-            behind = ranks[right][None, :] < ranks[part][:, None]
-            drop[part] |= (near & ahead).any(1)
-            drop[right] |= (near & behind).any(0)
-        return frame.loc[drop & frame["is_open"].to_numpy(), columns.ids]
-
-    def already(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = [(n, "ascending") for n in columns.order]
+        ranks = np.empty(len(table), dtype=np.int64)
+        ranks[pc.sort_indices(table, sort_keys=order).to_numpy()] = np.arange(len(table))
+        tile = table.column("tile").to_numpy()
+        left = np.flatnonzero(tile == table.column("left").to_numpy())
+        right = np.flatnonzero(tile == table.column("right").to_numpy())
+        x = _unpacked_rows(table.column("vec"))
+        drop = np.zeros(len(table), dtype=bool)
+        for i, j in here.similar_pairs(x, left, right):
+            drop[i[ranks[i] < ranks[j]]] = True
+            drop[j[ranks[j] < ranks[i]]] = True
+        drop &= table.column("is_open").to_numpy()
+        return table.select(columns.ids).filter(pa.array(drop))
+
+    def already(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        for frame, x, _, home in _located(batches, here):
-            yield frame.loc[here.settled(x, home, columns.keys(frame)), columns.ids]
+        for piece, _, home in _located(batches, here, columns):
+            settled = here.settled(piece.x, home, piece)
+            yield piece.batch.select(columns.ids).filter(pa.array(settled))
 
-    columns.types["vec"] = "array<double>"
-    spread = rows.mapInPandas(
+    spread = rows.mapInArrow(
         send,
-        f"{columns.ddl(carried)}, cell int, home_tile int, visit_tile int, "
-        "as_home boolean, as_visit boolean, is_open boolean",
+        f"{columns.ddl(columns.all)}, vec binary, cell int, left int, right int, "
+        "tile int, is_open boolean",
     )
     ids = columns.ddl(columns.ids)
-    tile = [*columns.group, "cell", "home_tile", "visit_tile"]
-    beaten = spread.groupBy(*tile).applyInPandas(compare, ids)
+    beaten = spread.groupBy(*columns.group, "cell", "left", "right").applyInArrow(compare, ids)
     if layout.witness_keys:
-        beaten = beaten.unionByName(rows.select(*carried).mapInPandas(already, ids))
+        settled_ids = rows.select(*columns.all, "vec").mapInArrow(already, ids)
+        beaten = beaten.unionByName(settled_ids)
     return beaten.distinct()
 
 
