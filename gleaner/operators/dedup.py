@@ -273,13 +273,14 @@ def survivors(
         tile_rows = min(max(1, _TILE_BYTES // row_bytes), max(_SMALLEST_TILE, share))
     pivots_given = n_pivots is not None
     if n_pivots is None:
-        n_pivots = 1 if size.n <= _SMALLEST_TILE else math.ceil(size.n / _SMALLEST_TILE)
+        n_pivots = math.ceil(size.n / _SMALLEST_TILE)
     budget = max(1, _BROADCAST_BYTES // (row_bytes * (1 + _WITNESSES_PER_CELL)))
     n_pivots = min(n_pivots, budget, _MAX_PIVOTS)
 
     radius = math.sqrt(max(0.0, 2 * (n_models - limit)) + _SLACK)
     # Smallest hashes first: a uniform sample of the distinct vectors, pivots in front.
-    sample = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(n_pivots + _SAMPLE_ROWS)
+    n_sample = min(_SAMPLE_ROWS, max(1, _TILE_BYTES // row_bytes))
+    sample = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(n_pivots + n_sample)
     points = np.array([r.vec for r in sample.select("vec").collect()])
     if not pivots_given:
         n_pivots = _pivot_count(points, n_pivots, radius, size.n, tile_rows)
