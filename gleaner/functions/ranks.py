@@ -55,4 +55,6 @@ def order_buckets(df: DataFrame, value: str, n_buckets: int, out: str = "bucket"
     probabilities = [i / n_buckets for i in range(1, n_buckets)]
     inner = sorted(set(df.approxQuantile(value, probabilities, 0.5 / n_buckets)))
     splits = [float("-inf"), *(inner or [0.5]), float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
+    # Whole numbers hash alike in windows and groups, which saves a shuffle between them.
+    return cut.withColumn(out, F.col(out).cast("int"))

@@ -223,17 +223,20 @@ def _located(
 def _distinct_rows(df: DataFrame, vec: str, columns: _Columns) -> DataFrame:
     """The latest row of every distinct vector, with a hash of the vector as key.
 
-    Partial aggregation before the shuffle folds copies however many there are.
+    Partial aggregation before the shuffle folds copies however many there are. Rows
+    without a vector are not folded: each is a group of its own.
     """
     message = F.lit("order columns of a near-duplicate search must not be null")
     latest = F.struct(
         *[F.coalesce(F.col(c), F.raise_error(message)).alias(c) for c in columns.order]
     )
-    top = (
-        df.where(F.col(vec).isNotNull())
-        .groupBy(*columns.group, F.xxhash64(vec).alias("vec_key"), F.col(vec).alias("vec"))
-        .agg(F.max(latest).alias("top"))
-    )
+    lone = F.when(F.col(vec).isNull(), F.col(columns.order[-1]))
+    top = df.groupBy(
+        *columns.group,
+        F.xxhash64(vec, lone).alias("vec_key"),
+        F.col(vec).alias("vec"),
+        lone.alias("lone"),
+    ).agg(F.max(latest).alias("top"))
     carried = [F.col(f"top.{c}").alias(c) for c in columns.order if c not in columns.group]
     return top.select(*columns.group, "vec_key", "vec", *carried)
 
@@ -262,8 +265,10 @@ def survivors(
     if np.float32(n_models) <= np.float32(limit):
         return df.select(*columns.ids)
 
-    without = df.where(F.col(vec).isNull()).select(*columns.ids)
-    rows = staged(_distinct_rows(df, vec, columns), "distinct_vectors")
+    # The one pass over the input; everything below reads what it wrote.
+    distinct = staged(_distinct_rows(df, vec, columns), "distinct_vectors")
+    without = distinct.where(F.col("vec").isNull()).select(*columns.ids)
+    rows = distinct.where(F.col("vec").isNotNull())
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     if size.n == 0:
         return without

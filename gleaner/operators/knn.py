@@ -255,7 +255,7 @@ def fit_knn(
     n_clusters = max(
         1, min(params.n_rows, int(0.8 * params.minibatch_size_kmeans), int(0.8 * n))
     )
-    kmeans = KMeans(k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=30)
+    kmeans = KMeans(k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=20)
     work = float(n) * n_clusters * n_components
     clusters = kmeans.fit(packed(reduced, work, _PRODUCTS_PER_TASK))
     spread = reduced.agg(Summarizer.variance(F.col("knn_z"))).first()[0].toArray().sum() * (n - 1)
