@@ -53,14 +53,16 @@ class EnsembleModel:
         A vector of another width than at fit time fails the job. Rows without a vector
         keep null scores.
         """
-        usable = df.where(F.col(vec).isNotNull()).withColumn(
-            vec, checked_width(vec, self.n_features)
+        # Missing vectors are scored as zeros and blanked afterwards: one pass over df.
+        zeros = F.array_repeat(F.lit(0.0), self.n_features)
+        usable = df.withColumn(
+            "model_in", F.coalesce(checked_width(vec, self.n_features), zeros)
         )
-        scored = self.trees.predict(self.logistic.predict(self.knn.predict(usable, vec), vec), vec)
-        empty = df.where(F.col(vec).isNull())
+        for member in (self.knn, self.logistic, self.trees):
+            usable = member.predict(usable, "model_in")
         for name in MEMBERS:
-            empty = empty.withColumn(name, F.lit(None).cast("double"))
-        return scored.unionByName(empty).withColumn(
+            usable = usable.withColumn(name, F.when(F.col(vec).isNotNull(), F.col(name)))
+        return usable.drop("model_in").withColumn(
             "p", weighted_score(weights or self.params.weights)
         )
 

@@ -6,11 +6,12 @@ the labels of the nearest cluster means.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -19,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import to_list_array
 from gleaner.operators.params import KnnParams
 from gleaner.session import packed
 
@@ -46,18 +48,20 @@ def nearest(x: np.ndarray, templates: np.ndarray, k: int) -> tuple[np.ndarray, n
     return order[:, :k], np.take_along_axis(d2, order[:, :k], 1)
 
 
-def _mean_of_nearest(templates: np.ndarray, labels: np.ndarray, k: int):
+def _mean_of_nearest(
+    templates: np.ndarray, labels: np.ndarray, k: int
+) -> Callable[[Column | str], Column]:
     """A function from a vector column to the mean label vector of its k nearest templates."""
 
-    @F.pandas_udf("array<double>")
-    def predict(vecs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def predict(vecs: pa.Array) -> pa.Array:
+        x = vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1)
+        out = np.empty((len(x), labels.shape[1]))
         step = max(1, _MATRIX_CELLS // max(1, len(templates)))
-        for batch in vecs:
-            out = []
-            for start in range(0, len(batch), step):
-                x = np.stack(batch.iloc[start : start + step].to_numpy())
-                out.extend(labels[nearest(x, templates, k)[0]].mean(axis=1))
-            yield pd.Series(out, index=batch.index, dtype=object)
+        for start in range(0, len(x), step):
+            part = slice(start, start + step)
+            out[part] = labels[nearest(x[part], templates, k)[0]].mean(axis=1)
+        return to_list_array(out)
 
     return predict
 
@@ -86,6 +90,11 @@ def knn_join(
     n_blocks = -(-size.n * size.width * 8 // block_bytes)
     block_of = F.pmod(F.xxhash64(template_id), F.lit(n_blocks))
     spark = queries.sparkSession
+    if n_blocks == 1:
+        rows = templates.select(template_id, vec, label).orderBy(template_id).collect()
+        points, targets = (np.array([r[i] for r in rows], float) for i in (1, 2))
+        predict = _mean_of_nearest(points, targets, min(k, len(points)))
+        return queries.select(query_id, predict(vec).alias("y_hat"))
     id_type = dict(queries.dtypes)[query_id]
     label_id_type = dict(templates.dtypes)[template_id]
     neighbour = f"struct<d2:double,template:{label_id_type},label:array<double>>"
@@ -129,8 +138,7 @@ def knn_join(
             search, f"`{query_id}` {id_type}, near array<{neighbour}>"
         )
         found = part if found is None else found.unionByName(part)
-    if n_blocks > 1:
-        found = found.groupBy(query_id).agg(F.flatten(F.collect_list("near")).alias("near"))
+    found = found.groupBy(query_id).agg(F.flatten(F.collect_list("near")).alias("near"))
     closest = F.slice(F.array_sort("near"), 1, k)
     width = F.size(F.element_at("near", 1)["label"])
     mean = F.transform(

@@ -30,8 +30,14 @@ def dedup_routed(
     n_models: int = 1,
     threshold: float = ROUTED_DUPLICATES_THRESHOLD,
 ) -> DataFrame:
-    """Drop near duplicates inside each route, keeping the best-scored copy."""
-    with_vectors = routed.join(features.select("sample_id", "vec"), "sample_id")
-    return dedup.drop_worst_near_duplicates(
-        with_vectors, "p", threshold=threshold, n_models=n_models, group=["route"]
-    ).drop("vec")
+    """Drop near duplicates inside each route, keeping the best-scored copy.
+
+    Items without features have nothing to be compared by and stay.
+    """
+    with_vectors = routed.select("sample_id", "route", "p").join(
+        features.select("sample_id", "vec"), "sample_id", "left"
+    )
+    kept = dedup.survivors(
+        with_vectors, order=["p"], threshold=threshold, n_models=n_models, group=["route"]
+    )
+    return routed.join(kept, ["sample_id", "route"], "left_semi")

@@ -103,10 +103,11 @@ def keep_best_copies(
 ) -> DataFrame:
     """Drop near duplicates, keeping the copy the model scores highest."""
     check_same_models(model.models_for_features, models)
-    scored = model.predict(items).select(*items.columns, F.coalesce("p", F.lit(0.0)).alias("p"))
-    return dedup.drop_worst_near_duplicates(
-        scored, "p", threshold=threshold, n_models=len(models)
+    scored = model.predict(items).select(
+        "sample_id", "vec", F.coalesce("p", F.lit(0.0)).alias("p")
     )
+    kept = dedup.survivors(scored, order=["p"], threshold=threshold, n_models=len(models))
+    return items.join(kept, "sample_id", "left_semi")
 
 
 def retrain_and_rescore(

@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gleaner.operators import knn, linear, trees, validate
+from gleaner.functions import vectors
+from gleaner.operators import knn, linear, trees
 from gleaner.operators.ensemble import fit_ensemble, weighted_score
 from gleaner.operators.params import (
     DEFAULT, EnsembleParams, KnnParams, LogisticParams, TRAINING, for_sample_size,
@@ -14,6 +15,7 @@ from dataclasses import replace
 from gleaner.plans import train
 from gleaner.plans.apply import dedup_routed, score_and_route
 from gleaner.session import new_path
+from pyspark.sql import functions as F
 from gleaner.sources.models import load_model, model_name, save_model
 
 QUICK = replace(DEFAULT, boosting=(5, 0.3))
@@ -206,6 +208,14 @@ def test_ensemble_lies_between_members_and_survives_saving(spark, data):
     assert dedup_routed(routed, df, threshold=0.9).count() <= routed.count()
     with pytest.raises(ValueError):
         train.keep_best_copies(model, df, ["other"])
+    # Among two copies the later id wins: both have the same score.
+    twins = df.limit(20).withColumn("sample_id", F.concat(F.lit("t"), "sample_id"))
+    unit = df.unionByName(twins).withColumn("vec", vectors.l2_normalize("vec"))
+    kept = train.keep_best_copies(model, unit, ["m"], 0.999999)
+    assert sorted(r.sample_id for r in kept.collect() if r.sample_id.startswith("t")) == sorted(
+        r.sample_id for r in twins.collect()
+    )
+    assert kept.count() == df.count()
 
 
 def test_cross_validation_gate_and_result(spark, data):
