@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -20,7 +19,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import to_list_array
 from gleaner.operators.params import KnnParams
 from gleaner.session import packed
 
@@ -53,15 +51,14 @@ def _mean_of_nearest(
 ) -> Callable[[Column | str], Column]:
     """A function from a vector column to the mean label vector of its k nearest templates."""
 
-    @F.arrow_udf("array<double>")
-    def predict(vecs: pa.Array) -> pa.Array:
-        x = vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(vecs), -1)
-        out = np.empty((len(x), labels.shape[1]))
+    @F.pandas_udf("array<double>")
+    def predict(vecs: pd.Series) -> pd.Series:
+        out = []
         step = max(1, _MATRIX_CELLS // max(1, len(templates)))
-        for start in range(0, len(x), step):
-            part = slice(start, start + step)
-            out[part] = labels[nearest(x[part], templates, k)[0]].mean(axis=1)
-        return to_list_array(out)
+        for start in range(0, len(vecs), step):
+            x = np.stack(vecs.iloc[start : start + step].to_numpy())
+            out.extend(labels[nearest(x, templates, k)[0]].mean(axis=1))
+        return pd.Series(out, index=vecs.index, dtype=object)
 
     return predict
 

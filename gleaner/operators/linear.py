@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -81,12 +82,9 @@ class DiscriminantModel:
         """Add the probability of class 1."""
         coefficients, intercept = self.coefficients, self.intercept
 
-        @F.arrow_udf("double")
-        def linear(vecs):
-            import pyarrow as pa
-
-            flat = vecs.flatten().to_numpy(zero_copy_only=False)
-            return pa.array(flat.reshape(len(vecs), -1) @ coefficients + intercept)
+        @F.pandas_udf("double")
+        def linear(vecs: pd.Series) -> pd.Series:
+            return pd.Series(np.stack(vecs.to_numpy()) @ coefficients + intercept)
 
         return df.withColumn(out, 1 / (1 + F.exp(-linear(vec))))
 
