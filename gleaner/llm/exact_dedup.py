@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 from gleaner.llm import bitmaps, words
 from gleaner.session import new_path, staged
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORE = "spark.sql.streaming.stateStore"
+#: Keyed state on disk. Many small stores: no space reserved ahead, changes logged per batch.
+_STATE_CONF = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _FLUSH_BYTES = 32 << 20
 
 
@@ -69,8 +74,9 @@ def stream_groups(arriving: DataFrame, out: str, checkpoint: str) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE_CONF}
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -80,10 +86,11 @@ def stream_groups(arriving: DataFrame, out: str, checkpoint: str) -> None:
             .start()
         )
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     query.awaitTermination()
 
 
