@@ -40,9 +40,26 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+_TOP_K = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_inner_product(CAST(q.p AS DOUBLE[]), CAST(d.p AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": _EXACT_DEDUP,
+        "op9_cover_tree_search": _TOP_K,
         "op7_minhash_near_dup": _NEAR_DUP,
     }

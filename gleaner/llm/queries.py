@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import exact_dedup, language_id, near_dup, packing, source_mix, words
+from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, quality, source_mix, words
+from gleaner.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_documents(spark, sf_dir))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix by weights 1, 2, 3 takes of every document."""
     documents, _ = source_mix.mix(_documents(spark, sf_dir))
@@ -57,11 +63,37 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group(_documents(spark, sf_dir), params=params).drop("row")
 
 
+def op9_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by inner product for every hundredth vector."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return cover_search.top_k(embeddings, F.col("vec_id") % 100 == 0)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from two thirds of the labels.
+
+    A document with labels that disagree is left out of the fit.
+    """
+    docs = _documents(spark, sf_dir).select("doc_id", _in_bucket(1, 3).alias("held_out"), "text")
+    rows = staged(quality.described(docs), "statistics")
+    labels = (
+        spark.read.parquet(f"{sf_dir}/labels.parquet")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("label"), F.max("quality").alias("other"))
+        .where("label = other")
+    )
+    model = quality.fit(rows.where("not held_out").join(labels, "doc_id"))
+    return quality.predict(rows, model)
+
+
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_source_mix": op5_source_mix,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dup": op7_minhash_near_dup,
+    "op9_cover_tree_search": op9_cover_tree_search,
+    "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
