@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, quality, source_mix, words
+from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, pitman_yor, quality, source_mix, words
 from gleaner.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,16 @@ def _in_bucket(bucket: int, n: int) -> Column:
     return F.coalesce(words.id_bucket("doc_id", n) == bucket, F.lit(False))
 
 
+def op1_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from four fifths of them."""
+    held_out = _in_bucket(1, 5)
+    docs = _documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.withColumn("learn", ~F.col("held_out") & F.col("doc_id").isNotNull())
+    model = pitman_yor.fit(docs)
+    scored = pitman_yor.score(docs.drop("learn"), model)
+    return scored.withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 2048 tokens."""
     params = packing.PackingParams(public_tokenizers.path(TOKENIZER))
@@ -87,6 +97,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pitman_yor_lm": op1_pitman_yor_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_html_extraction": op4_html_extraction,

@@ -40,6 +40,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """What each byte adds to the hash of a word."""
+    return _BYTE_VALUE[data]
+
+
 class _Powers:
     """Powers of an odd constant modulo 2**64, computed once as far as needed."""
 
