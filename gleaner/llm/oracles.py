@@ -40,6 +40,26 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+_SUBSTRING_DEDUP = f"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p
+  FROM windows JOIN repeated USING (h)),
+gone AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM covered GROUP BY doc_id),
+left_over AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+    CASE WHEN n IS NULL THEN w
+      ELSE list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(ps, x)))) END AS k
+  FROM texts LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256
+FROM left_over
+"""
+
 _TOP_K = """
 WITH v AS MATERIALIZED (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS p
@@ -60,6 +80,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": _EXACT_DEDUP,
+        "op8_substring_dedup": _SUBSTRING_DEDUP,
         "op9_cover_tree_search": _TOP_K,
         "op7_minhash_near_dup": _NEAR_DUP,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, pitman_yor, quality, source_mix, words
+from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, pitman_yor, quality, source_mix, substring_dedup, words
 from gleaner.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group(_documents(spark, sf_dir), params=params).drop("row")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated passages of 35 words."""
+    left = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return left.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
 def op9_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows by inner product for every hundredth vector."""
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op5_source_mix": op5_source_mix,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dup": op7_minhash_near_dup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_cover_tree_search": op9_cover_tree_search,
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
