@@ -93,3 +93,18 @@ def bin_index(p: Column, edges: int) -> Column:
         .otherwise(guess)
     )
     return F.when((p >= 0) & (p <= 1), F.least(settled, F.lit(bins - 1)))
+
+
+def or_zeros(vec: Column | str, width: int) -> Column:
+    """The vector, or zeros where it is missing: models score both and blank the latter."""
+    return F.coalesce(vec, F.array_repeat(F.lit(0.0), width))
+
+
+def blank_without(vec: str, value: Column | str) -> Column:
+    """``value`` where the row has a vector, null elsewhere."""
+    return F.when(F.col(vec).isNotNull(), F.col(value) if isinstance(value, str) else value)
+
+
+def with_vector(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """The rows a model can be fitted on: those with a vector and a label."""
+    return df.where(F.col(vec).isNotNull() & F.col(label).isNotNull())

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import to_list_array
@@ -40,6 +40,8 @@ from gleaner.session import staged
 # Pivots and witnesses are broadcast: their number follows from this many bytes.
 _BROADCAST_BYTES = 128 << 20
 # The table of distances between pivots is square, hence a bound on their number too.
+# How far the squared length of concatenated unit blocks may be off.
+_UNIT_SLACK = 1e-3
 _MAX_PIVOTS = 2800
 # One side of a comparison task.
 _TILE_BYTES = 64 << 20
@@ -220,6 +222,16 @@ def _located(
             yield rows, d2, d2.argmin(1)
 
 
+def _unit_blocks(vec: str, n_models: int) -> Column:
+    """The vector, checked to have the length of ``n_models`` unit blocks."""
+    squares = F.aggregate(vec, F.lit(0.0), lambda total, x: total + x * x)
+    message = F.format_string(
+        "a vector of squared length %f is not made of %d unit blocks", squares, F.lit(n_models)
+    )
+    wrong = F.col(vec).isNotNull() & (F.abs(squares - F.lit(float(n_models))) > _UNIT_SLACK)
+    return F.when(wrong, F.raise_error(message).cast("array<double>")).otherwise(F.col(vec))
+
+
 def _distinct_rows(df: DataFrame, vec: str, columns: _Columns) -> DataFrame:
     """The latest row of every distinct vector, with a hash of the vector as key.
 
@@ -254,9 +266,10 @@ def survivors(
 ) -> DataFrame:
     """Ids (with the group columns) of the items that stay.
 
-    ``vec`` holds concatenated unit blocks; items with a null vector always stay. Items
-    are only compared within equal values of ``group``. ``tile_rows`` and ``n_pivots``
-    follow from the data when not given and never change the result.
+    ``vec`` holds ``n_models`` concatenated unit blocks: a vector whose squared length is
+    not their number fails the job. Items with a null vector always stay. Items are only
+    compared within equal values of ``group``. ``tile_rows`` and ``n_pivots`` follow from
+    the data when not given and never change the result.
     """
     if not threshold > 0:
         raise ValueError("the similarity threshold must be above 0")
@@ -266,7 +279,10 @@ def survivors(
         return df.select(*columns.ids)
 
     # The one pass over the input; everything below reads what it wrote.
-    distinct = staged(_distinct_rows(df, vec, columns), "distinct_vectors")
+    distinct = staged(
+        _distinct_rows(df.withColumn(vec, _unit_blocks(vec, n_models)), vec, columns),
+        "distinct_vectors",
+    )
     without = distinct.where(F.col("vec").isNull()).select(*columns.ids)
     rows = distinct.where(F.col("vec").isNotNull())
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()

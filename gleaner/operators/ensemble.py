@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import with_vector
 from gleaner.operators.collect import checked_width
 from gleaner.operators.knn import CompressedKnnModel, fit_knn
 from gleaner.operators.linear import LogisticModel, fit_logistic
@@ -80,9 +81,11 @@ def fit_ensemble(
 ) -> EnsembleModel:
     """Fit the three members on ``vec`` and a 0/1 label.
 
-    The small-sample rule sees ``n_for_rule`` rows (cross-validation passes the size of
-    the whole set), by default the rows given.
+    Rows without a vector or a label are left out. The small-sample rule sees
+    ``n_for_rule`` rows (cross-validation passes the size of the whole set), by default the
+    rows that are left.
     """
+    df = with_vector(df, vec, label)
     n = n_for_rule if n_for_rule is not None else df.count()
     effective = for_sample_size(params, n)
     knn = fit_knn(df, effective.knn, vec, label)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +21,8 @@ WEIGHTS = ("w_knn", "w_lr", "w_gbt")
 # Number of random triples and the smallest weight before normalising.
 N_TRIPLES = 10_000
 SMALLEST_WEIGHT = 0.03
-# Out-of-fold tables up to this size are broadcast; larger ones are searched by joins.
-_BROADCAST_BYTES = 64 << 20
-_BYTES_PER_ROW = 32
+# Most out-of-fold rows that a search judges, 64 MB of scores.
+MAX_OOF_ROWS = 2_000_000
 _RESULT = (
     "weight_id long, w_knn double, w_lr double, w_gbt double, auc double, accuracy double, "
     "positive_margin double, negative_margin double, score double"
@@ -67,32 +66,6 @@ def _scored(found: DataFrame) -> DataFrame:
     return found.withColumn("score", score)
 
 
-def search_by_joins(oof: DataFrame, weights: DataFrame) -> DataFrame:
-    """Score every weight triple with grouped aggregates, for tables of any size.
-
-    Each row meets each triple through an equi-join on the triple's number; sweep and
-    accuracy are combined on the map side, the AUC runs in quantile buckets.
-    """
-    n = weights.count()
-    numbered = oof.select(
-        "label", *MEMBERS, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("weight_id")
-    ).withColumn("weight_id", F.col("weight_id").cast("long"))
-    mixed = numbered.join(F.broadcast(weights), "weight_id")  # n triples, a parameter
-    p = sum((F.col(w) * F.col(m) for w, m in zip(WEIGHTS[1:], MEMBERS[1:])),
-            F.col(WEIGHTS[0]) * F.col(MEMBERS[0]))
-    mixed = mixed.select("weight_id", "label", p.alias("p"))
-    by = ["weight_id"]
-    curves = metrics.ratio_curves(metrics.threshold_sweep(mixed, "p", "label", by))
-    margins = peaks.safe_margins(peaks.ratio_peaks(curves, by=by))
-    joined = (
-        weights.join(metrics.auc(mixed, "p", "label", by), by)
-        .join(metrics.accuracy(mixed, "p", "label", by), by)
-        .join(margins.select(*by, "positive_margin", "negative_margin"), by)
-    )
-    names = [f.split()[0] for f in _RESULT.split(", ")]
-    return _scored(joined).select(*names)
-
-
 def _auc(p: np.ndarray, positive: np.ndarray) -> float:
     """Mann-Whitney area of one score vector, ties counting half."""
     values, inverse = np.unique(p, return_inverse=True)
@@ -112,21 +85,41 @@ def _peak_positions(height: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def search_by_broadcast(oof: DataFrame, weights: DataFrame) -> DataFrame:
-    """Score weight triples in parallel, every task holding the (size-checked) scores."""
+def weight_search(
+    oof: DataFrame,
+    weights: DataFrame | None = None,
+    n: int = N_TRIPLES,
+    seed: int = 0,
+    max_rows: int = MAX_OOF_ROWS,
+) -> DataFrame:
+    """AUC, accuracy, margins and score of every weight triple.
+
+    ``oof`` has ``label`` and the member scores; rows with a null in any are left out. At
+    most ``max_rows`` of them, the first by hash, are judged: they are broadcast, and the
+    triples are spread over the tasks. With labels of one class the area and the score are
+    null and the margins at their limits; without rows the accuracy is null too.
+    """
     spark = oof.sparkSession
-    table = oof.select("label", *MEMBERS).toPandas().to_numpy(dtype=float)
+    if weights is None:
+        weights = random_weights(spark, n, seed)
+    known = oof.select("label", *MEMBERS).dropna()
+    if known.count() > max_rows:
+        known = known.orderBy(F.xxhash64("label", *MEMBERS), *MEMBERS, "label").limit(max_rows)
+    table = known.toPandas().to_numpy(dtype=float)
     shared = spark.sparkContext.broadcast(table)
     n_points = metrics.SWEEP_POINTS
     grid = np.linspace(0, 1, n_points)
 
-    def judge(w: np.ndarray) -> tuple[float, float, float, float]:
+    def judge(w: np.ndarray) -> tuple[float | None, ...]:
         label, members = shared.value[:, 0], shared.value[:, 1:]
         positive = label == 1
         p = w[0] * members[:, 0] + w[1] * members[:, 1] + w[2] * members[:, 2]
+        n_pos, n_neg = positive.sum(), (~positive).sum()
+        accuracy = float(((p > 0.5) == positive).mean()) if len(p) else None
+        if not n_pos or not n_neg:
+            return None, accuracy, peaks.POSITIVE_FLOOR, peaks.NEGATIVE_CEILING
         # Thresholds a score does not exceed start at this grid position.
         first = np.searchsorted(grid, p, side="left")
-        n_pos, n_neg = positive.sum(), (~positive).sum()
         low_pos = np.cumsum(np.bincount(first[positive], minlength=n_points + 1)[:n_points])
         low_neg = np.cumsum(np.bincount(first[~positive], minlength=n_points + 1)[:n_points])
         baseline = metrics.RATIO_BASELINE
@@ -136,39 +129,27 @@ def search_by_broadcast(oof: DataFrame, weights: DataFrame) -> DataFrame:
         below = _peak_positions(-np.abs(down - peaks.RATIO_TARGET))
         return (
             _auc(p, positive),
-            float(((p > 0.5) == positive).mean()),
+            accuracy,
             max(peaks.POSITIVE_FLOOR, grid[above[0]]) if len(above) else peaks.POSITIVE_FLOOR,
             min(peaks.NEGATIVE_CEILING, grid[below[-1]]) if len(below) else peaks.NEGATIVE_CEILING,
         )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["auc", "accuracy", "positive_margin", "negative_margin"]
-        for frame in batches:
-            found = [judge(w) for w in frame[list(WEIGHTS)].to_numpy()]
-            yield frame.assign(**dict(zip(names, zip(*found)))) if found else frame.assign(
-                **{n: [] for n in names}
+        for batch in batches:
+            triples = np.column_stack([batch.column(w).to_numpy() for w in WEIGHTS])
+            found = [judge(w) for w in triples]
+            columns = [pa.array([f[i] for f in found], pa.float64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *columns], names=[*batch.schema.names, *names]
             )
 
     schema = _RESULT.rsplit(",", 1)[0]
     parts = spark.sparkContext.defaultParallelism
-    return _scored(weights.repartition(parts).mapInPandas(run, schema))
-
-
-def weight_search(
-    oof: DataFrame, weights: DataFrame | None = None, n: int = N_TRIPLES, seed: int = 0
-) -> DataFrame:
-    """AUC, accuracy, margins and score of every weight triple.
-
-    ``oof`` has ``label`` and the member scores. The table is broadcast when its checked
-    size allows, and joined otherwise; both ways are exact.
-    """
-    if weights is None:
-        weights = random_weights(oof.sparkSession, n, seed)
-    if oof.count() * _BYTES_PER_ROW <= _BROADCAST_BYTES:
-        return search_by_broadcast(oof, weights)
-    return search_by_joins(oof, weights)
+    spread = weights.select("weight_id", *WEIGHTS).repartition(parts)
+    return _scored(spread.mapInArrow(run, schema))
 
 
 def best_weights(searched: DataFrame) -> DataFrame:
     """The triple with the highest score; scores equal to nine digits go by number."""
-    return searched.orderBy(F.round("score", 9).desc(), "weight_id").limit(1)
+    return searched.orderBy(F.round("score", 9).desc_nulls_last(), "weight_id").limit(1)

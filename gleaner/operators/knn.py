@@ -6,7 +6,7 @@ the labels of the nearest cluster means.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +19,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import vectors
 from gleaner.operators.params import KnnParams
 from gleaner.session import packed
 
 # Templates up to this size are broadcast in one piece; more come in several pieces.
 _BROADCAST_BYTES = 64 << 20
 _MATRIX_CELLS = 4 << 20
+# Queries that meet a block of templates in one group.
+_QUERIES_PER_GROUP = 50_000
 # Products a task of one k-means step should take.
 _PRODUCTS_PER_TASK = 2e7
 
@@ -75,9 +78,9 @@ def knn_join(
 ) -> DataFrame:
     """``(query_id, y_hat)``: mean label vector of the k nearest templates (Euclidean).
 
-    The templates are cut by a hash into as many blocks as their checked size needs; each
-    query meets every block in a broadcast, and the per-block neighbours (k each) are
-    merged per query.
+    Templates of a checked size are broadcast. More are cut by a hash into blocks that meet
+    parts of the queries in the executors, and the neighbours of each block (k each) are
+    merged per query. Queries without a vector get a null.
     """
     size = templates.agg(
         F.count("*").alias("n"), F.max(F.size(vec) + F.size(label)).alias("width")
@@ -86,56 +89,56 @@ def knn_join(
         raise ValueError("no templates")
     n_blocks = -(-size.n * size.width * 8 // block_bytes)
     block_of = F.pmod(F.xxhash64(template_id), F.lit(n_blocks))
-    spark = queries.sparkSession
     if n_blocks == 1:
         rows = templates.select(template_id, vec, label).orderBy(template_id).collect()
         points, targets = (np.array([r[i] for r in rows], float) for i in (1, 2))
         predict = _mean_of_nearest(points, targets, min(k, len(points)))
-        return queries.select(query_id, predict(vec).alias("y_hat"))
+        filled = vectors.or_zeros(vec, points.shape[1])
+        return queries.select(
+            query_id, vectors.blank_without(vec, predict(filled)).alias("y_hat")
+        )
     id_type = dict(queries.dtypes)[query_id]
     label_id_type = dict(templates.dtypes)[template_id]
     neighbour = f"struct<d2:double,template:{label_id_type},label:array<double>>"
-    found = None
-    for block in range(n_blocks):
-        # One block: at most about block_bytes.
-        rows = (
-            templates.where(block_of == block)
-            .select(template_id, vec, label)
-            .orderBy(template_id)
-            .collect()
-        )
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(
-            ([r[0] for r in rows], np.array([r[1] for r in rows], float),
-             np.array([r[2] for r in rows], float))
-        )
+    known = queries.where(F.col(vec).isNotNull())
+    n_parts = max(1, -(-known.count() // _QUERIES_PER_GROUP))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    # Each block of templates meets each part of the queries in a group of bounded size.
+    blocks = templates.select(
+        block_of.cast("int").alias("block"), number(n_parts).alias("part"), template_id, vec, label
+    )
+    asked = known.select(
+        number(n_blocks).alias("block"),
+        F.pmod(F.xxhash64(query_id), F.lit(n_parts)).cast("int").alias("part"),
+        query_id,
+        vec,
+    )
 
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, points, labels = shared.value
-            step = max(1, _MATRIX_CELLS // max(1, len(points)))
-            for frame in batches:
-                for start in range(0, len(frame), step):
-                    part = frame.iloc[start : start + step]
-                    at, d2 = nearest(np.stack(part[vec].to_numpy()), points, min(k, len(points)))
-                    yield pd.DataFrame(
-                        {
-                            query_id: part[query_id].to_numpy(),
-                            "near": [
-                                [
-                                    {"d2": d, "template": names[j], "label": labels[j]}
-                                    for j, d in zip(js, ds)
-                                ]
-                                for js, ds in zip(at, d2)
-                            ],
-                        }
-                    )
-
-        part = queries.select(query_id, vec).mapInPandas(
-            search, f"`{query_id}` {id_type}, near array<{neighbour}>"
-        )
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy(query_id).agg(F.flatten(F.collect_list("near")).alias("near"))
+    def search(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(block):
+            return pd.DataFrame({query_id: asked[query_id].iloc[:0], "near": pd.Series([], dtype=object)})
+        block = block.sort_values(template_id)
+        names = block[template_id].to_list()
+        points, labels = (np.stack(block[c].to_numpy()) for c in (vec, label))
+        step = max(1, _MATRIX_CELLS // len(points))
+        near = []
+        for start in range(0, len(asked), step):
+            x = np.stack(asked[vec].iloc[start : start + step].to_numpy())
+            at, d2 = nearest(x, points, min(k, len(points)))
+            near += [
+                [{"d2": d, "template": names[j], "label": labels[j]} for j, d in zip(js, ds)]
+                for js, ds in zip(at, d2)
+            ]
+        return pd.DataFrame({query_id: asked[query_id].to_numpy(), "near": pd.Series(near, dtype=object)})
+
+    keys = ["block", "part"]
+    found = (
+        asked.groupBy(*keys)
+        .cogroup(blocks.groupBy(*keys))
+        .applyInPandas(search, f"`{query_id}` {id_type}, near array<{neighbour}>")
+        .groupBy(query_id)
+        .agg(F.flatten(F.collect_list("near")).alias("near"))
+    )
     closest = F.slice(F.array_sort("near"), 1, k)
     width = F.size(F.element_at("near", 1)["label"])
     mean = F.transform(
@@ -145,7 +148,11 @@ def knn_join(
         )
         / F.size("near"),
     )
-    return found.withColumn("near", closest).select(query_id, mean.alias("y_hat"))
+    answered = found.withColumn("near", closest).select(query_id, mean.alias("y_hat"))
+    without = queries.where(F.col(vec).isNull())
+    return answered.unionByName(
+        without.select(query_id, F.lit(None).cast("array<double>").alias("y_hat"))
+    )
 
 
 @dataclass
@@ -161,13 +168,16 @@ class CompressedKnnModel:
     variance_pca: float
     variance_kmeans: float
     explained: list[float]
+    kmeans_converged: bool = True
 
     def predict_all(self, df: DataFrame, vec: str = "vec", out: str = "y_hat") -> DataFrame:
-        """Add the predicted label vector."""
-        reduced = self.reducer.transform(df.withColumn("knn_in", array_to_vector(vec)))
+        """Add the predicted label vector, null for rows without a vector."""
+        filled = vectors.or_zeros(vec, self.n_features)
+        reduced = self.reducer.transform(df.withColumn("knn_in", array_to_vector(filled)))
         predict = _mean_of_nearest(self.templates, self.labels, self.n_neighbors)
         made = [*{"knn_in", "knn_centred", "knn_pca", "knn_z"} & set(reduced.columns)]
-        return reduced.withColumn(out, predict(vector_to_array("knn_z"))).drop(*made)
+        y_hat = vectors.blank_without(vec, predict(vector_to_array("knn_z")))
+        return reduced.withColumn(out, y_hat).drop(*made)
 
     def predict(self, df: DataFrame, vec: str = "vec", out: str = "p_knn") -> DataFrame:
         """Add the prediction of a single-column label."""
@@ -178,14 +188,15 @@ class CompressedKnnModel:
         return explained_variance(df, self.explained)
 
     def report(self, df: DataFrame) -> DataFrame:
-        """One row: sizes before and after, variance and numbers retained in percent."""
+        """One row: sizes before and after, variance and numbers retained in percent, and
+        whether k-means came to rest within its iterations."""
         k, c = self.templates.shape
         size = 100.0 * (k * c) / (self.n_items * self.n_features)
         retained = 100.0 * self.variance_pca * self.variance_kmeans
         return df.sparkSession.createDataFrame(
-            [(self.n_items, self.n_features, k, c, retained, size)],
+            [(self.n_items, self.n_features, k, c, retained, size, self.kmeans_converged)],
             "n_items long, n_features long, n_templates long, n_components long, "
-            "variance_percent double, numbers_percent double",
+            "variance_percent double, numbers_percent double, kmeans_converged boolean",
         )
 
 
@@ -228,11 +239,13 @@ def fit_knn(
     """Fit on vectors and a numeric or array label; every step is a Spark job.
 
     PCA is fitted on centred data because Spark's PCA does not centre when it transforms.
+    Rows without a vector or a label are left out.
     """
     y = F.col(label)
     if df.schema[label].dataType.typeName() != "array":
         y = F.array(y.cast("double"))
-    data = df.select(array_to_vector(vec).alias("knn_in"), y.alias("y")).persist()
+    usable = vectors.with_vector(df, vec, label)
+    data = usable.select(array_to_vector(vec).alias("knn_in"), y.alias("y")).persist()
     size = data.agg(F.count("*").alias("n"), F.max(F.size(vector_to_array("knn_in")))).first()
     n, width = size[0], size[1]
     n_components = max(1, min(params.n_cols, int(0.9 * width), int(0.9 * n)))
@@ -260,7 +273,9 @@ def fit_knn(
     n_clusters = max(
         1, min(params.n_rows, int(0.8 * params.minibatch_size_kmeans), int(0.8 * n))
     )
-    kmeans = KMeans(k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=20)
+    kmeans = KMeans(
+        k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=params.kmeans_iterations
+    )
     work = float(n) * n_clusters * n_components
     clusters = kmeans.fit(packed(reduced, work, _PRODUCTS_PER_TASK))
     spread = reduced.agg(Summarizer.variance(F.col("knn_z"))).first()[0].toArray().sum() * (n - 1)
@@ -287,4 +302,5 @@ def fit_knn(
         variance_pca=float(pca.explainedVariance.toArray().sum()),
         variance_kmeans=float(1 - inertia / spread) if spread > 0 else 1.0,
         explained=[float(r) for r in pca.explainedVariance.toArray()],
+        kmeans_converged=clusters.summary.numIter < params.kmeans_iterations,
     )

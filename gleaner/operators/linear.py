@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import vectors
 from gleaner.operators.params import LogisticParams
 from gleaner.session import packed
 
@@ -22,12 +23,17 @@ _NUMBERS_PER_TASK = 2e6
 
 @dataclass
 class LogisticModel:
+    """A fitted regression; ``converged`` tells whether it needed fewer steps than allowed."""
+
     model: LogisticRegressionModel
+    converged: bool = True
 
     def predict(self, df: DataFrame, vec: str = "vec", out: str = "p_lr") -> DataFrame:
-        """Add the probability of class 1."""
-        scored = self.model.transform(df.withColumn("lr_in", array_to_vector(vec)))
-        return scored.withColumn(out, F.element_at(vector_to_array("lr_prob"), 2)).drop(
+        """Add the probability of class 1, null for rows without a vector."""
+        filled = vectors.or_zeros(vec, self.model.numFeatures)
+        scored = self.model.transform(df.withColumn("lr_in", array_to_vector(filled)))
+        p = F.element_at(vector_to_array("lr_prob"), 2)
+        return scored.withColumn(out, vectors.blank_without(vec, p)).drop(
             "lr_in", "lr_raw", "lr_prob", "lr_class"
         )
 
@@ -37,16 +43,18 @@ def fit_logistic(
     params: LogisticParams,
     vec: str = "vec",
     label: str = "label",
-    max_iter: int = 100,
+    max_iter: int | None = None,
 ) -> LogisticModel:
     """L2 logistic regression with strength ``c``: ``|w|^2 / 2 + c * sum(weight * loss)``.
 
     Spark divides the loss by the sum of weights, hence ``regParam = 1 / (c * sum)``; the
-    intercept is not penalised and features are not rescaled.
+    intercept is not penalised and features are not rescaled. Rows without a vector or a
+    label are left out. ``max_iter`` replaces that of the parameters.
     """
+    max_iter = max_iter or params.max_iter
     negative, positive = params.class_weight
     weight = F.when(F.col(label) == 1, F.lit(positive)).otherwise(F.lit(negative))
-    data = df.select(
+    data = vectors.with_vector(df, vec, label).select(
         array_to_vector(vec).alias("lr_in"),
         F.col(label).cast("double").alias("label"),
         weight.alias("weight"),
@@ -70,7 +78,7 @@ def fit_logistic(
         tol=1e-8,
     ).fit(packed(data, size.n * size.width, _NUMBERS_PER_TASK))
     data.unpersist()
-    return LogisticModel(model)
+    return LogisticModel(model, model.summary.totalIterations < max_iter)
 
 
 @dataclass
@@ -79,14 +87,15 @@ class DiscriminantModel:
     intercept: float
 
     def predict(self, df: DataFrame, vec: str = "vec", out: str = "p_lda") -> DataFrame:
-        """Add the probability of class 1."""
+        """Add the probability of class 1, null for rows without a vector."""
         coefficients, intercept = self.coefficients, self.intercept
 
         @F.pandas_udf("double")
         def linear(vecs: pd.Series) -> pd.Series:
             return pd.Series(np.stack(vecs.to_numpy()) @ coefficients + intercept)
 
-        return df.withColumn(out, 1 / (1 + F.exp(-linear(vec))))
+        p = 1 / (1 + F.exp(-linear(vectors.or_zeros(vec, len(coefficients)))))
+        return df.withColumn(out, vectors.blank_without(vec, p))
 
 
 def fit_discriminant(
@@ -99,9 +108,10 @@ def fit_discriminant(
 
     The pooled within-class scatter is the total scatter minus the part between the class
     means. The total scatter comes from Spark's PCA with all components (a distributed
-    Gram matrix); only matrices of the feature width reach the driver.
+    Gram matrix); only matrices of the feature width reach the driver. Rows without a vector
+    or a label are left out.
     """
-    data = df.select(
+    data = vectors.with_vector(df, vec, label).select(
         array_to_vector(vec).alias("x"), F.col(label).cast("int").alias("y")
     ).persist()
     per_class = {

@@ -16,12 +16,16 @@ class KnnParams:
     whiten: bool = False
     minibatch_size_kmeans: int = 5000
     seed: int = 1
+    # Most k-means iterations; fits report whether they came to rest before.
+    kmeans_iterations: int = 100
 
 
 @dataclass(frozen=True)
 class LogisticParams:
     c: float = 1.0
     class_weight: tuple[float, float] = (0.5, 0.5)
+    # Most optimiser steps; fits report whether they converged before.
+    max_iter: int = 100
 
 
 @dataclass(frozen=True)

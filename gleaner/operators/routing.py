@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys
@@ -57,24 +57,40 @@ def write_routed(
     items: DataFrame,
     features: DataFrame,
     out: str,
+    run_id: str,
+    source: str = "",
     id_col: str = "sample_id",
-    seed: int | str = 0,
+    path: str | None = None,
 ) -> None:
-    """Write routed items and their features below ``out``, one folder per route.
+    """Add routed items and their features to the sets below ``out``.
 
-    The sources are not touched; ``residual`` gives what deleting the routed items from
-    the source would leave.
+    Every run writes a folder of its own, one per route inside: earlier runs stay, and a
+    repeated run replaces its own rows. Destination ids get a suffix that differs by
+    ``source``, so equal names from two folders do not meet; with a ``path`` column they
+    come with ``dest_name``, the id with the item's extension. The sources are not touched;
+    ``residual`` gives what deleting the routed items from the source would leave.
     """
     out = out.rstrip("/")
+    seed = f"{source}/" if source else 0
     renamed = (
         routed.select(id_col, "route")
         .join(items, id_col)
         .withColumn("dest_id", keys.routed_id(id_col, seed))
     )
-    renamed.write.mode("overwrite").partitionBy("route").parquet(f"{out}/images")
-    routed_features(routed, features, id_col, seed).write.mode("overwrite").partitionBy(
-        "route"
-    ).parquet(f"{out}/pretrained_features")
+    if path:
+        name = F.concat_ws(".", "dest_id", keys.extension(path))
+        renamed = renamed.withColumn("dest_name", name)
+    moved = routed_features(routed, features, id_col, seed)
+    for rows, name in ((renamed, "images"), (moved, "pretrained_features")):
+        folder = f"{out}/{name}/run={run_id}"
+        rows.write.mode("overwrite").partitionBy("route").parquet(folder)
+
+
+def read_routed(spark: SparkSession, out: str, name: str = "images") -> DataFrame:
+    """The routed sets of all runs, with the columns ``run`` and ``route``."""
+    return spark.read.parquet(f"{out.rstrip('/')}/{name}").withColumn(
+        "run", F.col("run").cast("string")
+    )
 
 
 def cold_start_scores(items: DataFrame) -> DataFrame:

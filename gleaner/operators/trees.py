@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import vectors
 from gleaner.operators.params import EnsembleParams, boosting_rounds
 from gleaner.session import ensure_checkpoint_dir, packed
 
@@ -24,9 +25,11 @@ class TreesModel:
     model: GBTClassificationModel
 
     def predict(self, df: DataFrame, vec: str = "vec", out: str = "p_gbt") -> DataFrame:
-        """Add the probability of class 1."""
-        scored = self.model.transform(df.withColumn("gbt_in", array_to_vector(vec)))
-        return scored.withColumn(out, F.element_at(vector_to_array("gbt_prob"), 2)).drop(
+        """Add the probability of class 1, null for rows without a vector."""
+        filled = vectors.or_zeros(vec, self.model.numFeatures)
+        scored = self.model.transform(df.withColumn("gbt_in", array_to_vector(filled)))
+        p = F.element_at(vector_to_array("gbt_prob"), 2)
+        return scored.withColumn(out, vectors.blank_without(vec, p)).drop(
             "gbt_in", "gbt_raw", "gbt_prob", "gbt_class"
         )
 
@@ -34,12 +37,15 @@ class TreesModel:
 def fit_trees(
     df: DataFrame, params: EnsembleParams, vec: str = "vec", label: str = "label"
 ) -> TreesModel:
-    """Boosted trees of as many levels as ``num_leaves`` needs."""
+    """Boosted trees of as many levels as ``num_leaves`` needs.
+
+    Rows without a vector or a label are left out.
+    """
     trees = params.trees
     rounds, rate = boosting_rounds(params)
     if rounds > _CHECKPOINT_EVERY:
         ensure_checkpoint_dir(df.sparkSession)
-    data = df.select(
+    data = vectors.with_vector(df, vec, label).select(
         array_to_vector(vec).alias("gbt_in"), F.col(label).cast("double").alias("label")
     ).persist()
     size = data.agg(

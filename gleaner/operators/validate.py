@@ -8,6 +8,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import with_vector
 from gleaner.operators import metrics
 from gleaner.operators.ensemble import MEMBERS, fit_ensemble, weighted_score
 from gleaner.operators.folds import stratified_folds
@@ -48,12 +49,12 @@ def cross_validate(
     """``(oof, metrics)``: out-of-fold scores of every labeled item, and fold metrics.
 
     Each fold fits all three members on the other folds, with the parameters of the whole
-    set's size, and scores both parts. Folds are independent Spark jobs submitted side by
+    set's size, and scores both parts; items without a vector keep null scores. Folds are independent Spark jobs submitted side by
     side; all scores are written once and evaluated together.
     """
     labeled = df.select(id_col, F.col(label).alias("label"), F.col(vec).alias("vec"))
     drawn = staged(stratified_folds(labeled, id_col, "label", n_splits, n_repeats, seed), "folds")
-    n = labeled.count()
+    n = with_vector(labeled, "vec", "label").count()
 
     def run(task: tuple[int, int]) -> DataFrame:
         repeat, fold = task

@@ -27,11 +27,12 @@ def score_and_route(
 def dedup_routed(
     routed: DataFrame,
     features: DataFrame,
-    n_models: int = 1,
+    n_models: int,
     threshold: float = ROUTED_DUPLICATES_THRESHOLD,
 ) -> DataFrame:
     """Drop near duplicates inside each route, keeping the best-scored copy.
 
+    ``n_models`` is the number of models side by side in the vectors.
     Items without features have nothing to be compared by and stay.
     """
     with_vectors = routed.select("sample_id", "route", "p").join(

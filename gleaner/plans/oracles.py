@@ -291,9 +291,58 @@ near AS (
 _STREAM_P = "round(greatest(0::DOUBLE, least(1::DOUBLE, vec[7])), 6)"
 
 
+# Two columns of the labeled documents, and the discriminant and first component of them.
+_PAIR_CTE = f"""{SHAPE_CTE}, pair AS (
+  SELECT s.sample_id, l.quality::DOUBLE AS y, vec[6] AS a, vec[7] AS b
+  FROM shapes s JOIN labels l ON l.doc_id = s.sample_id)"""
+_LDA = f"""
+WITH {_PAIR_CTE},
+by_class AS (
+  SELECT y, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS aa,
+    var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab
+  FROM pair GROUP BY y),
+fit AS (
+  SELECT sum(aa) / (sum(n) - 2) AS aa, sum(bb) / (sum(n) - 2) AS bb, sum(ab) / (sum(n) - 2) AS ab,
+    max(ma) FILTER (y = 1) AS ma1, max(ma) FILTER (y = 0) AS ma0,
+    max(mb) FILTER (y = 1) AS mb1, max(mb) FILTER (y = 0) AS mb0
+  FROM by_class),
+line AS (
+  SELECT *, (bb * (ma1 - ma0) - ab * (mb1 - mb0)) / (aa * bb - ab * ab) AS ca,
+    (aa * (mb1 - mb0) - ab * (ma1 - ma0)) / (aa * bb - ab * ab) AS cb FROM fit)
+SELECT sample_id, round(1 / (1 + exp(-(ca * (a - (ma0 + ma1) / 2) + cb * (b - (mb0 + mb1) / 2)))), 6) AS p_lda
+FROM pair, line"""
+_PCA = f"""
+WITH {_PAIR_CTE},
+moments AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab FROM pair)
+SELECT 1 AS component, round(share, 6) AS ratio, round(share, 6) AS cumulative
+FROM (SELECT (aa + bb + sqrt((aa - bb) ** 2 + 4 * ab * ab)) / (2 * (aa + bb)) AS share FROM moments)"""
+# Newton steps for two weights (penalised) and an intercept; three unknowns by Cramer's rule.
+_LR = f"""
+WITH RECURSIVE {_PAIR_CTE},
+steps AS (
+  SELECT 0 AS k, 0::DOUBLE AS u, 0::DOUBLE AS v, 0::DOUBLE AS w
+  UNION ALL
+  SELECT k + 1, u - d1 / d, v - d2 / d, w - d3 / d FROM (
+    SELECT *, g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3) AS d1,
+      h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13) AS d2,
+      h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13) AS d3,
+      h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS d
+    FROM (
+      SELECT k, u, v, w, u + sum(c * (p - y) * a) AS g1, v + sum(c * (p - y) * b) AS g2, sum(c * (p - y)) AS g3,
+        1 + sum(c * p * (1 - p) * a * a) AS h11, 1 + sum(c * p * (1 - p) * b * b) AS h22,
+        sum(c * p * (1 - p)) AS h33, sum(c * p * (1 - p) * a * b) AS h12,
+        sum(c * p * (1 - p) * a) AS h13, sum(c * p * (1 - p) * b) AS h23
+      FROM (
+        SELECT s.*, a, b, y, 0.5::DOUBLE AS c, 1 / (1 + exp(-(u * a + v * b + w))) AS p
+        FROM steps s, pair WHERE k < 30)
+      GROUP BY k, u, v, w)))
+SELECT sample_id, round(1 / (1 + exp(-(u * a + v * b + w))), 3) AS p_lr
+FROM pair, steps WHERE k = 30"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL per query key; keys without an entry have no equivalent SQL."""
-    return {
+    known = {
         "doc_letter_features": f"""
 WITH {LETTER_CTE}
 SELECT sample_id, unnest(range(27))::INT AS position, round(unnest(vec), 6) AS value FROM letters""",
@@ -413,6 +462,15 @@ WITH {TOY_CTE}
 SELECT sample_id || '_' || {_SUFFIX.format(id='sample_id')} AS dest_id, route,
   round(vec[6], 6) AS log_length
 FROM ({_ROUTED.format(negative="0.6", positive="0.8")}) JOIN shapes USING (sample_id)""",
+        "routed_sink": f"""
+WITH {TOY_CTE}, routed AS ({_ROUTED.format(negative="0.6", positive="0.8")}),
+runs AS (
+  SELECT '1' AS run, route, sample_id, sample_id || '_' || {_SUFFIX.format(id='sample_id')} AS dest_id
+  FROM routed WHERE sample_id % 2 = 0
+  UNION ALL
+  SELECT '2', route, sample_id, sample_id || '_' || {_SUFFIX.replace("'0:'", "'again/:'").format(id='sample_id')}
+  FROM routed WHERE sample_id % 2 = 1)
+SELECT run, route, dest_id, dest_id || '.txt' AS dest_name FROM runs""",
         "cold_start": "SELECT doc_id AS sample_id, 0.1::DOUBLE AS p FROM documents",
         "model_name": """
 SELECT 'taste_num_samples_' || count(*) || '_num_features_35_2024-01-31' AS name FROM labels""",
@@ -473,3 +531,9 @@ SELECT sample_id, p, CASE WHEN p <= 0.6::DOUBLE THEN 'negative' WHEN p >= 0.8::D
   THEN 'positive' ELSE 'none' END AS route FROM scored""",
         "stream_label_progress": _PROGRESS,
     }
+    known |= {"lda_two_columns": _LDA, "pca_two_columns": _PCA, "lr_two_columns": _LR}
+    # Other ways to the same rows.
+    known["near_dup_cells"] = known["near_dup_drop"]
+    known["template_knn_blocks"] = known["template_knn"]
+    known["stream_session_eval"] = known["session_eval"]
+    return known

@@ -25,7 +25,7 @@ from gleaner.operators import (
     validate,
 )
 from gleaner.operators.ensemble import MEMBERS, fit_ensemble, weighted_score
-from gleaner.operators.params import DEFAULT, EnsembleParams, for_sample_size
+from gleaner.operators.params import DEFAULT, for_sample_size
 from gleaner.plans.apply import dedup_routed, score_and_route
 from gleaner.plans.train import fit_labeled, retrain_and_rescore, score_items
 from gleaner.session import new_path, spread, staged
@@ -35,8 +35,6 @@ from gleaner.sources import store
 from gleaner.streaming import progress, scoring
 
 DOCUMENT_MODELS = ("shape8", "letters27")
-# Few, large boosting steps instead of hundreds of small ones.
-QUERY_PARAMS: EnsembleParams = replace(DEFAULT, boosting=(20, 0.3))
 TEXT_THRESHOLD = 0.9999
 VECTOR_THRESHOLD = 0.4
 NAME_DAY = "2024-01-31"
@@ -216,6 +214,12 @@ def near_dup_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_dup_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``near_dup_drop`` in many small cells: pivots, visits and witnesses."""
+    items = letter_vectors(spark, sf_dir)
+    return dedup.dropped_items(items, threshold=TEXT_THRESHOLD, tile_rows=64, n_pivots=24)
+
+
 def near_dup_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = embeddings(spark, sf_dir).withColumn("vec", vectors.l2_normalize("vec"))
     return dedup.dropped_items(items, threshold=VECTOR_THRESHOLD)
@@ -230,7 +234,7 @@ def near_dup_two_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dup_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-scored copies inside each route."""
     routed = routing.route_items(document_scores(spark, sf_dir), 0.7, 0.6)
-    kept = dedup_routed(routed, letter_vectors(spark, sf_dir), threshold=TEXT_THRESHOLD)
+    kept = dedup_routed(routed, letter_vectors(spark, sf_dir), 1, TEXT_THRESHOLD)
     return kept.select("sample_id", "route")
 
 
@@ -354,6 +358,23 @@ def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def routed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of two sources into the same sets, the second one repeated."""
+    out = new_path(spark, "routed-sets")
+    scores = staged(document_scores(spark, sf_dir), "scores")
+    routed = routing.route_items(scores, positive=0.8, negative=0.6)
+    features = staged(featurize.featurize(texts(spark, sf_dir), "shape8").select("sample_id", "vec"), "shape")
+    items = documents(spark, sf_dir).select(
+        "sample_id", F.concat(F.col("source"), F.lit("/"), F.col("sample_id"), F.lit(".txt")).alias("path")
+    )
+    for run, source in (("1", ""), ("2", "again"), ("2", "again")):
+        part = routed.where(F.col("sample_id") % 2 == int(run) - 1)
+        routing.write_routed(part, items, features, out, run, source, path="path")
+    moved = routing.read_routed(spark, out, "pretrained_features").select("dest_id", "run", "vec")
+    both = routing.read_routed(spark, out).join(moved.select("dest_id", "run").distinct(), ["dest_id", "run"])
+    return both.select("run", "route", "dest_id", "dest_name")
+
+
 def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.cold_start_scores(documents(spark, sf_dir).select("sample_id"))
 
@@ -389,9 +410,9 @@ def _searched(found: DataFrame) -> DataFrame:
 
 
 def weight_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 36 triples of a simplex grid, scored by grouped aggregates."""
+    """All 36 triples of a simplex grid."""
     oof = staged(labeled_scores(spark, sf_dir), "oof")
-    return _searched(ensemble_weights.search_by_joins(oof, ensemble_weights.grid_weights(spark)))
+    return _searched(ensemble_weights.weight_search(oof, ensemble_weights.grid_weights(spark)))
 
 
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,6 +467,12 @@ def template_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(knn.knn_join(data, templates, 3), "y_hat", "share")
 
 
+def template_knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``template_knn`` with templates in blocks of two."""
+    data, templates = template_tables(spark, sf_dir)
+    return long_form(knn.knn_join(data, templates, 3, block_bytes=1200), "y_hat", "share")
+
+
 def multiclass_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     data, templates = template_tables(spark, sf_dir)
     predicted = knn.knn_join(data, templates, 1).join(data.select("sample_id", "y"), "sample_id")
@@ -500,9 +527,33 @@ def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(data).select("sample_id", "label", "p_lr")
 
 
+def pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns (log length, distinct words) of the labeled documents."""
+    pair = F.slice(featurize.feature_column("shape8"), 6, 2).alias("vec")
+    return staged(labeled_documents(spark, sf_dir).select("sample_id", "label", pair), "pair")
+
+
+def lr_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = pair_vectors(spark, sf_dir)
+    model = linear.fit_logistic(data, DEFAULT.logistic)
+    return rounded(model.predict(data).select("sample_id", "p_lr"), "p_lr", digits=3)
+
+
+def lda_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = pair_vectors(spark, sf_dir)
+    model = linear.fit_discriminant(data)
+    return rounded(model.predict(data).select("sample_id", "p_lda"), "p_lda")
+
+
+def pca_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = pair_vectors(spark, sf_dir)
+    model = knn.fit_knn(data, for_sample_size(DEFAULT, data.count()).knn)
+    return rounded(model.pca_variance(data), "ratio", "cumulative")
+
+
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = labeled_vectors(spark, sf_dir)
-    model = trees.fit_trees(data, for_sample_size(QUERY_PARAMS, data.count()))
+    model = trees.fit_trees(data, for_sample_size(DEFAULT, data.count()))
     return model.predict(data).select("sample_id", "label", "p_gbt")
 
 
@@ -522,14 +573,14 @@ def two_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit_ensemble(labeled_vectors(spark, sf_dir), QUERY_PARAMS)
+    model = fit_ensemble(labeled_vectors(spark, sf_dir), DEFAULT)
     return score_items(model, document_vectors(spark, sf_dir))
 
 
 def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the labeled documents, score and route the others, count the routes."""
     known = labels(spark, sf_dir)
-    model = fit_labeled(labeled_vectors(spark, sf_dir), QUERY_PARAMS, DOCUMENT_MODELS).model
+    model = fit_labeled(labeled_vectors(spark, sf_dir), DEFAULT, DOCUMENT_MODELS).model
     pool = texts(spark, sf_dir).join(known, "sample_id", "left_anti")
     pool_vectors = collect.direct_features(pool, DOCUMENT_MODELS)
     routed, _ = score_and_route(model, pool_vectors)
@@ -537,26 +588,34 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per_fold = validate.cross_validate(labeled_vectors(spark, sf_dir), QUERY_PARAMS)
+    _, per_fold = validate.cross_validate(labeled_vectors(spark, sf_dir), DEFAULT)
     return rounded(per_fold, "accuracy", "rmse", "auc")
 
 
 def retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refit with validated weights, save, and rescore the unlabeled documents."""
-    pool = document_vectors(spark, sf_dir).join(labels(spark, sf_dir), "sample_id", "left_anti")
-    _, scores = retrain_and_rescore(
-        labeled_vectors(spark, sf_dir), pool, QUERY_PARAMS, new_path(spark, "models")
+    """Refit with validated weights, save, and score the unlabeled documents as loaded."""
+    others = texts(spark, sf_dir).join(labels(spark, sf_dir), "sample_id", "left_anti")
+    pool = staged(collect.direct_features(others, DOCUMENT_MODELS), "pool")
+    training, _ = retrain_and_rescore(
+        labeled_vectors(spark, sf_dir),
+        pool,
+        DEFAULT,
+        new_path(spark, "models"),
+        models_for_features=DOCUMENT_MODELS,
     )
-    return scores
+    return score_items(models_source.load_model(spark, training.path), pool)
 
 
 # --- streaming ------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
+def _stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
+    """A table arriving as a stream of several files, two to a micro-batch."""
+    rows = table(spark, sf_dir, name)
+    folder = new_path(spark, "arriving")
+    rows.repartition(files).write.parquet(folder)
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     )
 
 
@@ -589,6 +648,17 @@ def stream_label_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.label_progress(documents(spark, sf_dir).select("sample_id"), given)
 
 
+def stream_session_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label events arriving as a file stream, judged against the scores."""
+    out = new_path(spark, "labels")
+    arriving = label_events(spark, sf_dir, _stream(spark, sf_dir, "events"))
+    progress.stream_first_labels(
+        arriving, out, new_path(spark, "checkpoint")
+    ).awaitTermination()
+    found = progress.current_session(spark, out, document_scores(spark, sf_dir))
+    return rounded(found, "accuracy", "auc")
+
+
 QUERIES: dict[str, Query] = {
     "doc_letter_features": doc_letter_features,
     "doc_shape_features": doc_shape_features,
@@ -647,4 +717,11 @@ QUERIES: dict[str, Query] = {
     "retrain_and_rescore": retrain,
     "stream_score": stream_score,
     "stream_label_progress": stream_label_progress,
+    "stream_session_eval": stream_session_eval,
+    "routed_sink": routed_sink,
+    "lr_two_columns": lr_two_columns,
+    "lda_two_columns": lda_two_columns,
+    "pca_two_columns": pca_two_columns,
+    "near_dup_cells": near_dup_cells,
+    "template_knn_blocks": template_knn_blocks,
 }

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.vectors import with_vector
 from gleaner.operators import dedup, ensemble_weights, validate
 from gleaner.operators.collect import check_same_models
 from gleaner.operators.ensemble import EnsembleModel, fit_ensemble
@@ -18,11 +19,17 @@ from gleaner.sources.store import labeled_set
 
 @dataclass
 class Training:
-    """A fitted model with its out-of-fold scores and fold metrics (None if not run)."""
+    """A fitted model with its out-of-fold scores and fold metrics (None if not run).
+
+    ``n_without_vector`` counts labeled items that no fit could use; ``path`` is where the
+    model was saved.
+    """
 
     model: EnsembleModel
     oof: DataFrame | None
     fold_metrics: DataFrame | None
+    n_without_vector: int = 0
+    path: str | None = None
 
 
 def fit_from_sets(
@@ -32,7 +39,7 @@ def fit_from_sets(
     models_for_features: Sequence[str] = (),
     remove_duplicates: bool = False,
     duplicates_vec: str = "vec",
-    n_duplicate_models: int = 1,
+    n_duplicate_models: int | None = None,
     similarity_threshold: float = 0.99,
     perform_cross_validation: bool = False,
     reset_weights: bool = False,
@@ -40,10 +47,12 @@ def fit_from_sets(
 ) -> Training:
     """Fit the ensemble on ``(sample_id, vec)`` sets of both classes.
 
-    Optionally drops near duplicates inside each class first. Cross-validation and the
-    weight search run only for more than 80 labeled items.
+    Optionally drops near duplicates inside each class first, by a column of as many unit
+    blocks as ``n_duplicate_models`` (by default the models of the features).
+    Cross-validation and the weight search run only for more than 80 labeled items.
     """
     if remove_duplicates:
+        n_duplicate_models = n_duplicate_models or max(1, len(models_for_features))
         search = dict(
             vec=duplicates_vec, threshold=similarity_threshold, n_models=n_duplicate_models
         )
@@ -69,7 +78,8 @@ def fit_labeled(
 ) -> Training:
     """Fit on ``(sample_id, vec, label)``; see ``fit_from_sets``."""
     labeled = labeled.select("sample_id", "vec", "label").persist()
-    counts = labeled.agg(
+    without = labeled.where("vec is null and label is not null").count()
+    counts = with_vector(labeled, "vec", "label").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     ).first()
     n = counts.pos + counts.neg
@@ -87,7 +97,7 @@ def fit_labeled(
         if reset_weights:
             model = model.with_weights([model.best[w] for w in ensemble_weights.WEIGHTS])
     labeled.unpersist()
-    return Training(model, oof, folds)
+    return Training(model, oof, folds, without)
 
 
 def score_items(
@@ -117,14 +127,32 @@ def retrain_and_rescore(
     models_folder: str | None = None,
     prefix: str = MODEL_PREFIX,
     n_weights: int = ensemble_weights.N_TRIPLES,
+    models_for_features: Sequence[str] = (),
+    remove_duplicates: bool = False,
+    duplicates_vec: str = "vec",
+    n_duplicate_models: int | None = None,
+    similarity_threshold: float = 0.99,
 ) -> tuple[Training, DataFrame]:
     """Refit with cross-validation, adopt the best weights, rescore the pool, save.
 
-    The session starts afresh: callers keep no label flags or session scores after this.
+    The saved model carries ``models_for_features``; near duplicates inside each class go
+    first if asked for. The session starts afresh: callers keep no label flags or session
+    scores after this.
     """
-    training = fit_labeled(
-        labeled, params, perform_cross_validation=True, reset_weights=True, n_weights=n_weights
+    columns = list(dict.fromkeys(["sample_id", "vec", duplicates_vec]))
+    training = fit_from_sets(
+        labeled.where("label = 1").select(*columns),
+        labeled.where("label = 0").select(*columns),
+        params,
+        models_for_features,
+        remove_duplicates,
+        duplicates_vec,
+        n_duplicate_models,
+        similarity_threshold,
+        perform_cross_validation=True,
+        reset_weights=True,
+        n_weights=n_weights,
     )
     if models_folder:
-        save_model(pool.sparkSession, training.model, models_folder, prefix)
+        training.path = save_model(pool.sparkSession, training.model, models_folder, prefix)
     return training, score_items(training.model, pool)

@@ -64,7 +64,9 @@ def save_model(
             "variance_pca": model.knn.variance_pca,
             "variance_kmeans": model.knn.variance_kmeans,
             "explained": model.knn.explained,
+            "kmeans_converged": bool(model.knn.kmeans_converged),
         },
+        "logistic_converged": bool(model.logistic.converged),
     }
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode(
         "overwrite"
@@ -86,7 +88,9 @@ def load_model(spark: SparkSession, path: str) -> EnsembleModel:
     return EnsembleModel(
         params=EnsembleParams.from_json(json.dumps(facts["params"])),
         knn=knn,
-        logistic=LogisticModel(LogisticRegressionModel.load(f"{path}/logistic")),
+        logistic=LogisticModel(
+            LogisticRegressionModel.load(f"{path}/logistic"), facts["logistic_converged"]
+        ),
         trees=TreesModel(GBTClassificationModel.load(f"{path}/trees")),
         n_features=facts["n_features"],
         models_for_features=tuple(facts["models_for_features"]),

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.labeling import first_labels
+from gleaner.operators.labeling import first_labels, session_eval
 
 
 def stream_first_labels(
-    events: DataFrame, out: str, checkpoint: str, id_col: str = "sample_id"
+    events: DataFrame,
+    out: str,
+    checkpoint: str,
+    id_col: str = "sample_id",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the first label of every item up to date.
 
     ``events`` has ``event_id, ts, label`` and the id. The state holds one row per labeled
     item. A micro-batch writes only the items whose first label changed, to its own folder
-    (a repeated batch overwrites itself).
+    (a repeated batch overwrites itself). ``trigger`` are the options of Spark's trigger; by
+    default the stream ends when it has caught up.
     """
 
     def write(changed: DataFrame, batch_id: int) -> None:
@@ -27,7 +32,7 @@ def stream_first_labels(
         .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -39,3 +44,10 @@ def current_labels(spark: SparkSession, out: str, id_col: str = "sample_id") ->
         .groupBy(id_col)
         .agg(F.max_by("label", "batch_id").alias("label"))
     )
+
+
+def current_session(
+    spark: SparkSession, out: str, scores: DataFrame, id_col: str = "sample_id", p: str = "p"
+) -> DataFrame:
+    """Accuracy, AUC and size of the session, by the labels that have arrived so far."""
+    return session_eval(current_labels(spark, out, id_col), scores, id_col, p)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators import routing
@@ -30,30 +29,34 @@ def stream_score(
     id_col: str = "sample_id",
     positive: float = routing.POSITIVE_THRESHOLD,
     negative: float = routing.NEGATIVE_THRESHOLD,
+    event_time: str | None = None,
+    watermark: str = "1 day",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Score and route each new item of a stream once.
 
-    ``score`` maps items to ``(id, p)``. Every micro-batch overwrites its own folder
-    ``batch_id=...``, so a repeated batch leaves the same result; items that an earlier
-    batch has written are skipped before anything is computed for them.
+    ``score`` maps items to ``(id, p)``. Ids that have been seen are kept in the stream's
+    state, so a batch reads nothing but what arrives; of rows that repeat an id the first to
+    be processed counts. With an ``event_time`` column the state lets go of ids older than
+    the ``watermark``; without one it grows with the ids, on disk if the session's state
+    store is. Every micro-batch overwrites its own folder ``batch_id=...``, so a repeated
+    batch leaves the same result. ``trigger`` are the options of Spark's trigger; by default
+    the stream ends when it has caught up.
     """
-    id_type = dict(items.dtypes)[id_col]
-    schema = f"`{id_col}` {id_type}, p double, route string, batch_id long"
+    if event_time:
+        fresh = items.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([id_col])
+    else:
+        fresh = items.dropDuplicates([id_col])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = routed_so_far(spark, out, schema).where(F.col("batch_id") < batch_id)
-        fresh = batch.dropDuplicates([id_col]).join(
-            earlier.select(id_col), id_col, "left_anti"
-        )
-        scored = score(fresh).select(id_col, "p")
+        scored = score(batch).select(id_col, "p")
         # Items between the thresholds are written with a null route: they are done too.
         routed = routing.route_items(scored, positive, negative, keep_unrouted=True)
         routed.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
     return (
-        items.writeStream.foreachBatch(write)
+        fresh.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -108,3 +108,10 @@ def test_null_order_fails(spark):
     )
     with pytest.raises(Exception, match="must not be null"):
         dedup.survivors(df, order=["p"]).collect()
+
+
+def test_wrong_blocks_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0]), (2, None)], "sample_id long, vec array<double>")
+    assert dedup.survivors(df, n_models=2).count() == 2
+    with pytest.raises(Exception, match="unit blocks"):
+        dedup.survivors(df, n_models=1).count()

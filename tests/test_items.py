@@ -156,8 +156,8 @@ def test_write_routed(spark, tmp_path):
     scores = spark.createDataFrame([("a", 0.1), ("b", 0.9)], "sample_id string, p double")
     things = scores.select("sample_id", F.lit("x").alias("content"))
     features = spark.createDataFrame([("a", "m", [1.0]), ("b", "m", [2.0])], FEATURES)
-    routing.write_routed(routing.route_items(scores), things, features, str(tmp_path))
-    moved = spark.read.parquet(f"{tmp_path}/images/route=negative").collect()
+    routing.write_routed(routing.route_items(scores), things, features, str(tmp_path), "run1")
+    moved = spark.read.parquet(f"{tmp_path}/images/run=run1/route=negative").collect()
     assert len(moved) == 1 and moved[0].dest_id.startswith("a_")
     vecs = spark.read.parquet(f"{tmp_path}/pretrained_features").collect()
     assert {(r.sample_id, r.route) for r in vecs} == {("a", "negative"), ("b", "positive")}

@@ -127,17 +127,37 @@ def oof(spark, n=300, seed=0):
     )
 
 
-def test_weight_search_strategies_agree(spark):
+def test_weight_search_equals_the_metrics_of_each_triple(spark):
     table = oof(spark)
-    weights = ensemble_weights.random_weights(spark, 40, seed=3)
-    by_join = ensemble_weights.search_by_joins(table, weights).orderBy("weight_id").toPandas()
-    by_cast = ensemble_weights.search_by_broadcast(table, weights).orderBy("weight_id").toPandas()
-    pd.testing.assert_frame_equal(by_join, by_cast[by_join.columns], rtol=1e-12)
-    best = ensemble_weights.best_weights(ensemble_weights.weight_search(table, weights)).first()
-    assert best.score == pytest.approx(by_join.score.max())
+    blank = spark.createDataFrame([(9000 + i, float(i % 2), None, 0.5, 0.5) for i in range(3)], table.schema)
+    weights = ensemble_weights.random_weights(spark, 6, seed=3)
+    found = ensemble_weights.weight_search(table.unionByName(blank), weights)
+    for w in found.collect():
+        p = w.w_knn * F.col("p_knn") + w.w_lr * F.col("p_lr") + w.w_gbt * F.col("p_gbt")
+        mixed = table.withColumn("p", p).withColumn("g", F.lit(0))
+        assert w.auc == pytest.approx(metrics.auc(mixed, "p", "label", ["g"]).first().auc)
+        assert w.accuracy == pytest.approx(metrics.accuracy(mixed, "p", "label", ["g"]).first().accuracy)
+        curves = metrics.ratio_curves(metrics.threshold_sweep(mixed, "p", "label", ["g"]))
+        margins = peaks.safe_margins(peaks.ratio_peaks(curves, by=["g"])).first()
+        assert (w.positive_margin, w.negative_margin) == pytest.approx(
+            (margins.positive_margin, margins.negative_margin))
+    best = ensemble_weights.best_weights(found).first()
+    assert best.score == pytest.approx(max(r.score for r in found.collect()))
     assert best.w_knn + best.w_lr + best.w_gbt == pytest.approx(1)
 
 
+def test_weight_search_with_one_class_or_a_bound(spark):
+    table = oof(spark)
+    weights = ensemble_weights.random_weights(spark, 5, seed=3)
+    one = ensemble_weights.weight_search(table.where("label = 1"), weights)
+    assert all(r.auc is None and r.score is None and r.accuracy is not None for r in one.collect())
+    assert ensemble_weights.best_weights(one).first().weight_id == 0
+    none = ensemble_weights.weight_search(table.where("label = 5"), weights)
+    assert all(r.auc is None and r.accuracy is None for r in none.collect())
+    some = ensemble_weights.weight_search(table, weights, max_rows=50).collect()
+    assert some == ensemble_weights.weight_search(table.repartition(7), weights, max_rows=50).collect()
+
+
 def test_weights_are_at_least_three_percent_before_normalising(spark):
     rows = ensemble_weights.random_weights(spark, 500).toPandas()
     assert (rows[["w_knn", "w_lr", "w_gbt"]].min(axis=1) >= 0.03 / 2.03).all()

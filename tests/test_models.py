@@ -205,7 +205,9 @@ def test_ensemble_lies_between_members_and_survives_saving(spark, data):
     routed, tails = score_and_route(model, df, 0.6, 0.4)
     assert set(r.route for r in routed.collect()) == {"positive", "negative"}
     assert 0 <= tails.first().share_high <= 1
-    assert dedup_routed(routed, df, threshold=0.9).count() <= routed.count()
+    assert dedup_routed(
+        routed, df.withColumn("vec", vectors.l2_normalize("vec")), 1, 0.9
+    ).count() <= routed.count()
     with pytest.raises(ValueError):
         train.keep_best_copies(model, df, ["other"])
     # Among two copies the later id wins: both have the same score.
@@ -236,3 +238,54 @@ def test_cross_validation_gate_and_result(spark, data):
 def test_weighted_score_checks_lengths():
     with pytest.raises(ValueError):
         weighted_score([0.5, 0.5])
+
+
+def test_fits_leave_out_rows_without_a_vector(spark, data):
+    df, _, _ = data
+    blank = spark.createDataFrame([("z1", None, 1.0), ("z2", None, 0.0)], df.schema)
+    both = df.unionByName(blank)
+    small = replace(DEFAULT.knn, n_cols=5, n_rows=20, n_neighbors=3)
+    fits = {
+        "p_lr": lambda rows: linear.fit_logistic(rows, DEFAULT.logistic),
+        "p_lda": linear.fit_discriminant,
+        "p_gbt": lambda rows: trees.fit_trees(rows, QUICK),
+        "p_knn": lambda rows: knn.fit_knn(rows, small),
+    }
+    for column, fit in fits.items():
+        scores = {r.sample_id: r[column] for r in fit(both).predict(both).collect()}
+        assert scores.pop("z1") is None and scores.pop("z2") is None
+        plain = {r.sample_id: r[column] for r in fit(df).predict(df).collect()}
+        assert scores == pytest.approx(plain, abs=1e-6)
+    training = train.fit_labeled(both, QUICK, perform_cross_validation=True, n_weights=10)
+    assert training.n_without_vector == 2
+    assert training.model.n_positive + training.model.n_negative == df.count()
+    assert training.oof.where("p_ensemble is null").count() == 2
+
+
+def test_knn_join_gives_null_without_a_vector(spark):
+    templates = spark.createDataFrame(
+        [(i, [float(i), 0.0], [float(i)]) for i in range(8)], "template_id long, vec array<double>, y array<double>")
+    queries = spark.createDataFrame(
+        [("a", [2.1, 0.0]), ("b", None)], "sample_id string, vec array<double>")
+    for block_bytes in (1 << 20, 64):
+        got = knn.knn_join(queries, templates, 2, block_bytes=block_bytes).collect()
+        assert {r.sample_id: r.y_hat for r in got} == {"a": [2.5], "b": None}
+
+
+def test_retrain_saves_a_model_that_keeps_best_copies(spark, data):
+    """Two models side by side: duplicates are counted by both, the loaded model knows them."""
+    df, _, _ = data
+    half = lambda a: vectors.l2_normalize(F.slice("vec", a, 4))
+    unit = df.withColumn("vec", F.concat(half(1), half(5)))
+    twins = unit.limit(15).withColumn("sample_id", F.concat(F.lit("t"), "sample_id"))
+    labeled = unit.unionByName(twins)
+    training, scores = train.retrain_and_rescore(
+        labeled, unit, QUICK, new_path(spark, "models"), n_weights=10,
+        models_for_features=["a", "b"], remove_duplicates=True, similarity_threshold=0.9999,
+    )
+    assert training.model.n_positive + training.model.n_negative == unit.count()
+    loaded = load_model(spark, training.path)
+    again = train.score_items(loaded, unit)
+    assert scores.exceptAll(again).isEmpty() and again.count() == unit.count()
+    kept = train.keep_best_copies(loaded, labeled, ["a", "b"], 0.9999)
+    assert kept.count() == unit.count()

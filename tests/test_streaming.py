@@ -62,3 +62,37 @@ def test_first_label_wins_across_batches(spark, tmp_path):
     assert run() == {"a": 0, "b": 0, "c": 1}
     batch = labeling.first_labels(spark.read.parquet(source))
     assert {r.sample_id: r.label for r in batch.collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_routed_sets_grow_run_by_run(spark, tmp_path):
+    out = str(tmp_path / "sets")
+    items = spark.createDataFrame(
+        [(i, f"in/{i}.v2.png") for i in "abcd"], "sample_id string, path string")
+    features = items.select("sample_id", F.array(F.lit(1.0)).alias("vec"))
+
+    def write(ids, run, source=""):
+        routed = items.where(F.col("sample_id").isin(*ids)).select("sample_id", F.lit("positive").alias("route"))
+        routing.write_routed(routed, items, features, out, run, source, path="path")
+
+    write("ab", "one")
+    write("cd", "two")
+    write("cd", "two")
+    assert sorted(r.sample_id for r in routing.read_routed(spark, out).collect()) == list("abcd")
+    assert routing.read_routed(spark, out, "pretrained_features").count() == 4
+    row = routing.read_routed(spark, out).where("sample_id = 'a'").first()
+    assert row.dest_name == f"{row.dest_id}.png" and row.run == "one" and row.route == "positive"
+    write("a", "three", source="other")
+    ids = [r.dest_id for r in routing.read_routed(spark, out).where("sample_id = 'a'").collect()]
+    assert len(set(ids)) == 2
+
+
+def test_watermark_bounds_the_seen_ids(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(datetime.datetime(2024, 1, 1, 0, i), "ab"[i % 2], 0.1 * i) for i in range(4)]
+    spark.createDataFrame(rows, "ts timestamp, sample_id string, x double").coalesce(1).write.parquet(source)
+    arriving = spark.readStream.schema("ts timestamp, sample_id string, x double").parquet(source)
+    scoring.stream_score(
+        arriving, lambda df: df.select("sample_id", F.col("x").alias("p")), out, str(tmp_path / "mark"),
+        event_time="ts", watermark="1 hour", trigger={"availableNow": True},
+    ).awaitTermination()
+    assert sorted(r.sample_id for r in scoring.routed_so_far(spark, out, SCHEMA).collect()) == ["a", "b"]
