@@ -16,6 +16,7 @@ within their length, which the tasks that cut them have counted already.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import words
 from gleaner.session import staged
 
-_CACHED_WORDS = 400_000
-_CACHED_WORD_BYTES = 64
+_CACHED_WORDS = 120_000
+_LONG_WORD = 256
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,25 @@ class PackingParams:
     end_id: int = 0
 
 
+#: How the tokenizer file marks the last token of a piece.
+_PIECE_END = "</w>"
+_MARKS = b".,;:!?$%&*#"
+
+
+def _marked(word: bytes) -> tuple[bytes, bytes]:
+    """A word as letters and the marks behind them, if it can be cut there."""
+    stem = word.rstrip(_MARKS)
+    if len(stem) < len(word) and (stem.isalpha() or _normal(stem)[-1:].isalpha()):
+        return stem, word[len(stem) :]
+    return word, b""
+
+
+def _normal(word: bytes) -> str:
+    """The word as the tokenizer cuts it: composed and in lower case."""
+    text = word.decode("utf-8", "replace")
+    return text if text.isascii() else unicodedata.normalize("NFC", text).lower()
+
+
 @cache
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -54,6 +74,10 @@ class Encoder:
     The tokenizer drops white space and never merges across it, so a text's ids are those of
     its words. Words are kept in a bounded cache, and those of a slice that are missing are
     encoded together. Only ASCII white space is cut at; the tokenizer sees any other kind.
+
+    The tokenizer also cuts between letters and marks. So a word of letters with marks behind
+    it is two entries, and words of letters, which are one piece each, are encoded as one text
+    and told apart by the tokens that end a piece.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,8 +87,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_PIECE_END)]] = True
 
     def _encode(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        young, old = self.known, self.older
+        found: dict[bytes, bytes] = {}
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        letters: list[bytes] = []
+        other: list[bytes] = []
+        for word in missing:
+            if word.isalpha():  # ASCII letters only
+                letters.append(word)
+                continue
+            stem, marks = _marked(word)
+            if marks:
+                cut.append((word, stem, marks))
+            else:
+                (letters if _normal(word).isalpha() else other).append(word)
+        for part in {p for _, *pair in cut for p in pair}.difference(letters):
+            if part in young:
+                found[part] = young[part]
+            elif part in old:
+                found[part] = old[part]
+            else:
+                (letters if part.isalpha() or _normal(part).isalpha() else other).append(part)
+        found.update(self._encode_letters(letters))
+        found.update(self._encode_each(other))
+        for word, stem, marks in cut:
+            found[word] = found[stem] + found[marks]
+        return found
+
+    def _encode_letters(self, letters: list[bytes]) -> dict[bytes, bytes]:
+        lines = [letters[i : i + 512] for i in range(0, len(letters), 512)]
+        texts = [b" ".join(line).decode() for line in lines]
+        found: dict[bytes, bytes] = {}
+        for line, one in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(one.ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(line):  # some word is more than one piece
+                found.update(self._encode_each(line))
+                continue
+            raw = ids.tobytes()
+            begins = [0, *(4 * last[:-1]).tolist()]
+            found.update(zip(line, (raw[a:b] for a, b in zip(begins, (4 * last).tolist(), strict=True)), strict=True))
+        return found
+
+    def _encode_each(self, missing: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode("utf-8", "replace") for w in missing]
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return {
@@ -73,18 +144,22 @@ class Encoder:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() if b"<|" not in t else t.split() for t in texts]
-        known = self.known
-        missing = list({w for ws in split for w in ws if w not in known})
+        distinct = set().union(*split)
+        young, old = self.known, self.older
+        missing = []
+        for word in distinct.difference(young):
+            if word in old:
+                young[word] = old[word]
+            else:
+                missing.append(word)
         fresh = self._encode(missing)
-        if len(known) + len(fresh) > _CACHED_WORDS:
-            known.clear()
-        short = {w: e for w, e in fresh.items() if len(w) <= _CACHED_WORD_BYTES}
-        known.update(short)
-        if len(short) < len(fresh) or len(known) == len(short):
-            found = {**known, **fresh}
-            found.update(self._encode([w for w in {w for ws in split for w in ws} if w not in found]))
-            return [b"".join([found[w] for w in ws]) for ws in split]
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        young.update(fresh)
+        out = [b"".join([young[w] for w in ws]) for ws in split]
+        if len(young) > _CACHED_WORDS or max(map(len, distinct), default=0) > _LONG_WORD:
+            # Words used since the last turn-over stay one turn longer.
+            self.older = {w: e for w, e in young.items() if len(w) <= _LONG_WORD}
+            self.known = {}
+        return out
 
 
 def pieces(docs: DataFrame, doc_id: str, text: str, params: PackingParams) -> DataFrame:
