@@ -25,13 +25,14 @@ from gleaner.llm import words
 
 UNDETERMINED = "und"
 _FLUSH = 1 << 20
+_SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
 class LanguageIdParams:
     """``slots`` bounds the broadcast table: 8 bytes a slot for each 64 languages."""
 
-    orders: tuple[int, ...] = (2, 3, 4)
+    orders: tuple[int, ...] = (3, 4)
     slots: int = 1 << 22
     hashes: int = 3
     min_ratio: float = 0.4
@@ -110,7 +111,7 @@ def _counts(df: DataFrame, orders: tuple[int, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for part in words.slices(batches, "text"):
+        for part in words.slices(batches, "text", _SLICE_BYTES):
             gram, text = n_grams(part.column("text"), orders)
             coded = part.column("lang").dictionary_encode()
             lang_of = coded.indices.to_numpy()
@@ -234,4 +235,5 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
         names, scores = predict_texts(shared.value, column)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    return words.with_columns(docs, text, {"lang_pred": "string", "score": "double"}, compute)
+    fields = {"lang_pred": "string", "score": "double"}
+    return words.with_columns(docs, text, fields, compute, _SLICE_BYTES)
