@@ -12,9 +12,16 @@ from gleaner.operators.featurize import feature_column
 
 
 def item_feature_join(items: DataFrame, features: DataFrame, model: str) -> DataFrame:
-    """Items with their stored vector of one model."""
-    chosen = features.where(F.col("model") == model).select("sample_id", "vec")
-    return items.join(chosen, "sample_id")
+    """Items with their stored vector of one model and the number of its vectors.
+
+    An item without any has nulls. A stored row that is doubled does not double its item.
+    """
+    chosen = (
+        features.where(F.col("model") == model)
+        .groupBy("sample_id")
+        .agg(F.first("vec").alias("vec"), F.count("*").alias("n_vectors"))
+    )
+    return items.join(chosen, "sample_id", "left")
 
 
 def collect_features(
@@ -22,18 +29,17 @@ def collect_features(
 ) -> DataFrame:
     """``(sample_id, vec)`` of one model for all items.
 
-    An item without a vector fails the job with an error naming the model; the check is
-    part of the join, not a pass of its own. With ``normalize`` every vector has norm 1;
-    a zero vector becomes null.
+    An item without a vector, or with more than one, fails the job with an error naming the
+    model; the check is part of the join, not a pass of its own. With ``normalize`` every
+    vector has norm 1; a zero vector becomes null.
     """
-    chosen = features.where(F.col("model") == model).select("sample_id", "vec")
     message = F.concat(
-        F.lit(f"no features of model {model!r} for item "), F.col("sample_id").cast("string")
-    )
-    found = items.select("sample_id").join(
-        chosen.withColumn("found", F.lit(True)), "sample_id", "left"
+        F.when(F.col("n_vectors") > 1, F.lit("several")).otherwise(F.lit("no")),
+        F.lit(f" features of model {model!r} for item "),
+        F.col("sample_id").cast("string"),
     )
-    vec = F.when(F.col("found"), F.col("vec")).otherwise(F.raise_error(message))
+    found = item_feature_join(items.select("sample_id"), features, model)
+    vec = F.when(F.col("n_vectors") == 1, F.col("vec")).otherwise(F.raise_error(message))
     checked = found.select("sample_id", vec.alias("vec"))
     return checked.withColumn("vec", vectors.l2_normalize("vec")) if normalize else checked
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from gleaner.functions import keys
 
 ITEMS_FOLDER = "images"
-FEATURES_FOLDER = "pretrained_features"
 ITEMS_SCHEMA = "sample_id string, path string, content binary"
 
 

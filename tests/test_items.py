@@ -207,3 +207,12 @@ def test_shared_dir_follows_the_setting():
     assert shared_dir(_FakeSession("hdfs://name/dir/", "yarn")) == "hdfs://name/dir"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(_FakeSession(None, "yarn"))
+
+
+def test_doubled_store_rows_are_refused(spark):
+    items = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    rows = [("a", "m", [1.0]), ("b", "m", [2.0]), ("b", "m", [2.0])]
+    features = spark.createDataFrame(rows, "sample_id string, model string, vec array<double>")
+    with pytest.raises(Exception, match="several features of model 'm' for item b"):
+        collect.collect_features(items, features, "m").collect()
+    assert collect.collect_features(items.limit(1), features.limit(1), "m").count() == 1
