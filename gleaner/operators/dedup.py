@@ -40,9 +40,9 @@ from gleaner.session import staged
 # Pivots and witnesses are broadcast: their number follows from this many bytes.
 _BROADCAST_BYTES = 128 << 20
 # The table of distances between pivots is square, hence a bound on their number too.
+_MAX_PIVOTS = 2800
 # How far the squared length of concatenated unit blocks may be off.
 _UNIT_SLACK = 1e-3
-_MAX_PIVOTS = 2800
 # One side of a comparison task.
 _TILE_BYTES = 64 << 20
 _SMALLEST_TILE = 2048
@@ -308,10 +308,17 @@ def survivors(
     layout = _Layout(points[:n_pivots], radius, limit, n_models)
     if size.n <= tile_rows and len(layout.pivots) == 1:
         layout.tiles = {0: (1, 0, 0, 0)}
+        here = rows.select(
+            "*",
+            F.lit(0).alias("home"),
+            F.lit(False).alias("settled"),
+            F.array().cast("array<int>").alias("visits"),
+        )
     else:
         _choose_witnesses(rows, layout, columns)
-        _choose_tiles(rows, layout, columns, tile_rows)
-    dropped = _dropped(rows, layout, columns)
+        here = _settle(rows, layout, columns)
+        _choose_tiles(here, layout, tile_rows)
+    dropped = _dropped(here, layout, columns)
     kept = rows.select(*columns.ids).join(dropped, columns.ids, "left_anti")
     return kept.unionByName(without)
 
@@ -411,34 +418,48 @@ def _choose_witnesses(rows: DataFrame, layout: _Layout, columns: _Columns) -> No
     shared.unpersist()
 
 
-def _choose_tiles(
-    rows: DataFrame, layout: _Layout, columns: _Columns, tile_rows: int
-) -> None:
-    """Tile counts per cell: open and settled home rows, open and settled visitors."""
+def _settle(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
+    """Staged rows with their home cell, the cells they visit and whether they are settled.
+
+    These follow from rounded products: they are decided once, and every later step reads
+    the same answer.
+    """
     shared = _share(rows, layout)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        totals = np.zeros((len(here.pivots), 4), dtype=np.int64)
         for piece, d2, home in _located(batches, here, columns):
-            settled = here.settled(piece.x, home, piece)
-            visits = here.visits(d2, home)
-            for flag, column in ((~settled, 0), (settled, 1)):
-                totals[:, column] += np.bincount(home[flag], minlength=len(totals))
-                totals[:, column + 2] += visits[flag].sum(0)
-        cells = np.flatnonzero(totals.sum(1))
-        yield pa.RecordBatch.from_pydict(
-            {"cell": cells, **{f"n{i}": totals[cells, i] for i in range(4)}}
-        )
+            row, cell = np.nonzero(here.visits(d2, home))
+            sizes = np.bincount(row, minlength=len(piece))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            data = {n: piece.batch.column(n) for n in ["vec_key", "vec", *columns.all]}
+            data["home"] = pa.array(home.astype(np.int32))
+            data["settled"] = pa.array(here.settled(piece.x, home, piece))
+            data["visits"] = pa.ListArray.from_arrays(offsets, pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(data)
 
-    sizes = [f"n{i}" for i in range(4)]
-    counts = rows.select("vec", *columns.all).mapInArrow(
-        count, "cell long, n0 long, n1 long, n2 long, n3 long"
+    ddl = f"vec_key long, vec array<double>, {columns.ddl(columns.all)}"
+    decided = rows.select("vec_key", "vec", *columns.all).mapInArrow(
+        decide, f"{ddl}, home int, settled boolean, visits array<int>"
     )
-    totals = counts.groupBy("cell").agg(*[F.sum(n).alias(n) for n in sizes])
-    for row in totals.collect():
+    return staged(decided, "settled_vectors")
+
+
+def _choose_tiles(rows: DataFrame, layout: _Layout, tile_rows: int) -> None:
+    """Tile counts per cell: open and settled home rows, open and settled visitors."""
+    at_home = rows.select(F.col("home").alias("cell"), F.lit(True).alias("is_home"), "settled")
+    visiting = rows.select(F.explode("visits").alias("cell"), F.lit(False).alias("is_home"), "settled")
+    sizes = {
+        f"n{i}": F.count_if((F.col("is_home") == (i < 2)) & (F.col("settled") == (i % 2 == 1)))
+        for i in range(4)
+    }
+    totals = (
+        at_home.unionByName(visiting)
+        .groupBy("cell")
+        .agg(*[count.alias(n) for n, count in sizes.items()])
+    )
+    for row in totals.collect():  # one row a cell
         layout.tiles[row.cell] = tuple(math.ceil(row[n] / tile_rows) for n in sizes)
-    shared.unpersist()
 
 
 def _places(
@@ -478,18 +499,27 @@ def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
-        for piece, d2, home in _located(batches, here, columns):
-            settled = here.settled(piece.x, home, piece)
-            visits = here.visits(d2, home)
+        for batch in batches:
+            piece = _Rows(batch, columns)
+            settled = batch.column("settled").to_numpy(zero_copy_only=False)
             keys = piece.vec_keys().view(np.uint64) >> np.uint64(8)
+            visits = batch.column("visits")
+            visitor = np.repeat(np.arange(len(piece)), pc.list_value_length(visits).to_numpy())
+            # Rows by cell and role: visitors first, then those at home.
+            who = np.concatenate([visitor, np.arange(len(piece))])
+            where = np.concatenate([visits.flatten().to_numpy(), batch.column("home").to_numpy()])
+            spot = 2 * where.astype(np.int64) + (np.arange(len(who)) >= len(visitor))
+            order = np.argsort(spot, kind="stable")
+            who, spot = who[order], spot[order]
+            ends = np.append(np.flatnonzero(spot[1:] != spot[:-1]) + 1, len(spot))
             parts: list[tuple[np.ndarray, ...]] = []
-            for cell, tiles in here.tiles.items():
-                for is_home, chosen in ((True, home == cell), (False, visits[:, cell])):
-                    members = np.flatnonzero(chosen)
-                    for at, own, left, right in _places(
-                        tiles, keys[members], settled[members], is_home
-                    ):
-                        parts.append((members[at], np.full(len(at), cell), left, right, own))
+            for start, end in zip(np.append(0, ends[:-1]), ends):
+                cell, is_home = divmod(int(spot[start]), 2)
+                members = who[start:end]
+                for at, own, left, right in _places(
+                    here.tiles[cell], keys[members], settled[members], bool(is_home)
+                ):
+                    parts.append((members[at], np.full(len(at), cell), left, right, own))
             if not parts:
                 continue
             source, *places = (np.concatenate(column) for column in zip(*parts))
@@ -520,12 +550,6 @@ def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
         drop &= table.column("is_open").to_numpy()
         return table.select(columns.ids).filter(pa.array(drop))
 
-    def already(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = shared.value
-        for piece, _, home in _located(batches, here, columns):
-            settled = here.settled(piece.x, home, piece)
-            yield piece.batch.select(columns.ids).filter(pa.array(settled))
-
     spread = rows.mapInArrow(
         send,
         f"{columns.ddl(columns.all)}, vec binary, cell int, left int, right int, "
@@ -533,9 +557,7 @@ def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
     )
     ids = columns.ddl(columns.ids)
     beaten = spread.groupBy(*columns.group, "cell", "left", "right").applyInArrow(compare, ids)
-    if layout.witness_keys:
-        settled_ids = rows.select(*columns.all, "vec").mapInArrow(already, ids)
-        beaten = beaten.unionByName(settled_ids)
+    beaten = beaten.unionByName(rows.where("settled").select(*columns.ids))
     return beaten.distinct()
 
 
