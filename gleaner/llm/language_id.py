@@ -152,7 +152,7 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
             "lang string, total double, word int, bit int",
         )
         share = F.col("n") / F.col("total")
-        rows = counts.join(F.broadcast(index), "lang").withColumn("share", share)
+        rows = counts.join(index, "lang").withColumn("share", share)
         top = F.max("share")
         members = F.collect_list(F.struct("share", "n", "word", "bit"))
         bits = (

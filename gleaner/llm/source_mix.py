@@ -110,7 +110,7 @@ def placed(sizes: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
     n_chunks = F.ceil(F.col("n_documents") / params.chunk_documents)
     chunk = F.pmod(F.xxhash64(F.lit(params.seed), "row"), n_chunks.cast("long"))
     rows = sizes.join(
-        F.broadcast(plan.select(F.col("source").alias("s"), "n_documents")),
+        plan.select(F.col("source").alias("s"), "n_documents"),
         F.col("source").eqNullSafe(F.col("s")),
     ).withColumn("chunk", chunk)
     inside = Window.partitionBy("source", "chunk").orderBy("row")
@@ -205,7 +205,7 @@ def slots(plan: DataFrame, params: MixParams) -> DataFrame:
 
 def pieces(documents: DataFrame, plan: DataFrame) -> DataFrame:
     """(row, source, block, start, length): the part of each block that a document fills."""
-    blocks = F.broadcast(plan.select(F.col("source").alias("s"), F.col("block").alias("block_length")))
+    blocks = plan.select(F.col("source").alias("s"), F.col("block").alias("block_length"))
     length = F.col("block_length")
     end = F.col("offset") + F.col("size")
     first = F.floor(F.col("offset") / length)
@@ -251,7 +251,7 @@ def mix(
     chosen = slots(plan, params).withColumnRenamed("source", "s").withColumnRenamed("block", "b")
     drawn = cut.join(chosen, _same("source", "s") & (F.col("block") == F.col("b"))).drop("s", "b")
     taken = drawn.groupBy(F.col("row").alias("r")).agg(F.sum("length").alias("taken"))
-    shares = F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "target"))
+    shares = plan.select(F.col("source").alias("s"), "source_size", "target")
     per_document = (
         documents.join(shares, _same("source", "s"))
         .join(taken, F.col("row") == F.col("r"), "left")
