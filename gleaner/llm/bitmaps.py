@@ -5,15 +5,21 @@ The size is a parameter, never the data's: a fuller bitmap only lets more rows t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_CHUNK_BITS = 10
+
 
 def collect_bitmap(slots: DataFrame, slot: Column, bits: int) -> np.ndarray:
     """A bitmap of ``2**bits`` bits as 64-bit words with the bit of every row's slot set.
 
-    Words are put together by the executors; the driver gets at most ``2**bits / 64`` rows.
+    The executors put words and then chunks of words together; the driver gets the finished
+    chunks, ``2**bits / 8`` bytes at most.
     """
     words = (
         slots.select(slot.bitwiseAND((1 << bits) - 1).alias("slot"))
@@ -23,12 +29,28 @@ def collect_bitmap(slots: DataFrame, slot: Column, bits: int) -> np.ndarray:
         )
         .groupBy("word")
         .agg(F.bit_or("bit").alias("mask"))
-        .toPandas()
     )
-    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    bitmap[words["word"].to_numpy().astype(np.int64)] = (
-        words["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    chunks = words.groupBy(F.shiftright("word", _CHUNK_BITS).alias("chunk")).agg(
+        F.collect_list(F.struct("word", "mask")).alias("words")
     )
+    size = min(1 << _CHUNK_BITS, 1 << (bits - 6))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = []
+            for entry in batch.column("words"):
+                word, mask = (entry.values.field(i).to_numpy() for i in range(2))
+                part = np.zeros(size, dtype=np.int64)
+                part[word & (size - 1)] = mask
+                filled.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), pa.array(filled, pa.binary())], names=["chunk", "filled"]
+            )
+
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for row in chunks.mapInArrow(fill, "chunk long, filled binary").collect():
+        first = row["chunk"] << _CHUNK_BITS
+        bitmap[first : first + size] = np.frombuffer(row["filled"], dtype=np.uint64)
     return bitmap
 
 

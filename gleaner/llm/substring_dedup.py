@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ class SubstringParams:
     length: int = 35
     anchor: int = 8
     shard_words: int = 50_000
-    bitmap_bits: int = 28
+    bitmap_bits: int = 27
 
 
 class SuffixAutomaton:
@@ -169,13 +170,11 @@ def _anchor_bitmap(docs: DataFrame, params: SubstringParams) -> np.ndarray:
     return _repeated_slots(docs.select("text").mapInArrow(run, "slot long, n int"), params.bitmap_bits)
 
 
-def _window_bitmap(docs: DataFrame, anchors: np.ndarray, params: SubstringParams) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast(anchors)
-
+def _window_bitmap(docs: DataFrame, anchors: Broadcast, params: SubstringParams) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, "text", 1 << 20):
             found = _windows(part.column("text"), params)
-            start = found.start[bitmaps.contains(shared.value, found.key)]
+            start = found.start[bitmaps.contains(anchors.value, found.key)]
             hashes = words.rolling(found.hashes, start, start + params.length)
             yield _folded_slots(hashes, params.bitmap_bits)
 
@@ -183,14 +182,13 @@ def _window_bitmap(docs: DataFrame, anchors: np.ndarray, params: SubstringParams
 
 
 def _stretches(
-    docs: DataFrame, anchors: np.ndarray, windows: np.ndarray, params: SubstringParams
+    docs: DataFrame, anchors: Broadcast, windows: Broadcast, params: SubstringParams
 ) -> DataFrame:
     """Staged stretches of windows that passed both bitmaps, by anchor occurrence.
 
     Rows with ``stretch`` (its words) are references folded in their task, ``n`` of them;
     rows without say where one occurs: (doc_id, text_key, start).
     """
-    shared = docs.sparkSession.sparkContext.broadcast((anchors, windows))
     schema = pa.schema(
         [
             ("anchor", pa.int64()),
@@ -226,10 +224,9 @@ def _stretches(
 
         for part in words.slices(batches, "text", 1 << 20):
             found = _windows(part.column("text"), params)
-            first, second = shared.value
-            keep = bitmaps.contains(first, found.key)
+            keep = bitmaps.contains(anchors.value, found.key)
             start, anchor, key = found.start[keep], found.anchor[keep], found.key[keep]
-            keep = bitmaps.contains(second, words.rolling(found.hashes, start, start + length))
+            keep = bitmaps.contains(windows.value, words.rolling(found.hashes, start, start + length))
             start, anchor, key = start[keep], anchor[keep], key[keep]
             if not len(start):
                 continue
@@ -350,9 +347,12 @@ def remove_repeats(
         F.xxhash64(F.col(text)).alias("text_key"),
         F.col(text).alias("text"),
     )
-    anchors = _anchor_bitmap(read, params)
-    windows = _window_bitmap(read, anchors, params)
+    context = docs.sparkSession.sparkContext
+    anchors = context.broadcast(_anchor_bitmap(read, params))
+    windows = context.broadcast(_window_bitmap(read, anchors, params))
     stretches = _stretches(read, anchors, windows, params)
+    for bitmap in (anchors, windows):  # the stretches are staged
+        bitmap.destroy()
     places = stretches.where("stretch is null").select("anchor", "digest", "doc_id", "text_key", "start")
     marks = (
         places.join(_verdicts(stretches, params), ["anchor", "digest"])
