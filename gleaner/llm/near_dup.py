@@ -12,8 +12,8 @@ full shingle sets are similar enough:
 1. texts with the same set are folded into one representative, however many copies there are;
 2. in every bucket each member is compared with a hub, another one for every bucket, and
    union-find groups the links;
-3. members of a bucket that are still in different groups are compared pair by pair, except
-   inside the bucket's largest group, until nothing new is linked.
+3. members of a bucket that are still in different groups are compared in tiles of bounded
+   size, which emit links only; a bucket's largest group is not compared with itself.
 
 So a bucket with very many copies costs one comparison per member and not one per pair,
 while every candidate pair either is compared or lies in one group already.
@@ -34,6 +34,8 @@ from gleaner.llm import bitmaps, words
 from gleaner.session import staged
 
 _CHUNK = 1 << 15
+#: Rows on either side of a tile.
+_TILE = (128, 512)
 
 
 @dataclass(frozen=True)
@@ -214,7 +216,9 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, params: NearDupParams)
     read = docs.select(F.col(text).alias("text"))
     found = read.mapInArrow(run, "set_digest binary, shingles binary")
     exact = found.join(wanted.select("set_digest", "rep"), "set_digest").dropDuplicates(["rep"])
-    return staged(exact.select("rep", "shingles"), "shingle-sets")
+    sets = staged(exact.select("rep", "shingles"), "shingle-sets")
+    shared.destroy()
+    return sets
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +331,8 @@ def links_of(
 ) -> DataFrame:
     """Verified links (a, b) that connect whatever all similar candidate pairs connect.
 
-    ``buckets`` has (bucket, rep, n): the members of every bucket with at least two.
+    ``buckets`` has (bucket, rep, n): the members of every bucket with at least two;
+    ``reps`` their (rep, bands).
     """
     percent = params.threshold_percent
     # Another hub for every bucket: the member with the smallest hash of both.
@@ -346,27 +351,116 @@ def links_of(
     members = buckets.join(grouped, "rep")
     in_group = members.groupBy("bucket", "component").agg(F.count("*").alias("members"))
     largest = in_group.groupBy("bucket").agg(
-        F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("groups")
+        F.max(F.struct("members", "component")).alias("top"),
+        F.count("*").alias("groups"),
+        F.sum("members").alias("size"),
     )
+    # The one pair of a bucket of two has been compared.
     mixed = staged(
         members.join(
-            largest.where("groups > 1").select("bucket", F.col("top.component").alias("top")), "bucket"
-        ),
+            largest.where("groups > 1 and size > 2").select("bucket", F.col("top.component").alias("top")),
+            "bucket",
+        ).select("bucket", "rep", "component", (F.col("component") != F.col("top")).alias("outside")),
         "mixed-buckets",
     )
-    outside = mixed.where("component != top").select(
-        "bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx")
+    return links.unionByName(staged(_tiled(mixed, sets, reps, params), "links"))
+
+
+def _tiled(mixed: DataFrame, sets: DataFrame, reps: DataFrame, params: NearDupParams) -> DataFrame:
+    """Links (a, b) between members of a bucket that the hubs left in different groups.
+
+    A family is what buckets connect. Those outside the largest group of some bucket meet all
+    members of their family in tiles of bounded size; nothing but links leaves a tile.
+    """
+    least = mixed.groupBy("bucket").agg(F.min("rep").alias("least"))
+    edges = mixed.join(least, "bucket").where("rep > least").select("rep", "least").distinct()
+    roots = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("family"))
+    member = (
+        mixed.groupBy("rep")
+        .agg(F.first("component").alias("component"), F.max("outside").alias("outside"))
+        .join(roots, "rep", "left")
+        .withColumn("family", F.coalesce("family", "rep"))
+    )
+    # Two bytes of a band's hash are enough to leave out pairs that share none.
+    marks = F.transform("bands", lambda b: b.bitwiseAND(0x7FFF).cast("short")).alias("bands")
+    member = staged(member.join(reps.select("rep", marks), "rep").join(sets, "rep"), "families")
+    sizes = member.groupBy("family").agg(
+        F.ceil(F.sum(F.col("outside").cast("long")) / _TILE[0]).cast("int").alias("n_left"),
+        F.ceil(F.count("*") / _TILE[1]).cast("int").alias("n_right"),
     )
-    pair = outside.join(mixed, "bucket").where(
-        (F.col("cx") != F.col("component"))
-        & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
+    placed = member.join(sizes, "family")
+    lot = F.xxhash64("rep")
+    row = ("rep", "component", "bands", "shingles")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("outside").select(
+        "family", F.pmod(lot, "n_left").cast("int").alias("i"), every("n_right").alias("j"), F.lit(True).alias("is_left"), *row
     )
-    second = (
-        pair.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+    right = placed.select(
+        "family", every("n_left").alias("i"), F.pmod(lot, "n_right").cast("int").alias("j"), F.lit(False).alias("is_left"), *row
     )
-    return links.unionByName(staged(_similar(second, sets, percent), "links"))
+    tiles = left.unionByName(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    percent = params.threshold_percent
+
+    def links(tile: list[dict]) -> list[tuple[int, int]]:
+        lefts, rights = [r for r in tile if r["is_left"]], [r for r in tile if not r["is_left"]]
+        if not lefts or not rights:
+            return []
+        bands = [np.array([r["bands"] for r in side], dtype=np.int16) for side in (lefts, rights)]
+        component = [np.array([r["component"] for r in side]) for side in (lefts, rights)]
+        own = [[np.frombuffer(r["shingles"], dtype=np.uint64) for r in side] for side in (lefts, rights)]
+        size = np.array([len(x) for x in own[1]])
+        flat, begins = np.concatenate(own[1]), np.concatenate([[0], np.cumsum(size)[:-1]])
+        out = []
+        for k, mine in enumerate(own[0]):
+            meet = (bands[1] == bands[0][k]).any(axis=1) & (component[1] != component[0][k])
+            meet &= 100 * np.minimum(size, len(mine)) >= percent * np.maximum(size, len(mine))
+            if not meet.any():
+                continue
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            common = np.add.reduceat((mine[at] == flat).astype(np.int64), begins)
+            meet &= 100 * common >= percent * (len(mine) + size - common)
+            rep = lefts[k]["rep"]
+            out.extend((min(rep, rights[m]["rep"]), max(rep, rights[m]["rep"])) for m in np.flatnonzero(meet))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["family"], r["i"], r["j"]) != key:
+                    found = links(tile)
+                    yield words.record(schema, [a for a, _ in found], [b for _, b in found])
+                    key, tile = (r["family"], r["i"], r["j"]), []
+                tile.append(r)
+        found = links(tile)
+        yield words.record(schema, [a for a, _ in found], [b for _, b in found])
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _shared_buckets(reps: DataFrame, params: NearDupParams) -> DataFrame:
+    """(bucket, rep, n) for all buckets with at least two members.
+
+    Most buckets have one: a bitmap of the others keeps their rows from being moved.
+    """
+    band = reps.select(F.explode("bands").alias("bucket"))
+    shared = staged(band.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    bitmap = bitmaps.collect_bitmap(shared, F.col("bucket"), params.bitmap_bits)
+    broadcast = reps.sparkSession.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("bucket", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            flat = bands.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(bands.offsets.to_numpy()))
+            keep = bitmaps.contains(broadcast.value, flat.view(np.uint64))
+            owner = pa.array(owner[keep])
+            yield words.record(schema, flat[keep], batch.column("rep").take(owner), batch.column("n").take(owner))
+
+    found = reps.select("rep", "n", "bands").mapInArrow(run, "bucket long, rep long, n long")
+    return found.join(shared, "bucket", "left_semi")
 
 
 def group(
@@ -398,13 +492,11 @@ def group(
         ),
         "representatives",
     )
-    band = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    full = band.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = staged(band.join(full.select("bucket"), "bucket", "left_semi"), "buckets")
+    buckets = staged(_shared_buckets(reps, params), "buckets")
     candidates = staged(buckets.select("rep").distinct(), "candidates")
     wanted = reps.join(candidates, "rep").select("set_digest", "rep", "text_key")
     sets = _sets(docs, text, wanted, params)
-    links = links_of(buckets, sets, candidates, params)
+    links = links_of(buckets, sets, reps.join(candidates, "rep").select("rep", "bands"), params)
     grouped = _grouped(links, candidates).withColumnRenamed("component", "linked")
     classes = staged(
         reps.select("set_digest", "rep")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
@@ -176,6 +176,7 @@ def with_columns(
     text: str,
     fields: dict[str, str],
     compute: Callable[[pa.Array], list],
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` with columns computed from one text column, slice by slice.
 
@@ -188,7 +189,7 @@ def with_columns(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, slice_bytes):
             new = [c if isinstance(c, pa.Array) else pa.array(c) for c in compute(part.column(text))]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
 
