@@ -29,6 +29,10 @@ from gleaner.llm import words
 from gleaner.session import staged
 
 
+#: Points of leaves that are scored at a time.
+_SCORED_POINTS = 512
+
+
 @dataclass(frozen=True)
 class SearchParams:
     k: int = 10
@@ -59,7 +63,11 @@ class CoverTree:
 
 
 def build(rows: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int) -> CoverTree:
-    """A cover tree over integer points; nodes of at most ``leaf`` points are not split."""
+    """A cover tree over integer points.
+
+    Nodes of at most ``leaf`` points are not split, nor those whose points lie too far from
+    each other for groups of about that size.
+    """
     values = points.astype(float)
     order = np.arange(len(values))
     begin, end, radius, child, n_children = [0], [len(order)], [0.0], [0], [0]
@@ -72,13 +80,9 @@ def build(rows: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int) -> C
         radius[node] = float(distance.max()) * (1 + 1e-9)
         if b - a <= leaf or radius[node] == 0:
             continue
-        scale = radius[node] / 2
-        groups, rest, near = [], own, distance <= scale
-        while len(rest):
-            groups.append(rest[near])
-            rest = rest[~near]
-            if len(rest):
-                near = np.linalg.norm(values[rest] - values[rest[0]], axis=1) <= scale
+        groups = _cover(values, own, radius[node] / 2, distance, max(16, len(own) // leaf))
+        if groups is None:
+            continue
         child[node], n_children[node] = len(begin), len(groups)
         at = a
         for group in groups:
@@ -94,6 +98,21 @@ def build(rows: np.ndarray, ids: np.ndarray, points: np.ndarray, leaf: int) -> C
     return CoverTree(rows[order], ids[order], points[order], *arrays)
 
 
+def _cover(
+    values: np.ndarray, own: np.ndarray, scale: float, distance: np.ndarray, most: int
+) -> list[np.ndarray] | None:
+    """Groups within ``scale`` of their first point, these further apart; None beyond ``most``."""
+    groups, rest, near = [], own, distance <= scale
+    while len(rest):
+        if len(groups) == most:
+            return None
+        groups.append(rest[near])
+        rest = rest[~near]
+        if len(rest):
+            near = np.linalg.norm(values[rest] - values[rest[0]], axis=1) <= scale
+    return groups
+
+
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products; beyond 64 bits they stop at the ends of the range."""
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -108,29 +127,37 @@ class Best:
 
     def __init__(self, n: int, k: int) -> None:
         self.k = k
-        self.score = np.full((n, 0), 0, dtype=np.int64)
-        self.id = self.score.copy()
-        self.row = self.score.copy()
-        self.found = np.zeros((n, 0), dtype=bool)
+        self.score = np.zeros((n, k), dtype=np.int64)
+        self.id, self.row = self.score.copy(), self.score.copy()
+        self.count = np.zeros(n, dtype=np.int64)
         self.worst = np.full(n, -np.inf)
 
-    def offer(self, a: int, b: int, score: np.ndarray, ids: np.ndarray, rows: np.ndarray, valid: np.ndarray) -> None:
+    def offer(
+        self, a: int, b: int, score: np.ndarray, ids: np.ndarray, rows: np.ndarray, valid: np.ndarray
+    ) -> None:
         """Scores of queries a..b against some rows; only ``valid`` ones count."""
-        if not self.found.shape[1]:
-            n = len(self.worst)
-            self.score = np.zeros((n, self.k), np.int64)
-            self.id, self.row = self.score.copy(), self.score.copy()
-            self.found = np.zeros((n, self.k), bool)
-        size = (b - a, len(ids))
-        all_score = np.concatenate([self.score[a:b], score], axis=1)
-        all_id = np.concatenate([self.id[a:b], np.broadcast_to(ids, size)], axis=1)
-        all_row = np.concatenate([self.row[a:b], np.broadcast_to(rows, size)], axis=1)
-        all_found = np.concatenate([self.found[a:b], valid], axis=1)
-        order = np.lexsort((all_row, all_id, ~all_score, ~all_found), axis=1)[:, : self.k]
-        take = lambda x: np.take_along_axis(x, order, axis=1)
-        self.score[a:b], self.id[a:b], self.row[a:b] = take(all_score), take(all_id), take(all_row)
-        self.found[a:b] = take(all_found)
-        full = self.found[a:b, -1]
+        k = self.k
+        use = valid & (score >= self.worst[a:b, None])
+        if score.shape[1] > k:
+            # What is below the k-th of these alone cannot stay; ties with it can.
+            ranked = np.where(valid, score, np.iinfo(np.int64).min)
+            use &= score >= np.partition(ranked, score.shape[1] - k, axis=1)[:, -k, None]
+        query, place = np.nonzero(use)
+        if not len(query):
+            return
+        own, old = np.nonzero(np.arange(k) < self.count[a:b, None])
+        who = np.concatenate([query, own])
+        all_score = np.concatenate([score[query, place], self.score[a:b][own, old]])
+        all_id = np.concatenate([ids[place], self.id[a:b][own, old]])
+        all_row = np.concatenate([rows[place], self.row[a:b][own, old]])
+        order = np.lexsort((all_row, all_id, ~all_score, who))
+        who = who[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        order, who, rank = order[rank < k], who[rank < k], rank[rank < k]
+        for mine, every in ((self.score, all_score), (self.id, all_id), (self.row, all_row)):
+            mine[a + who, rank] = every[order]
+        self.count[a:b] = np.maximum(self.count[a:b], np.bincount(who, minlength=b - a))
+        full = self.count[a:b] == k
         self.worst[a:b] = np.where(full, self.score[a:b, -1].astype(float), -np.inf)
 
 
@@ -178,16 +205,16 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
         limits = bounds(q, nodes)
         open_ = limits >= worst(q)
         leaves = data.n_children[nodes] == 0
-        # The points of all small children are scored together, the likeliest first.
+        # The points of small children are scored together, the likeliest first.
         small = nodes[open_ & leaves][np.argsort(-limits[open_ & leaves], kind="stable")]
         if q_leaf:
-            first = 0
-            while first < len(small):
-                part = small[first : first + 256]
-                part = part[bounds(q, part) >= worst(q)]
-                if len(part):
-                    score(q, np.concatenate([np.arange(data.begin[c], data.end[c]) for c in part]))
-                first += 256
+            while len(small):
+                small = small[bounds(q, small) >= worst(q)]
+                sizes = np.cumsum(data.end[small] - data.begin[small])
+                n = max(1, int(np.searchsorted(sizes, _SCORED_POINTS)))
+                if len(small):
+                    score(q, np.concatenate([np.arange(data.begin[c], data.end[c]) for c in small[:n]]))
+                small = small[n:]
             rest = open_ & ~leaves
         else:
             rest = open_
@@ -257,7 +284,7 @@ def top_k(
     k = params.k
 
     def results(tree: CoverTree, best: Best) -> pa.RecordBatch:
-        at, place = np.nonzero(best.found)
+        at, place = np.nonzero(np.arange(k) < best.count[:, None])
         return words.record(
             schema, tree.rows[at], tree.ids[at], best.row[at, place], best.id[at, place], best.score[at, place]
         )
