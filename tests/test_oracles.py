@@ -13,8 +13,9 @@ TABLES = (
 ).split()
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-# Long fits; their parts are tested one by one elsewhere.
-SLOW = {"retrain_and_rescore"}
+# Fits with hundreds of trees: the entry runs one of them, the others are tested with fewer
+# trees in test_models.
+SLOW = {"gbt_scores", "ensemble_scores", "route_counts", "cross_validate", "retrain_and_rescore"}
 
 
 @pytest.fixture(scope="module")
