@@ -76,9 +76,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gleaner/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/gleaner/{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, in the part of this application."""
+    return f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Remove all that this application staged; true if there was something.
+
+    For the end of a job: DataFrames that read staged rows, results that have not been
+    written among them, cannot be used afterwards.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

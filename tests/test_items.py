@@ -216,3 +216,10 @@ def test_doubled_store_rows_are_refused(spark):
     with pytest.raises(Exception, match="several features of model 'm' for item b"):
         collect.collect_features(items, features, "m").collect()
     assert collect.collect_features(items.limit(1), features.limit(1), "m").count() == 1
+
+
+def test_paths_of_an_application_share_a_folder(spark):
+    """What ``remove_staged`` takes away is this application's alone."""
+    one, other = new_path(spark, "a"), new_path(spark, "a")
+    folder = f"{shared_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/"
+    assert one != other and one.startswith(folder) and other.startswith(folder)
