@@ -24,9 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without letters or in none of the labelled languages."""
     ship_package(spark)
     model = language_id.fit(docs)
-    found = language_id.predict(docs, model)
+    # The prediction's columns must not replace columns of the documents.
+    aside = {c: f"_kept_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    found = language_id.predict(docs.withColumnsRenamed(aside), model)
     known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(docs.columns)
+    return found.where(known).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
