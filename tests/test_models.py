@@ -6,7 +6,7 @@ import pytest
 
 from gleaner.functions import vectors
 from gleaner.operators import knn, linear, trees
-from gleaner.operators.ensemble import fit_ensemble, weighted_score
+from gleaner.operators.ensemble import weighted_score
 from gleaner.operators.params import (
     DEFAULT, EnsembleParams, KnnParams, LogisticParams, TRAINING, for_sample_size,
 )
