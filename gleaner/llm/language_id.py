@@ -50,12 +50,11 @@ class LanguageFilter:
 
 
 @cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter, and its lower case (0 for other characters)."""
-    every = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in every), dtype=bool, count=len(every))
-    lower = np.fromiter((ord(c.lower()[0]) for c in every), dtype=np.uint32, count=len(every))
-    return letter, np.where(letter, lower, 0).astype(np.uint32)
+def _letters() -> np.ndarray:
+    """For each code point its lower case, 0 if it is no letter."""
+    every = map(chr, range(0x110000))
+    lower = (ord(c.lower()[0]) if c.isalpha() else 0 for c in every)
+    return np.fromiter(lower, dtype=np.uint32, count=0x110000)
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(column)), np.diff(begins))
     codes = codes[: len(text)]
     padded = np.zeros(len(codes) + len(column) + 1, dtype=np.uint32)
-    padded[np.arange(len(codes)) + text + 1] = _characters()[1][codes]
+    padded[np.arange(len(codes)) + text + 1] = _letters()[codes]
     owner = np.zeros(len(padded), dtype=np.int32)
     owner[np.arange(len(codes)) + text + 1] = text
     return padded, owner
