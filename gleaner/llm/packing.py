@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import words
 from gleaner.session import staged
 
-_CACHED_WORDS = 120_000
+_CACHED_WORDS = 400_000
 _LONG_WORD = 256
 
 
@@ -144,22 +144,22 @@ class Encoder:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() if b"<|" not in t else t.split() for t in texts]
-        distinct = set().union(*split)
         young, old = self.known, self.older
-        missing = []
-        for word in distinct.difference(young):
-            if word in old:
-                young[word] = old[word]
-            else:
-                missing.append(word)
-        fresh = self._encode(missing)
-        young.update(fresh)
-        out = [b"".join([young[w] for w in ws]) for ws in split]
-        if len(young) > _CACHED_WORDS or max(map(len, distinct), default=0) > _LONG_WORD:
+        encoded = [list(map(young.get, ws)) for ws in split]
+        holes = [[i for i, e in enumerate(es) if e is None] for es in encoded]
+        wanted = {ws[i] for ws, at in zip(split, holes, strict=True) for i in at}
+        found = {w: old[w] for w in wanted if w in old}
+        found.update(self._encode([w for w in wanted if w not in found]))
+        for ws, es, at in zip(split, encoded, holes, strict=True):
+            for i in at:
+                es[i] = found[ws[i]]
+        young.update(found)
+        for w in [w for w in found if len(w) > _LONG_WORD]:
+            del young[w]
+        if len(young) > _CACHED_WORDS:
             # Words used since the last turn-over stay one turn longer.
-            self.older = {w: e for w, e in young.items() if len(w) <= _LONG_WORD}
-            self.known = {}
-        return out
+            self.older, self.known = young, {}
+        return [b"".join(es) for es in encoded]
 
 
 def pieces(docs: DataFrame, doc_id: str, text: str, params: PackingParams) -> DataFrame:
@@ -186,7 +186,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, params: PackingParams) -> Da
         encoder = _encoder(path)
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for part in words.slices(batches, "text"):
+        for part in words.slices(batches, "text", 1 << 20):
             data, offsets = words.utf8(part.column("text"))
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
