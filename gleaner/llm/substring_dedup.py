@@ -354,38 +354,60 @@ def remove_repeats(
     for bitmap in (anchors, windows):  # the stretches are staged
         bitmap.destroy()
     places = stretches.where("stretch is null").select("anchor", "digest", "doc_id", "text_key", "start")
-    marks = (
+    marks = staged(
         places.join(_verdicts(stretches, params), ["anchor", "digest"])
         .groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-        .agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+        .agg(F.collect_list(F.struct("start", "mask")).alias("marks")),
+        "marks",
     )
+    # Only texts that may have a mark are moved to meet theirs.
+    marked = context.broadcast(bitmaps.collect_bitmap(marks, F.col("k"), params.bitmap_bits))
+
+    def may_have_marks(part: pa.RecordBatch) -> np.ndarray:
+        return bitmaps.contains(marked.value, part.column("text_key").to_numpy().view(np.uint64))
+
+    def marked_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield part.filter(pa.array(may_have_marks(part)))
+
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
-    marked = read.join(marks, same, "left").select("doc_id", "text", "marks")
+    joined = read.mapInArrow(marked_only, read.schema).join(marks, same, "left")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]
     )
     length = params.length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in words.slices(batches, "text"):
-            data, offsets = words.utf8(part.column("text"))
-            raw = data.tobytes()
-            n_words, n_removed, kept = [], [], []
-            for i, found in enumerate(part.column("marks").to_pylist()):
-                own = raw[offsets[i] : offsets[i + 1]].split()
+    def cut(part: pa.RecordBatch, marks: list) -> pa.RecordBatch:
+        data, offsets = words.utf8(part.column("text"))
+        raw = data.tobytes()
+        n_words, n_removed, kept = [], [], []
+        for i, found in enumerate(marks):
+            own = raw[offsets[i] : offsets[i + 1]].split()
+            left = own
+            if found:
                 cover = np.zeros(len(own) + 1, dtype=np.int64)
-                for mark in found or ():
+                for mark in found:
                     mask, at = mark["mask"], mark["start"]
                     while mask:
                         low = (mask & -mask).bit_length() - 1
                         cover[at + low] += 1
                         cover[at + low + length] -= 1
                         mask &= mask - 1
-                stays = np.cumsum(cover)[:-1] == 0
-                left = own if stays.all() else [own[j] for j in np.flatnonzero(stays)]
-                n_words.append(len(own))
-                n_removed.append(len(own) - len(left))
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
-            yield words.record(schema, part.column("doc_id"), n_words, n_removed, kept)
-
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+                left = [own[j] for j in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
+            n_words.append(len(own))
+            n_removed.append(len(own) - len(left))
+            kept.append(b" ".join(left).decode("utf-8", "replace"))
+        return words.record(schema, part.column("doc_id"), n_words, n_removed, kept)
+
+    def without_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.slices(batches, "text"):
+            rest = part.filter(pa.array(~may_have_marks(part)))
+            yield cut(rest, [None] * rest.num_rows)
+
+    def with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.slices(batches, "text"):
+            yield cut(part, part.column("marks").to_pylist())
+
+    ddl = "doc_id long, n_words long, n_removed long, kept_text string"
+    rest = read.mapInArrow(without_marks, ddl)
+    return rest.unionByName(joined.select("doc_id", "text", "marks").mapInArrow(with_marks, ddl))
