@@ -158,6 +158,20 @@ def test_weight_search_with_one_class_or_a_bound(spark):
     assert some == ensemble_weights.weight_search(table.repartition(7), weights, max_rows=50).collect()
 
 
+def test_weight_search_judges_all_rows_whatever_the_blocks(spark):
+    table = oof(spark, 400, seed=5)
+    table = table.unionByName(table.limit(90))
+    weights = ensemble_weights.random_weights(spark, 6, seed=3)
+    whole = ensemble_weights.weight_search(table, weights).orderBy("weight_id").collect()
+    cut = ensemble_weights.weight_search(table, weights, max_rows=40).orderBy("weight_id").collect()
+    assert cut == whole
+    w = whole[2]
+    p = w.w_knn * F.col("p_knn") + w.w_lr * F.col("p_lr") + w.w_gbt * F.col("p_gbt")
+    mixed = table.withColumn("p", p).withColumn("g", F.lit(0))
+    assert cut[2].auc == pytest.approx(metrics.auc(mixed, "p", "label", ["g"]).first().auc)
+    assert cut[2].accuracy == pytest.approx(metrics.accuracy(mixed, "p", "label", ["g"]).first().accuracy)
+
+
 def test_weights_are_at_least_three_percent_before_normalising(spark):
     rows = ensemble_weights.random_weights(spark, 500).toPandas()
     assert (rows[["w_knn", "w_lr", "w_gbt"]].min(axis=1) >= 0.03 / 2.03).all()
