@@ -5,9 +5,9 @@ count per length up to the capacity: it has a fixed size however many pieces the
 that is all the driver sees. Martello and Toth's reduction takes the longest piece that is
 left and looks for a small set of pieces to go with it that dominates every alternative: no
 other choice could lead to fewer sequences. Such a set is fixed for good, as often as the
-counts allow. When no set of up to three pieces can be proved to dominate, the largest piece
-is left to best fit, which takes the remaining lengths in decreasing order and puts each into
-the fullest open sequence that holds it.
+counts allow. When no set of up to three pieces can be proved to dominate, that length is left
+to best fit and the reduction goes on with the next shorter one. Best fit takes the remaining
+lengths in decreasing order and puts each into the fullest open sequence that holds it.
 
 The outcome is a short list of patterns with multiplicities. Pieces get their places by rank
 within their length, which the tasks that cut them have counted already.
@@ -247,7 +247,7 @@ class _Histogram:
 
 
 def _dominating(held: _Histogram, capacity: int, j: int) -> tuple[int, ...] | None:
-    """A set around the longest piece ``j`` that dominates all others, or None."""
+    """A set around a piece of length ``j`` that dominates all others, or None."""
     room = capacity - j
     short = held.smallest(3, (j,))
     fits = sum(1 for k in range(1, 4) if len(short) >= k and sum(short[:k]) <= room)
@@ -279,15 +279,19 @@ def _dominating(held: _Histogram, capacity: int, j: int) -> tuple[int, ...] | No
 def reduce_instance(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], np.ndarray]:
     """Patterns fixed by dominance, and the counts of the pieces that are left.
 
-    A set is fixed as often as at least two pieces of each of its lengths remain, for as long
-    the argument holds unchanged, and otherwise once.
+    A length without a dominating set stays, and the walk goes on with the next shorter one;
+    the pieces that stay count as alternatives there. A set is fixed as often as at least two
+    pieces of each of its lengths remain, for as long the argument holds unchanged, and
+    otherwise once.
     """
     held = _Histogram(counts)
     fixed: list[Pattern] = []
-    while j := held.largest(capacity):
+    longest = capacity
+    while j := held.largest(longest):
         chosen = _dominating(held, capacity, j)
         if chosen is None:
-            break
+            longest = j - 1
+            continue
         times = min((int(held.n[x]) // chosen.count(x) for x in set(chosen)))
         if len(chosen) > 1 and sum(chosen) != capacity:
             times = max(1, min(int(held.n[x]) // chosen.count(x) - 3 for x in set(chosen)))

@@ -44,6 +44,26 @@ def test_reduction_keeps_the_optimum(seed):
     assert bins(fixed) + optimum(left, capacity) == optimum(items.tolist(), capacity)
 
 
+def test_reduction_goes_on_below_a_length_without_a_dominating_set():
+    counts = np.zeros(101, dtype=np.int64)
+    # Three tiny pieces fit with 90, and 4 + 5 fills more than any single one.
+    counts[[90, 60, 40, 1, 4, 5]] = [1, 2, 2, 3, 1, 1]
+    assert packing._dominating(packing._Histogram(counts), 100, 90) is None
+    fixed, rest = packing.reduce_instance(counts, 100)
+    assert ((60, 40), 2) in fixed
+    assert rest[90] == 1 and rest[60] == rest[40] == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_reduction_past_tiny_pieces_keeps_the_optimum(seed):
+    rng = np.random.default_rng(1000 + seed)
+    items = np.concatenate([rng.integers(1, 4, 3), rng.integers(4, 31, 6)])
+    counts = np.bincount(items, minlength=31)
+    fixed, rest = packing.reduce_instance(counts, 30)
+    left = np.repeat(np.arange(31), rest).tolist()
+    assert bins(fixed) + optimum(left[::-1], 30) == optimum(sorted(items.tolist(), reverse=True), 30)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_patterns_hold_every_piece_once(seed):
     rng = np.random.default_rng(seed)
