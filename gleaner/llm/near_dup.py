@@ -62,7 +62,7 @@ def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     whole = h.copy()
     for k in range(1, shingle):
         shifted = np.zeros(n, dtype=np.uint64)
-        shifted[: n - k] = h[k:]
+        shifted[: max(n - k, 0)] = h[k:]
         whole = words.mix64(whole * np.uint64(0x9E3779B97F4A7C15) + shifted)
     # The last places of a text start no full shingle; a short text is one shingle as a whole.
     position = np.arange(n) - firsts[w.text]

@@ -102,3 +102,13 @@ def test_components_of_a_long_chain(spark):
 def test_empty_table(no_docs):
     assert near_dup.group(no_docs).count() == 0
     assert near_dup.survivors(no_docs).count() == 0
+
+
+def test_fewer_words_than_a_shingle_in_a_whole_slice(spark):
+    for text in ("one two", "one two three"):
+        assert near_dup.shingle_sets(pa.array([text]), 5)[1].tolist() == [1]
+    long = " ".join(f"w{i}" for i in range(100_000))
+    assert len(long) > 1 << 19
+    for texts in (["one two"], ["one two", long]):
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert near_dup.survivors(table).count() == len(texts)
