@@ -143,15 +143,21 @@ def _sign(elements: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
             elements, owner, order = elements[keep], owner[keep], order[keep]
 
 
-def signed(docs: DataFrame, doc_id: str, text: str, params: NearDupParams) -> DataFrame:
+def signed(
+    docs: DataFrame, doc_id: str, text: str, params: NearDupParams, row: str | None = None
+) -> DataFrame:
     """Staged (row, doc_id, n_shingles, set_digest, text_key, bands): one row per document.
 
     ``bands`` is empty for a document without words. The digest stands for the whole set.
+    Rows are numbered here unless ``row`` names a column that does; then ``exact``, a hash of
+    the unchanged text, is added.
     """
+    exact = [F.xxhash64(text).alias("exact")] if row else []
     read = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(text).alias("text"),
+        *exact,
     )
     places = params.bands * params.rows
 
@@ -463,24 +469,11 @@ def _shared_buckets(reps: DataFrame, params: NearDupParams) -> DataFrame:
     return found.join(shared, "bucket", "left_semi")
 
 
-def group(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    params: NearDupParams | None = None,
+def _members(
+    docs: DataFrame, doc_id: str, text: str, params: NearDupParams, row: str | None = None
 ) -> DataFrame:
-    """One row per document: row, doc_id, n_shingles, component_id, kept.
-
-    Words are taken after lower-casing A-Z; a document with fewer words than a shingle has
-    one shingle, one without words (or a null text) has none and is linked with nothing.
-    ``component_id`` is the smallest id reachable over links. Rows that repeat an id are
-    documents of their own that share it; of rows with the same id and set all carry the same
-    result. A row with a null id keeps a null ``component_id`` if nothing in its group has an
-    id; ``kept`` is true for the row whose id is the component's, and for null ids that stand
-    alone. An empty table gives no rows; other columns of ``docs`` are not read.
-    """
-    params = params or NearDupParams()
-    rows = signed(docs, doc_id, text, params)
+    """The rows of ``signed`` with ``component``: a row number, or below 0 without words."""
+    rows = signed(docs, doc_id, text, params, row)
     filled = rows.where("n_shingles > 0")
     # Representatives of equal sets are row numbers; ids are looked up at the end.
     reps = staged(
@@ -504,9 +497,28 @@ def group(
         .select("set_digest", F.coalesce("linked", "rep").alias("component")),
         "classes",
     )
-    member = rows.join(classes, "set_digest", "left").withColumn(
+    return rows.join(classes, "set_digest", "left").withColumn(
         "component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(-1 - F.col("row"))
     )
+
+
+def group(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    params: NearDupParams | None = None,
+) -> DataFrame:
+    """One row per document: row, doc_id, n_shingles, component_id, kept.
+
+    Words are taken after lower-casing A-Z; a document with fewer words than a shingle has
+    one shingle, one without words (or a null text) has none and is linked with nothing.
+    ``component_id`` is the smallest id reachable over links. Rows that repeat an id are
+    documents of their own that share it; of rows with the same id and set all carry the same
+    result. A row with a null id keeps a null ``component_id`` if nothing in its group has an
+    id; ``kept`` is true for the row whose id is the component's, and for null ids that stand
+    alone. An empty table gives no rows; other columns of ``docs`` are not read.
+    """
+    member = _members(docs, doc_id, text, params or NearDupParams())
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     same = F.col("doc_id") == F.col("component_id")
     return member.join(least, "component").select(
@@ -521,10 +533,26 @@ def group(
 def survivors(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDupParams | None = None
 ) -> DataFrame:
-    """The rows of ``docs`` that ``group`` keeps, with all their columns.
+    """One document of each group of near copies, with all columns of ``docs``.
 
-    Rows with an id that some row was dropped under go with it; null ids always stay.
+    It is the row with the smallest id (a null id comes last), then the first in the table.
+    Rows that repeat both its id and its text are the same document and stay with it; any
+    other row of the group goes, whether it shares the id or has none. Rows are told apart by
+    number, so a row stays or goes by its own text.
     """
-    dropped = group(docs, doc_id, text, params).where(~F.col("kept"))
-    gone = dropped.select(F.col("doc_id").alias("_gone_id")).where("_gone_id is not null").distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone_id"), "left_anti")
+    # The numbers are written down first: a scan made anew may be split in other ways.
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    member = staged(
+        _members(numbered, doc_id, text, params or NearDupParams(), "_row")
+        .where("n_shingles > 0")
+        .select("component", "doc_id", "row", "set_digest", "exact"),
+        "members",
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "set_digest", "exact")
+    first = member.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("size"))
+    several = first.where("size > 1").select("component", "first")
+    same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("exact") == F.col("first.exact"))
+    same = same & (F.col("set_digest") == F.col("first.set_digest"))
+    stays = (F.col("row") == F.col("first.row")) | F.coalesce(same, F.lit(False))
+    gone = member.join(several, "component").where(~stays).select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -104,6 +104,30 @@ def test_empty_table(no_docs):
     assert near_dup.survivors(no_docs).count() == 0
 
 
+def test_survivors_tell_rows_apart_that_share_an_id(spark):
+    near = [" ".join(f"w{k}" for k in range(60)) + f" tail{i}" for i in range(6)]
+    clean = [f"quite another text number {i} of its own {i * i} words" for i in range(3)]
+    rows = [
+        (1, near[0], "a"),
+        (2, near[1], "b"),
+        (2, clean[0], "c"),  # not to go with the near copy of the same id
+        (1, near[2], "d"),  # a near copy with the id that is kept
+        (None, near[3], "e"),
+        (None, near[4], "f"),
+        (None, clean[1], "g"),
+        (None, "", "h"),
+        (None, None, "i"),
+    ]
+    rows += [(None, f"{clean[2]} and more and more", "j"), (None, f"{clean[2]} and more and more", "k")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(3)
+    left = near_dup.survivors(table, params=near_dup.NearDupParams(shingle=2))
+    assert left.columns == ["doc_id", "text", "mark"]
+    marks = sorted(r.mark for r in left.collect())
+    assert len([m for m in marks if m in "abdef"]) == 1 and {"a", "d"} & set(marks)
+    assert len([m for m in marks if m in "jk"]) == 1
+    assert [m for m in marks if m in "cghi"] == ["c", "g", "h", "i"]
+
+
 def test_fewer_words_than_a_shingle_in_a_whole_slice(spark):
     for text in ("one two", "one two three"):
         assert near_dup.shingle_sets(pa.array([text]), 5)[1].tolist() == [1]
