@@ -12,8 +12,9 @@ as the language which uses it most, and at least ``min_count`` times.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -30,7 +31,10 @@ _SLICE_BYTES = 1 << 19
 
 @dataclass(frozen=True)
 class LanguageIdParams:
-    """``slots`` bounds the broadcast table: 8 bytes a slot for each 64 languages."""
+    """``slots`` is the least size of the broadcast table, 8 bytes a slot for each 64 languages.
+
+    It is doubled until no language is expected to fill more than half of it.
+    """
 
     orders: tuple[int, ...] = (3, 4)
     slots: int = 1 << 22
@@ -129,10 +133,29 @@ def _counts(df: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     return words.in_batches(df, run, "lang string, gram long, n long")
 
 
+def _slot(gram: np.ndarray, k: int, params: LanguageIdParams) -> np.ndarray:
+    """The ``k``-th slot of every n-gram."""
+    width = params.slots.bit_length() - 1
+    if width * params.hashes <= 66:
+        mixed = gram >> np.uint64(min(width * k, 63 - width))
+    else:  # The bits of one hash would overlap too much.
+        mixed = words.mix64(gram + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return (mixed & np.uint64(params.slots - 1)).astype(np.int64)
+
+
+def _slots_for(n_grams: int, params: LanguageIdParams) -> int:
+    """The least doubling of ``slots`` that ``n_grams`` fill to one half at most."""
+    slots = params.slots
+    while params.hashes * n_grams > math.log(2) * slots:
+        slots *= 2
+    return slots
+
+
 def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFilter:
     """Fit on all rows with ``text`` and ``lang``; rows with a null in either are left out.
 
-    What reaches the driver is bounded: a row per language and a mask per filter slot.
+    What reaches the driver is a row per language and a mask per filled slot; the number of
+    slots follows the most n-grams that a language holds.
     """
     params = params or LanguageIdParams()
     known = train.select("text", "lang").where("text is not null and lang is not null")
@@ -162,21 +185,25 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
             .where(F.col("m.n") >= params.min_count)
             .select("gram", "m.word", F.expr("shiftleft(1L, m.bit)").alias("mask"))
         )
-        width = params.slots.bit_length() - 1
-        positions = F.array(
-            *[
-                F.shiftrightunsigned("gram", min(width * k, 63 - width)).bitwiseAND(
-                    F.lit(params.slots - 1)
-                )
-                for k in range(params.hashes)
-            ]
-        )
+        bits = bits.cache()
+        learned = [r["count"] for r in bits.groupBy("word", "mask").count().collect()]
+        params = replace(params, slots=_slots_for(max(learned, default=0), params))
+        table = np.zeros((params.slots, n_words), dtype=np.uint64)
+        schema = pa.schema([("slot", pa.int64()), ("word", pa.int32()), ("mask", pa.int64())])
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gram = batch.column("gram").to_numpy().view(np.uint64)
+                for k in range(params.hashes):
+                    yield words.record(schema, _slot(gram, k, params), batch.column("word"), batch.column("mask"))
+
         filled = (
-            bits.select(F.explode(positions).alias("slot"), "word", "mask")
+            bits.mapInArrow(place, "slot long, word int, mask long")
             .groupBy("slot", "word")
             .agg(F.bit_or("mask").alias("mask"))
             .toPandas()
         )
+        bits.unpersist()
         table[filled["slot"].to_numpy(), filled["word"].to_numpy()] = (
             filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
         )
@@ -189,14 +216,10 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
 
 def _masks(model: LanguageFilter, gram: np.ndarray) -> np.ndarray:
     """For each n-gram the languages that contain it, as 64-bit words."""
-    p = model.params
-    width = p.slots.bit_length() - 1
     signed = gram.view(np.uint64)
     mask = None
-    for k in range(p.hashes):
-        shift = np.uint64(min(width * k, 63 - width))
-        slot = (signed >> shift) & np.uint64(p.slots - 1)
-        found = model.table[slot.astype(np.int64)]
+    for k in range(model.params.hashes):
+        found = model.table[_slot(signed, k, model.params)]
         mask = found if mask is None else mask & found
     return mask
 

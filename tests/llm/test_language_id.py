@@ -65,3 +65,30 @@ def test_texts_do_not_run_into_each_other():
     apart = [language_id.n_grams(pa.array([t]), (2, 3))[0] for t in ("ab", "cd")]
     assert sorted(together.tolist()) == sorted(np.concatenate(apart).tolist())
     assert np.bincount(owners).tolist() == [len(a) for a in apart]
+
+
+def test_filter_grows_with_what_a_language_holds(spark):
+    rng = np.random.default_rng(3)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 6)) for _ in range(n))
+
+    large = text("abcdefghijklm", 3000)
+    rows = [(large, "large"), (large, "large"), ("xyz zyx xzy", "small"), ("xyz zyx xzy", "small")]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.fit(table, LanguageIdParams(slots=1 << 10))
+    assert model.params.slots > 1 << 10 and (model.false_positive <= 0.55**3).all()
+    names, scores = language_id.predict_texts(model, pa.array([text("nopqrstuvw", 30) for _ in range(20)]))
+    assert (scores < 0.3).all()
+    names, _ = language_id.predict_texts(model, pa.array([large, "xyz zyx xzy"]))
+    assert names == ["large", "small"]
+
+
+def test_slots_of_large_filters_are_independent():
+    params = LanguageIdParams(slots=1 << 26)
+    gram = np.arange(1 << 20, dtype=np.uint64)
+    slots = [language_id._slot(language_id.words.mix64(gram), k, params) for k in range(3)]
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        assert abs(np.corrcoef(slots[a], slots[b])[0, 1]) < 0.01
+    assert language_id._slots_for(10_000_000, LanguageIdParams()) == 1 << 26
+    assert language_id._slots_for(13_000, LanguageIdParams()) == 1 << 22
