@@ -76,6 +76,83 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+# Marks of a document's parts: two cuts and two draws, from the digest of its id.
+_FILL_IN_MIDDLE = """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+draws AS (
+  SELECT doc_id, t, length(t) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM texts),
+cuts AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws),
+pieces AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM pieces
+"""
+
+
+def _ball_kmeans(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain k-means of vector parts in SQL, a pair of tables for each round."""
+    square = "list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))"
+
+    def nearest(number: int) -> str:
+        return f"""
+codes_{number} AS MATERIALIZED (
+  SELECT row, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM (
+    SELECT p.row, p.part, c.entry, CAST({square} AS BIGINT) AS d
+    FROM pieces p JOIN book_{number} c USING (part))
+  GROUP BY row, part)"""
+
+    def moved(number: int) -> str:
+        # Division of whole numbers that goes down, also below zero.
+        mean = "(s - (((s % n) + n) % n)) // n"
+        return f"""
+book_{number + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v
+  FROM book_{number} b LEFT JOIN (
+    SELECT part, entry, list({mean} ORDER BY i) AS v FROM (
+      SELECT part, entry, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT p.part, k.entry, unnest(p.v) AS x, unnest(range(1, len(p.v) + 1)) AS i
+        FROM pieces p JOIN codes_{number} k USING (row, part))
+      GROUP BY part, entry, i)
+    GROUP BY part, entry) m USING (part, entry))"""
+
+    steps = ",".join(nearest(r) + "," + moved(r) for r in range(rounds)) + "," + nearest(rounds)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, w) AS row, vec_id, label, w FROM (
+    SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)),
+pieces AS MATERIALIZED (
+  SELECT row, part, w[part * size + 1:(part + 1) * size] AS v FROM (
+    SELECT row, w, len(w) // {parts} AS size, unnest(range(0, {parts})) AS part FROM kept)),
+book_0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM pieces WHERE row <= {entries}),
+{steps.lstrip()},
+coded AS (
+  SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM codes_{rounds} GROUP BY row),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM book_{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), digest
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -83,4 +160,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": _SUBSTRING_DEDUP,
         "op9_cover_tree_search": _TOP_K,
         "op7_minhash_near_dup": _NEAR_DUP,
+        "op11_ball_kmeans_codes": _ball_kmeans(),
+        "op12_fill_in_middle": _FILL_IN_MIDDLE,
     }

@@ -9,7 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import cover_search, exact_dedup, html_text, language_id, near_dup, packing, pitman_yor, quality, source_mix, substring_dedup, words
+from gleaner.llm import (
+    ball_kmeans,
+    cover_search,
+    exact_dedup,
+    fill_middle,
+    html_text,
+    language_id,
+    near_dup,
+    packing,
+    pitman_yor,
+    quality,
+    source_mix,
+    substring_dedup,
+    toxic_spans,
+    words,
+)
 from gleaner.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +117,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(rows, model)
 
 
+def op11_ball_kmeans_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, its error and that of its label."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ball_kmeans.described(ball_kmeans.compress(embeddings))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and put together anew, by digests."""
+    return fill_middle.described(fill_middle.transform(_documents(spark, sf_dir)))
+
+
+def op13_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of the labels.
+
+    A document with labels that disagree is left out of the fit.
+    """
+    docs = _documents(spark, sf_dir).select("doc_id", _in_bucket(1, 3).alias("held_out"), "text")
+    labels = (
+        spark.read.parquet(f"{sf_dir}/labels.parquet")
+        .groupBy("doc_id")
+        .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
+        .where("toxic = other")
+    )
+    model = toxic_spans.fit(docs.where("not held_out").join(labels, "doc_id"), "doc_id", "text", "toxic")
+    return toxic_spans.predict(docs, model)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pitman_yor_lm": op1_pitman_yor_lm,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -113,5 +155,8 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_cover_tree_search": op9_cover_tree_search,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ball_kmeans_codes": op11_ball_kmeans_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_toxic_spans": op13_toxic_spans,
     "pipeline": corpus_pipeline.run,
 }

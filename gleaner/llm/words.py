@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 19
 
+#: The text's name on its way to the Python workers, where a caller's names may clash.
+_TEXT = "_text_of_row_"
+
 _WORD_BYTE = np.ones(256, dtype=bool)
 _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,6 +43,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a word."""
+    return _WORD_BYTE[data]
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     """What each byte adds to the hash of a word."""
     return _BYTE_VALUE[data]
@@ -120,9 +128,14 @@ def split(column: pa.Array, lower: bool) -> Words:
     return Words(data, starts, np.flatnonzero(end) + 1, text, len(column))
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def lower_bytes(data: np.ndarray) -> bytes:
     """The bytes with A-Z in lower case."""
-    return _LOWER[data].tobytes()
+    return lower(data).tobytes()
 
 
 def slices(
@@ -177,21 +190,26 @@ def with_columns(
     fields: dict[str, str],
     compute: Callable[[pa.Array], list],
     slice_bytes: int = SLICE_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from one text column, slice by slice.
 
     ``fields`` maps new names to SQL types; columns of ``df`` with such names are replaced.
+    Only the columns in ``keep`` (all by default) and the text go to the Python workers, and
+    only those in ``keep`` come back: Spark cannot prune a column that a worker returns.
     """
-    kept = df.drop(*fields)
-    schema = T.StructType(list(kept.schema.fields))
+    clean = df.drop(*fields)
+    keep = clean.columns if keep is None else keep
+    kept = clean.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(_TEXT))
+    schema = T.StructType(kept.schema.fields[:-1])
     for name, kind in fields.items():
         schema = schema.add(T.StructType.fromDDL(f"{name} {kind}").fields[0])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, slice_bytes):
-            new = [c if isinstance(c, pa.Array) else pa.array(c) for c in compute(part.column(text))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=names)
+        for part in slices(batches, _TEXT, slice_bytes):
+            new = [c if isinstance(c, pa.Array) else pa.array(c) for c in compute(part.column(_TEXT))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=names)
 
     return kept.mapInArrow(run, schema)
 
