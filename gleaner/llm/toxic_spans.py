@@ -41,7 +41,7 @@ _TOLERANCE = 1e-9
 _QUIET = -21.0
 #: Bytes of one text handled together; longer texts pass their messages from stretch to stretch.
 _STRETCH_BYTES = 1 << 20
-_TOKENS_PER_TASK = 2e5
+_TOKENS_PER_TASK = 4e5
 _DOCUMENTS_A_BLOCK = 128
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from gleaner.operators.collect import checked_width
 from gleaner.operators.knn import CompressedKnnModel, fit_knn
 from gleaner.operators.linear import LogisticModel, fit_logistic
 from gleaner.operators.params import EnsembleParams, for_sample_size
-from gleaner.operators.trees import TreesModel, fit_trees
+from gleaner.operators.trees import TreesModel, fit_many
 
 MEMBERS = ("p_knn", "p_lr", "p_gbt")
 
@@ -72,27 +74,49 @@ class EnsembleModel:
         return replace(self, params=replace(self.params, weights=tuple(weights)))
 
 
-def fit_ensemble(
+def fit_ensembles(
     df: DataFrame,
     params: EnsembleParams,
+    n_fits: int,
+    fits: str = "fits",
     vec: str = "vec",
     label: str = "label",
     n_for_rule: int | None = None,
-) -> EnsembleModel:
-    """Fit the three members on ``vec`` and a 0/1 label.
+    parallel_fits: int = 6,
+) -> list[EnsembleModel]:
+    """Several ensembles: number ``i`` learns from the rows whose array ``fits`` has ``i``.
 
-    Rows without a vector or a label are left out. The small-sample rule sees
-    ``n_for_rule`` rows (cross-validation passes the size of the whole set), by default the
+    The boosted trees of all fits advance in one job, the other members are fitted side by
+    side. Rows without a vector or a label are left out. The small-sample rule sees
+    ``n_for_rule`` rows (cross-validation passes the size of the whole set), by default all
     rows that are left.
     """
     df = with_vector(df, vec, label)
     n = n_for_rule if n_for_rule is not None else df.count()
     effective = for_sample_size(params, n)
-    knn = fit_knn(df, effective.knn, vec, label)
-    return EnsembleModel(
-        params=effective,
-        knn=knn,
-        logistic=fit_logistic(df, effective.logistic, vec, label),
-        trees=fit_trees(df, effective, vec, label),
-        n_features=knn.n_features,
-    )
+
+    def members(i: int) -> tuple[CompressedKnnModel, LogisticModel]:
+        rows = df.where(F.array_contains(fits, i))
+        return fit_knn(rows, effective.knn, vec, label), fit_logistic(rows, effective.logistic, vec, label)
+
+    threads = inheritable_thread_target(df.sparkSession)
+    with ThreadPool(min(parallel_fits, n_fits) + 1) as pool:
+        boosted = pool.apply_async(threads(fit_many), (df, effective, n_fits, fits, vec, label))
+        others = pool.map(threads(members), range(n_fits))
+        trees = boosted.get()
+    return [
+        EnsembleModel(params=effective, knn=knn, logistic=logistic, trees=t, n_features=knn.n_features)
+        for (knn, logistic), t in zip(others, trees, strict=True)
+    ]
+
+
+def fit_ensemble(
+    df: DataFrame,
+    params: EnsembleParams,
+    vec: str = "vec",
+    label: str = "label",
+    n_for_rule: int | None = None,
+) -> EnsembleModel:
+    """Fit the three members on ``vec`` and a 0/1 label; see ``fit_ensembles``."""
+    alone = df.withColumn("fits", F.array(F.lit(0)))
+    return fit_ensembles(alone, params, 1, "fits", vec, label, n_for_rule)[0]

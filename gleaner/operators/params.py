@@ -45,8 +45,7 @@ class EnsembleParams:
     logistic: LogisticParams = field(default_factory=LogisticParams)
     trees: TreeParams = field(default_factory=TreeParams)
     weights: tuple[float, float, float] = (0.3, 0.4, 0.3)
-    # (number of trees, learning rate) to use instead of those of ``trees``: every tree
-    # costs a few Spark jobs, so a few larger steps are much quicker than many small ones.
+    # (number of trees, learning rate) to use instead of those of ``trees``.
     boosting: tuple[int, float] | None = None
 
     def to_json(self) -> str:

@@ -1,68 +1,417 @@
-"""Gradient boosted trees."""
+"""Gradient boosted trees, grown leaf by leaf on binned columns.
+
+Labels are few and vectors are wide, so the work is dealt by columns: a task holds the binned
+values of some columns for all labeled rows of one fit. Tasks of a fit agree on every split
+by a barrier: each proposes the best split of its columns, and the one whose proposal wins
+sends which rows go right. Several fits (folds, and the final one) advance in the same job.
+Fits that need one task each exchange nothing and need no barrier.
+"""
 
 from __future__ import annotations
 
+import base64
+import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors
 from gleaner.operators.params import EnsembleParams, boosting_rounds
-from gleaner.session import ensure_checkpoint_dir, packed
+from gleaner.session import packed, staged
 
-# Long boosting runs cut their lineage every so many trees.
-_CHECKPOINT_EVERY = 50
-# Vector elements a task of one tree level should hold.
-_NUMBERS_PER_TASK = 5e5
+#: Most bins of a column, least sum of second derivatives in a leaf.
+MAX_BINS = 255
+MIN_HESSIAN = 1e-3
+# Values (rows times columns of a fit) from which a fit is dealt to one more task.
+_VALUES_PER_TASK = 4e6
+# Rows scored together, times trees.
+_SCORED_AT_ONCE = 1 << 19
+_MODEL_SCHEMA = "fit int, init double, tree int, leaf array<int>, column array<int>, threshold array<double>, value array<double>"
 
 
 @dataclass
 class TreesModel:
-    model: GBTClassificationModel
+    """Boosted trees as arrays (tree, split) and (tree, leaf).
+
+    Split ``k`` of a tree sends rows of leaf ``leaf[k]`` whose ``column[k]`` is above
+    ``threshold[k]`` to the new leaf ``k + 1``; unused splits have column -1.
+    """
+
+    init: float
+    leaf: np.ndarray
+    column: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+    n_features: int
+
+    def raw_scores(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of class 1 for each row of ``x``."""
+        out = np.full(len(x), self.init)
+        n_trees, n_splits = self.column.shape
+        if not n_trees:
+            return out
+        column = np.maximum(self.column, 0)
+        threshold = np.where(self.column < 0, np.inf, self.threshold)
+        step = max(1, _SCORED_AT_ONCE // n_trees)
+        for first in range(0, len(x), step):
+            part = np.ascontiguousarray(x[first : first + step].T)
+            at = np.zeros((n_trees, part.shape[1]), dtype=np.int8)
+            for k in range(n_splits):
+                right = part[column[:, k]] > threshold[:, k, None]
+                right &= at == self.leaf[:, k, None]
+                at[right] = k + 1
+            out[first : first + step] += np.take_along_axis(self.value, at, axis=1).sum(axis=0)
+        return out
 
     def predict(self, df: DataFrame, vec: str = "vec", out: str = "p_gbt") -> DataFrame:
         """Add the probability of class 1, null for rows without a vector."""
-        filled = vectors.or_zeros(vec, self.model.numFeatures)
-        scored = self.model.transform(df.withColumn("gbt_in", array_to_vector(filled)))
-        p = F.element_at(vector_to_array("gbt_prob"), 2)
-        return scored.withColumn(out, vectors.blank_without(vec, p)).drop(
-            "gbt_in", "gbt_raw", "gbt_prob", "gbt_class"
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        width = self.n_features
+
+        @F.arrow_udf("double")
+        def probability(column: pa.Array) -> pa.Array:
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+            return pa.array(1 / (1 + np.exp(-shared.value.raw_scores(x))))
+
+        filled = vectors.or_zeros(vectors.as_doubles(vec), width)
+        return df.withColumn(out, vectors.blank_without(vec, probability(filled)))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """A row for each tree, for saving."""
+        rows = [
+            (0, self.init, t, *(a[t].tolist() for a in (self.leaf, self.column, self.threshold, self.value)))
+            for t in range(len(self.column))
+        ]
+        return spark.createDataFrame(rows, _MODEL_SCHEMA)
+
+
+def from_rows(rows: list, n_features: int) -> TreesModel:
+    """The model of one fit from its rows of trees."""
+    rows = sorted(rows, key=lambda r: r["tree"])
+    stack = lambda name, kind: np.array([r[name] for r in rows], dtype=kind)
+    return TreesModel(
+        rows[0]["init"], stack("leaf", np.int8), stack("column", np.int32),
+        stack("threshold", float), stack("value", float), n_features,
+    )
+
+
+# --- one fit --------------------------------------------------------------------------
+
+
+def bin_edges(x: np.ndarray) -> np.ndarray:
+    """Upper edges of a column's bins, but for the last: between neighbouring values.
+
+    Up to ``MAX_BINS`` distinct values have a bin each; more are cut into as equal counts as
+    whole values allow.
+    """
+    values, counts = np.unique(x, return_counts=True)
+    middle = (values[:-1] + values[1:]) / 2
+    # Between two neighbouring doubles there is no middle; the lower one then is the edge.
+    middle = np.where(middle >= values[1:], values[:-1], middle)
+    if len(values) <= MAX_BINS:
+        return middle
+    ends = np.cumsum(counts)[:-1]
+    wanted = np.arange(1, MAX_BINS) * (len(x) / MAX_BINS)
+    return middle[np.unique(np.clip(np.searchsorted(ends, wanted), 0, len(middle) - 1))]
+
+
+def draw(key: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """A pseudorandom 64-bit number for each key, different in every tree."""
+    mixed = (seed * 0x9E3779B97F4A7C15 + (tree + 1) * 0xD6E8FEB86659FD93) % (1 << 64)
+    x = key.astype(np.uint64) ^ np.uint64(mixed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x
+
+
+def _lowest(numbers: np.ndarray, share: float) -> np.ndarray:
+    """Places of the lowest share of some numbers, at least one, in order."""
+    n = min(len(numbers), max(1, math.floor(share * len(numbers) + 0.5)))
+    return np.sort(np.argsort(numbers, kind="stable")[:n])
+
+
+@dataclass
+class _Leaf:
+    sums: np.ndarray  # (kind, column, bin): first and second derivatives, counts
+    gain: float = -math.inf
+    column: int = -1
+    edge: int = -1
+
+
+class Growth:
+    """Grows the trees of one fit on the columns of one task.
+
+    ``x`` has the own columns, ``columns`` their numbers among all; ``best_of`` and
+    ``right_of`` agree with the tasks that hold the others.
+    """
+
+    def __init__(
+        self,
+        x: np.ndarray,
+        y: np.ndarray,
+        key: np.ndarray,
+        columns: np.ndarray,
+        n_features: int,
+        params: EnsembleParams,
+        best_of: Callable[[list[tuple]], list[tuple]] = lambda own: own,
+        right_of: Callable[[np.ndarray | None], np.ndarray] = lambda own: own,
+    ) -> None:
+        # Sums must not depend on the order in which rows arrived, and all tasks of a fit need
+        # one order. Rows with the same key are the same row twice.
+        order = np.lexsort((y, key))
+        x, self.y, self.key = x[:, order], y[order], key[order]
+        self.columns, self.n_features = columns, n_features
+        self.params, self.best_of, self.right_of = params, best_of, right_of
+        self.rounds, self.rate = boosting_rounds(params)
+        self.edges = [bin_edges(c) for c in x]
+        self.bins = 1 + max((len(e) for e in self.edges), default=0)
+        self.codes = np.array([np.searchsorted(e, c) for e, c in zip(self.edges, x, strict=True)], dtype=np.int32)
+        self.codes = self.codes.reshape(len(x), len(self.y))
+
+    def _sums(self, rows: np.ndarray, chosen: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        flat = self.codes[chosen][:, rows] + (np.arange(len(chosen)) * self.bins)[:, None]
+        flat, size = flat.reshape(-1), len(chosen) * self.bins
+        weigh = lambda w: np.bincount(flat, weights=np.tile(w[rows], len(chosen)), minlength=size)
+        counts = np.bincount(flat, minlength=size)
+        return np.array([weigh(first), weigh(second), counts]).reshape(3, len(chosen), self.bins)
+
+    def _best(self, leaf: _Leaf, chosen: np.ndarray) -> tuple:
+        """(gain, -column, edge, number among the chosen) of the best split of a leaf."""
+        if not len(chosen) or self.bins < 2:
+            return (-math.inf, 0, -1, -1)
+        left = leaf.sums.cumsum(axis=2)
+        total = left[:, :, -1:]
+        right = total - left
+        least = self.params.trees.min_data_in_leaf
+        fits = (left[2] >= least) & (right[2] >= least) & (left[1] >= MIN_HESSIAN) & (right[1] >= MIN_HESSIAN)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - total[0] ** 2 / total[1]
+        gain = np.where(fits, gain, -math.inf)
+        place = int(gain.argmax())
+        c, edge = divmod(place, self.bins)
+        return (float(gain[c, edge]), -int(self.columns[chosen[c]]), edge, c)
+
+    def _tree(self, tree: int, score: np.ndarray) -> tuple[list, list, list, np.ndarray, np.ndarray]:
+        trees = self.params.trees
+        p = 1 / (1 + np.exp(-score))
+        first, second = p - self.y, p * (1 - p)
+        bag = np.zeros(len(self.y), dtype=bool)
+        bag[_lowest(draw(self.key, trees.seed, tree), trees.row_sample)] = True
+        every = np.arange(self.n_features, dtype=np.uint64)
+        sampled = _lowest(draw(every, trees.seed + 1, tree), trees.column_sample)
+        chosen = np.flatnonzero(np.isin(self.columns, sampled))
+        at = np.zeros(len(self.y), dtype=np.int8)
+        leaves = [_Leaf(self._sums(np.flatnonzero(bag), chosen, first, second))]
+        fresh = [0]
+        parents, columns, thresholds = [], [], []
+        for k in range(trees.num_leaves - 1):
+            own = [self._best(leaves[i], chosen) for i in fresh]
+            agreed = self.best_of([o[:2] for o in own])
+            for i, mine, (gain, column) in zip(fresh, own, agreed, strict=True):
+                leaves[i].gain, leaves[i].column = gain, -column
+                is_mine = mine[0] == gain and mine[1] == column and gain > -math.inf
+                leaves[i].edge = mine[2] if is_mine else -1
+            split = max(range(len(leaves)), key=lambda i: (leaves[i].gain, -i))
+            leaf = leaves[split]
+            if leaf.gain <= 0:
+                # Other fits in the job may go on: take part in what they agree on.
+                for _ in range(k, trees.num_leaves - 1):
+                    self.right_of(None)
+                    self.best_of([])
+                break
+            threshold, above = None, None
+            if leaf.edge >= 0:
+                own_column = int(np.flatnonzero(self.columns == leaf.column)[0])
+                threshold = float(self.edges[own_column][leaf.edge])
+                above = self.codes[own_column] > leaf.edge
+            threshold, above = self.right_of(None if above is None else (threshold, above))
+            right = (at == split) & above
+            at[right] = k + 1
+            parents.append(split)
+            columns.append(leaf.column)
+            thresholds.append(threshold)
+            # The smaller side is summed up, the other is what is left.
+            sides = (at == split) & bag, right & bag
+            small = int(sides[1].sum() < sides[0].sum())
+            sums = self._sums(np.flatnonzero(sides[small]), chosen, first, second)
+            both = {small: sums, 1 - small: leaf.sums - sums}
+            leaves[split] = _Leaf(both[0])
+            leaves.append(_Leaf(both[1]))
+            fresh = [split, k + 1]
+        else:
+            self.best_of([])
+        value = np.zeros(trees.num_leaves)
+        n = len(parents) + 1
+        if n > 1:
+            for i in range(n):
+                rows = bag & (at == i)
+                value[i] = -self.rate * first[rows].sum() / second[rows].sum()
+        return parents, columns, thresholds, value, value[at]
+
+    def run(self) -> tuple[float, dict[str, np.ndarray]]:
+        """The log odds of the class shares, and the trees as arrays."""
+        splits = self.params.trees.num_leaves - 1
+        share = np.clip(self.y.mean() if len(self.y) else 0.5, 1e-15, 1 - 1e-15)
+        init = float(np.log(share / (1 - share)))
+        score = np.full(len(self.y), init)
+        out = {
+            "leaf": np.zeros((self.rounds, splits), np.int8),
+            "column": np.full((self.rounds, splits), -1, np.int32),
+            "threshold": np.zeros((self.rounds, splits)),
+            "value": np.zeros((self.rounds, splits + 1)),
+        }
+        for tree in range(self.rounds):
+            parents, columns, thresholds, value, gained = self._tree(tree, score)
+            n = len(parents)
+            out["leaf"][tree, :n], out["column"][tree, :n] = parents, columns
+            out["threshold"][tree, :n], out["value"][tree] = thresholds, value
+            score = score + gained
+        return init, out
+
+
+# --- many fits in one job -------------------------------------------------------------
+
+
+def _agreement(context: BarrierTaskContext, own: range) -> tuple[Callable, Callable]:
+    """How the tasks of a fit (partitions ``own``) agree, while all tasks of the job meet."""
+
+    def best_of(proposals: list[tuple]) -> list[tuple]:
+        told = [json.loads(m) for m in context.allGather(json.dumps(proposals))]
+        return [max(tuple(p) for p in of_leaf) for of_leaf in zip(*(told[i] for i in own), strict=True)]
+
+    def right_of(mine: tuple | None) -> tuple | None:
+        text = ""
+        if mine is not None:
+            text = json.dumps([mine[0], base64.b64encode(np.packbits(mine[1])).decode(), len(mine[1])])
+        told = context.allGather(text)
+        for i in own:
+            if told[i]:
+                threshold, bits, n = json.loads(told[i])
+                return threshold, np.unpackbits(np.frombuffer(base64.b64decode(bits), np.uint8), count=n).astype(bool)
+        return None
+
+    return best_of, right_of
+
+
+def _tasks_per_fit(spark: SparkSession, n: int, width: int, n_fits: int) -> int:
+    """How many tasks share the columns of a fit; all tasks of the job must run at once."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return 1  # barriers need a fixed number of executors
+    slots = spark.sparkContext.defaultParallelism
+    wanted = math.ceil(n * width / _VALUES_PER_TASK)
+    return max(1, min(wanted, slots // n_fits, width))
+
+
+def fit_many(
+    df: DataFrame,
+    params: EnsembleParams,
+    n_fits: int,
+    fits: str = "fits",
+    vec: str = "vec",
+    label: str = "label",
+    tasks_per_fit: int | None = None,
+) -> list[TreesModel]:
+    """One model for each fit: fit ``i`` learns from the rows whose array ``fits`` has ``i``.
+
+    A model is the same as that of a fit by itself, in whatever order the rows come and by
+    however many tasks. Rows without a vector or a label are left out. A task holds all rows
+    of its fit for its columns; a row is sent once for each fit it takes part in.
+    """
+    spark = df.sparkSession
+    rows = vectors.with_vector(df, vec, label).select(
+        vectors.as_doubles(vec).alias("vec"),
+        F.col(label).cast("double").alias("label"),
+        F.col(fits).cast("array<int>").alias("fits"),
+    )
+    rows = staged(rows.withColumn("key", F.xxhash64("vec", "label")), "boosting_rows")
+    size = rows.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("width"), F.max(F.size("vec")).alias("top")).first()
+    if not size.n:
+        raise ValueError("no rows with a vector and a label to fit trees on")
+    if size.width != size.top:
+        raise ValueError(f"vectors of widths {size.width} to {size.top}")
+    width = size.width
+    per_fit = tasks_per_fit or _tasks_per_fit(spark, size.n, width, n_fits)
+    groups = np.array_split(np.arange(width), per_fit)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, width)
+            y, key = (batch.column(c).to_numpy() for c in ("label", "key"))
+            members = batch.column("fits")
+            row = np.repeat(np.arange(batch.num_rows), members.value_lengths().to_numpy())
+            fit = members.flatten().to_numpy()
+            slots, blocks = [], []
+            for f in np.unique(fit):
+                own = np.unique(row[fit == f])
+                for g, columns in enumerate(groups):
+                    slots.append(int(f) * per_fit + g)
+                    blocks.append((x[np.ix_(own, columns)].T.tobytes(), y[own].tobytes(), key[own].tobytes()))
+            if slots:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slots, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*blocks, strict=True))],
+                    names=["slot", "x", "y", "key"],
+                )
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, xs, ys, keys = None, [], [], []
+        for batch in batches:
+            for block in batch.to_pylist():
+                slot = block["slot"]
+                ys.append(np.frombuffer(block["y"]))
+                keys.append(np.frombuffer(block["key"], np.int64))
+                xs.append(np.frombuffer(block["x"]).reshape(-1, len(ys[-1])))
+        if slot is None and per_fit == 1:
+            return
+        agree = {}
+        if per_fit > 1:
+            context = BarrierTaskContext.get()
+            slot = context.partitionId()
+            first = slot // per_fit * per_fit
+            agree = dict(zip(("best_of", "right_of"), _agreement(context, range(first, first + per_fit)), strict=True))
+        fit, group = divmod(slot, per_fit)
+        columns = groups[group]
+        x = np.concatenate(xs, axis=1) if xs else np.empty((len(columns), 0))
+        y, key = (np.concatenate(parts) if parts else np.empty(0) for parts in (ys, keys))
+        init, found = Growth(x, y, key, columns, width, params, **agree).run()
+        if group:
+            return
+        n = len(found["column"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([fit] * n, pa.int32()),
+                pa.array([init] * n),
+                pa.array(range(n), pa.int32()),
+                *(pa.array(list(found[c]), pa.list_(k)) for c, k in (
+                    ("leaf", pa.int32()), ("column", pa.int32()), ("threshold", pa.float64()), ("value", pa.float64())
+                )),
+            ],
+            names=["fit", "init", "tree", "leaf", "column", "threshold", "value"],
         )
 
+    dealt = packed(rows, size.n * width, _VALUES_PER_TASK).mapInArrow(deal, "slot int, x binary, y binary, key binary")
+    dealt = dealt.repartitionById(n_fits * per_fit, F.col("slot"))
+    grown = staged(dealt.mapInArrow(grow, _MODEL_SCHEMA, barrier=per_fit > 1), "trees")
+    found: dict[int, list] = {i: [] for i in range(n_fits)}
+    # As many rows as fits have trees.
+    for row in grown.collect():
+        found[row["fit"]].append(row)
+    missing = [i for i, rows in found.items() if not rows]
+    if missing and boosting_rounds(params)[0]:
+        raise ValueError(f"no rows to fit {missing} on")
+    return [from_rows(found[i], width) for i in range(n_fits)]
+
 
 def fit_trees(
     df: DataFrame, params: EnsembleParams, vec: str = "vec", label: str = "label"
 ) -> TreesModel:
-    """Boosted trees of as many levels as ``num_leaves`` needs.
+    """Boosted trees of at most ``num_leaves`` leaves, the best leaf split first.
 
     Rows without a vector or a label are left out.
     """
-    trees = params.trees
-    rounds, rate = boosting_rounds(params)
-    if rounds > _CHECKPOINT_EVERY:
-        ensure_checkpoint_dir(df.sparkSession)
-    data = vectors.with_vector(df, vec, label).select(
-        array_to_vector(vec).alias("gbt_in"), F.col(label).cast("double").alias("label")
-    ).persist()
-    size = data.agg(
-        F.count("*").alias("n"), F.max(F.size(vector_to_array("gbt_in"))).alias("width")
-    ).first()
-    model = GBTClassifier(
-        featuresCol="gbt_in",
-        labelCol="label",
-        predictionCol="gbt_class",
-        maxIter=rounds,
-        stepSize=rate,
-        maxDepth=math.ceil(math.log2(trees.num_leaves)),
-        minInstancesPerNode=max(1, trees.min_data_in_leaf),
-        subsamplingRate=trees.row_sample,
-        featureSubsetStrategy=str(trees.column_sample),
-        checkpointInterval=_CHECKPOINT_EVERY,
-        seed=trees.seed,
-    ).fit(packed(data, size.n * size.width, _NUMBERS_PER_TASK))
-    data.unpersist()
-    return TreesModel(model.setProbabilityCol("gbt_prob").setRawPredictionCol("gbt_raw"))
+    return fit_many(df.withColumn("fits", F.array(F.lit(0))), params, 1, "fits", vec, label)[0]

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import with_vector
 from gleaner.operators import metrics
-from gleaner.operators.ensemble import MEMBERS, fit_ensemble, weighted_score
+from gleaner.operators.ensemble import MEMBERS, EnsembleModel, fit_ensembles, weighted_score
 from gleaner.operators.folds import stratified_folds
 from gleaner.operators.params import EnsembleParams
 from gleaner.session import staged
@@ -35,6 +34,15 @@ def fold_metrics(scores: DataFrame) -> DataFrame:
     return metrics.evaluate(long, "p", "label", by)
 
 
+@dataclass
+class Validation:
+    """Out-of-fold scores, fold metrics and, if asked for, the fit on all rows."""
+
+    oof: DataFrame
+    fold_metrics: DataFrame
+    final: EnsembleModel | None = None
+
+
 def cross_validate(
     df: DataFrame,
     params: EnsembleParams,
@@ -44,38 +52,42 @@ def cross_validate(
     n_splits: int = 5,
     n_repeats: int = 1,
     seed: int = 123,
-    parallel_fits: int = 5,
-) -> tuple[DataFrame, DataFrame]:
-    """``(oof, metrics)``: out-of-fold scores of every labeled item, and fold metrics.
+    with_final: bool = False,
+) -> Validation:
+    """Out-of-fold scores of every labeled item, and metrics of every fold.
 
     Each fold fits all three members on the other folds, with the parameters of the whole
-    set's size, and scores both parts; items without a vector keep null scores. Folds are independent Spark jobs submitted side by
-    side; all scores are written once and evaluated together.
+    set's size, and scores both parts; items without a vector keep null scores. The fits of
+    all folds, and the final one on all rows if wanted, run together; all scores are written
+    once and evaluated together.
     """
     labeled = df.select(id_col, F.col(label).alias("label"), F.col(vec).alias("vec"))
-    drawn = staged(stratified_folds(labeled, id_col, "label", n_splits, n_repeats, seed), "folds")
+    drawn = stratified_folds(labeled, id_col, "label", n_splits, n_repeats, seed)
+    # Fold f of repeat r is fit number r * n_splits + f, the final fit comes after all.
+    of_repeat = F.transform(
+        F.sequence(F.lit(0), F.lit(n_splits - 1)), lambda f: F.when(f != F.col("fold"), F.col("repeat") * n_splits + f)
+    )
+    last = n_repeats * n_splits
+    also = F.when(F.col("repeat") == 0, F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
+    fits = F.concat(F.array_compact(of_repeat), also) if with_final else F.array_compact(of_repeat)
+    drawn = staged(drawn.withColumn("fits", fits), "folds")
     n = with_vector(labeled, "vec", "label").count()
+    models = fit_ensembles(drawn, params, last + with_final, "fits", n_for_rule=n)
 
-    def run(task: tuple[int, int]) -> DataFrame:
-        repeat, fold = task
+    def scored(number: int) -> DataFrame:
+        repeat, fold = divmod(number, n_splits)
+        model = models[number]
         rows = drawn.where(F.col("repeat") == repeat)
-        model = fit_ensemble(
-            rows.where(F.col("fold") != fold), params, "vec", "label", n_for_rule=n
-        )
         subset = F.when(F.col("fold") == fold, F.lit("valid")).otherwise(F.lit("train"))
-        scored = model.predict(rows.withColumn("subset", subset))
         ensemble = weighted_score(model.params.weights)
-        return scored.select(
+        return model.predict(rows.withColumn("subset", subset)).select(
             id_col, F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold"), "subset",
             "label", *MEMBERS, ensemble.alias("p_ensemble"),
         )
 
-    tasks = [(r, f) for r in range(n_repeats) for f in range(n_splits)]
-    with ThreadPool(min(parallel_fits, len(tasks))) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(run), tasks)
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
+    scores = scored(0)
+    for number in range(1, last):
+        scores = scores.unionByName(scored(number))
     scores = staged(scores, "fold_scores")
     oof = scores.where("subset = 'valid'").drop("subset")
-    return oof, fold_metrics(scores)
+    return Validation(oof, fold_metrics(scores), models[last] if with_final else None)

@@ -340,6 +340,33 @@ SELECT sample_id, round(1 / (1 + exp(-(u * a + v * b + w))), 3) AS p_lr
 FROM pair, steps WHERE k = 30"""
 
 
+def _stumps(steps: int, rate: float, least: int) -> str:
+    """Boosting by stumps: of all edges between values of a column the one with most gain."""
+    edges = """
+edges_{k} AS (
+  SELECT c, v, (v + lead(v) OVER w) / 2 AS edge, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl,
+    sum(g) OVER (PARTITION BY c) AS gt, sum(h) OVER (PARTITION BY c) AS ht, sum(n) OVER (PARTITION BY c) AS nt
+  FROM (
+    SELECT c, v, sum(p - y) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM (
+      SELECT y, 1 / (1 + exp(-score)) AS p, unnest([0, 1]) AS c, unnest([a, b]) AS v FROM scored_{k})
+    GROUP BY c, v)
+  WINDOW w AS (PARTITION BY c ORDER BY v)),
+best_{k} AS (
+  SELECT *, -{rate} * gl / hl AS below, -{rate} * (gt - gl) / (ht - hl) AS above FROM edges_{k}
+  WHERE edge IS NOT NULL AND nl >= {least} AND nt - nl >= {least}
+  ORDER BY gl * gl / hl + (gt - gl) ** 2 / (ht - hl) - gt * gt / ht DESC, c, edge LIMIT 1),
+scored_{j} AS (
+  SELECT sample_id, a, b, y, score + CASE WHEN (CASE WHEN c = 0 THEN a ELSE b END) <= edge THEN below ELSE above END AS score
+  FROM scored_{k}, best_{k})"""
+    grown = ",".join(edges.format(k=k, j=k + 1, rate=rate, least=least) for k in range(steps))
+    return f"""
+WITH {_PAIR_CTE},
+scored_0 AS (
+  SELECT sample_id, round(a, 1) AS a, round(b, 2) AS b, y, ln(avg(y) OVER () / (1 - avg(y) OVER ())) AS score FROM pair),
+{grown.lstrip()}
+SELECT sample_id, round(1 / (1 + exp(-score)), 6) AS p_gbt FROM scored_{steps}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL per query key; keys without an entry have no equivalent SQL."""
     known = {
@@ -531,6 +558,7 @@ SELECT sample_id, p, CASE WHEN p <= 0.6::DOUBLE THEN 'negative' WHEN p >= 0.8::D
   THEN 'positive' ELSE 'none' END AS route FROM scored""",
         "stream_label_progress": _PROGRESS,
     }
+    known["gbt_two_stumps"] = _stumps(2, 0.5, 10)
     known |= {"lda_two_columns": _LDA, "pca_two_columns": _PCA, "lr_two_columns": _LR}
     # Other ways to the same rows.
     known["near_dup_cells"] = known["near_dup_drop"]

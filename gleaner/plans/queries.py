@@ -25,7 +25,7 @@ from gleaner.operators import (
     validate,
 )
 from gleaner.operators.ensemble import fit_ensemble, weighted_score
-from gleaner.operators.params import DEFAULT, for_sample_size
+from gleaner.operators.params import DEFAULT, TreeParams, for_sample_size
 from gleaner.plans.apply import dedup_routed, score_and_route
 from gleaner.plans.train import fit_labeled, retrain_and_rescore, score_items
 from gleaner.session import new_path, spread, staged
@@ -557,6 +557,15 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(data).select("sample_id", "label", "p_gbt")
 
 
+def gbt_two_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boosting steps of two leaves each, over two rounded columns and all rows."""
+    rounding = F.array(F.round(F.element_at("vec", 1), 1), F.round(F.element_at("vec", 2), 2))
+    data = pair_vectors(spark, sf_dir).withColumn("vec", rounding)
+    stump = TreeParams(num_leaves=2, min_data_in_leaf=10, column_sample=1.0, row_sample=1.0)
+    model = trees.fit_trees(data, replace(DEFAULT, trees=stump, boosting=(2, 0.5)))
+    return rounded(model.predict(data).select("sample_id", "p_gbt"), "p_gbt")
+
+
 def lda_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = labeled_vectors(spark, sf_dir)
     model = linear.fit_discriminant(data)
@@ -588,7 +597,7 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, per_fold = validate.cross_validate(labeled_vectors(spark, sf_dir), DEFAULT)
+    per_fold = validate.cross_validate(labeled_vectors(spark, sf_dir), DEFAULT).fold_metrics
     return rounded(per_fold, "accuracy", "rmse", "auc")
 
 
@@ -709,6 +718,7 @@ QUERIES: dict[str, Query] = {
     "multiclass_knn": multiclass_knn,
     "lr_scores": lr_scores,
     "gbt_scores": gbt_scores,
+    "gbt_two_stumps": gbt_two_stumps,
     "lda_scores": lda_scores,
     "two_model_scores": two_model_scores,
     "ensemble_scores": ensemble_scores,

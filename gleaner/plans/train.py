@@ -83,19 +83,23 @@ def fit_labeled(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     ).first()
     n = counts.pos + counts.neg
+    oof = folds = best = None
+    if perform_cross_validation and n > CROSS_VALIDATION_ABOVE:
+        validated = validate.cross_validate(labeled, params, with_final=True)
+        fitted, oof, folds = validated.final, validated.oof, validated.fold_metrics
+        searched = ensemble_weights.weight_search(oof, n=n_weights)
+        best = ensemble_weights.best_weights(searched).first().asDict()
+    else:
+        fitted = fit_ensemble(labeled, params)
     model = replace(
-        fit_ensemble(labeled, params),
+        fitted,
         models_for_features=tuple(models_for_features),
         n_positive=counts.pos,
         n_negative=counts.neg,
+        best=best,
     )
-    oof = folds = None
-    if perform_cross_validation and n > CROSS_VALIDATION_ABOVE:
-        oof, folds = validate.cross_validate(labeled, params)
-        searched = ensemble_weights.weight_search(oof, n=n_weights)
-        model.best = ensemble_weights.best_weights(searched).first().asDict()
-        if reset_weights:
-            model = model.with_weights([model.best[w] for w in ensemble_weights.WEIGHTS])
+    if best and reset_weights:
+        model = model.with_weights([best[w] for w in ensemble_weights.WEIGHTS])
     labeled.unpersist()
     return Training(model, oof, folds, without)
 

@@ -7,15 +7,15 @@ import json
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import trees
 from gleaner.operators.ensemble import EnsembleModel
 from gleaner.operators.knn import CompressedKnnModel
 from gleaner.operators.linear import LogisticModel
 from gleaner.operators.params import EnsembleParams
-from gleaner.operators.trees import TreesModel
 
 MODEL_PREFIX = "good_vs_bad_classifier"
 
@@ -42,7 +42,7 @@ def save_model(
     path = f"{folder.rstrip('/')}/{model_name(prefix, n_samples, model.n_features)}"
     model.knn.reducer.write().overwrite().save(f"{path}/reducer")
     model.logistic.model.write().overwrite().save(f"{path}/logistic")
-    model.trees.model.write().overwrite().save(f"{path}/trees")
+    model.trees.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
     rows = [
         (i, [float(x) for x in vec], [float(x) for x in y])
         for i, (vec, y) in enumerate(zip(model.knn.templates, model.knn.labels))
@@ -91,7 +91,7 @@ def load_model(spark: SparkSession, path: str) -> EnsembleModel:
         logistic=LogisticModel(
             LogisticRegressionModel.load(f"{path}/logistic"), facts["logistic_converged"]
         ),
-        trees=TreesModel(GBTClassificationModel.load(f"{path}/trees")),
+        trees=trees.from_rows(spark.read.parquet(f"{path}/trees").collect(), facts["n_features"]),
         n_features=facts["n_features"],
         models_for_features=tuple(facts["models_for_features"]),
         n_positive=facts["n_positive"],

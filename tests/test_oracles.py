@@ -13,9 +13,6 @@ TABLES = (
 ).split()
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-# Fits with hundreds of trees: the entry runs one of them, the others are tested with fewer
-# trees in test_models.
-SLOW = {"gbt_scores", "ensemble_scores", "route_counts", "cross_validate", "retrain_and_rescore"}
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +40,7 @@ def test_equals_sql(spark, duck, name):
         assert same.all(), (column, a[~same].head(), b[~same].head())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
