@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SMALL = TreeParams(num_leaves=4, min_data_in_leaf=5, column_sample=0.5, row_sample=0.7)
 PARAMS = replace(DEFAULT, trees=SMALL, boosting=(12, 0.3))
+# Tasks that agree by barriers need about a second for each: few and small trees.
+BRIEF = replace(DEFAULT, trees=replace(SMALL, num_leaves=3), boosting=(2, 0.3))
 
 
 def make(n=160, width=9, seed=3):
@@ -55,7 +57,9 @@ def test_steps_equal_a_search_of_all_splits():
     x, y = make()
     whole = replace(PARAMS, trees=replace(SMALL, column_sample=1.0, row_sample=1.0), boosting=(3, 0.3))
     key = np.arange(len(x))
-    init, found = trees.Growth(x.T.copy(), y, key, np.arange(9), 9, whole).run()
+    edges = [trees.bin_edges(c) for c in x.T]
+    codes = np.array([np.searchsorted(e, c) for e, c in zip(edges, x.T)]).astype(np.uint8)
+    init, found = trees.Growth(codes, edges, y, key, np.arange(9), 9, whole).run()
     model = trees.TreesModel(init, *(found[c] for c in ("leaf", "column", "threshold", "value")), 9)
     score = np.full(len(x), np.log(y.mean() / (1 - y.mean())))
     for _ in range(3):
@@ -90,22 +94,24 @@ def same(a, b):
 
 
 @pytest.mark.parametrize("tasks", [1, 2])
-def test_fits_of_folds_equal_separate_fits(spark, tasks):
+def test_fits_of_folds_equal_separate_fits(spark, tasks, monkeypatch):
     """Two fits in one job, their columns in one task or dealt to two that agree by barriers."""
+    monkeypatch.setattr(trees, "_BINNED_PER_TASK", 500)
+    params = PARAMS if tasks == 1 else BRIEF
     x, y = make()
     fold = np.arange(len(x)) % 3
     fits = [[i for i in (0, 1) if fold[r] != i] for r in range(len(x))]
-    together = trees.fit_many(table(spark, x, y, fits), PARAMS, 2, tasks_per_fit=tasks)
+    together = trees.fit_many(table(spark, x, y, fits), params, 2, tasks_per_fit=tasks)
     for i in (0, 1):
         alone = table(spark, x[fold != i], y[fold != i], [[0]] * int((fold != i).sum()))
-        same(together[i], trees.fit_trees(alone, PARAMS))
+        same(together[i], trees.fit_trees(alone, params))
 
 
 def test_fits_that_stop_early_do_not_hold_up_others(spark):
     """One fit has too few rows to split at all, while tasks of both meet at every barrier."""
     x, y = make()
     fits = [[0, 1] if r < 8 else [0] for r in range(len(x))]
-    long, short = trees.fit_many(table(spark, x, y, fits), PARAMS, 2, tasks_per_fit=2)
+    long, short = trees.fit_many(table(spark, x, y, fits), BRIEF, 2, tasks_per_fit=2)
     assert (short.column == -1).all() and (long.column >= 0).any()
     assert np.allclose(short.raw_scores(x), short.init)
 
