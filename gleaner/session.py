@@ -20,11 +20,12 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Send this package to the Python workers, once per application, and bound their batches.
 
     Not needed where every executor has it installed or ``--py-files`` names it.
     """
     application = spark.sparkContext.applicationId
+    bounded_batches(spark)
     if application in _shipped:
         return
     package = Path(__file__).resolve().parent
@@ -35,6 +36,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send 8 MB at a time to the Python workers, unless the session sets another bound.
+
+    Spark's own bound is 64 MB; an executor holds a batch several times over, in each of its
+    workers and in the JVM.
+    """
+    if spark.conf.get(_BATCH_BYTES, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH_BYTES, "8m")
+
+
 def local_session(cores: str = "8", app: str = "gleaner") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     spark = (
