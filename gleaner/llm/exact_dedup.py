@@ -224,9 +224,11 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # Rows that repeat an id with the same text are dropped or kept together by a join.
     again = dropped.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     gone = dropped.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    same = F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (sha == F.col("_gone_sha"))
+    gone_id = words.free_name(docs.columns, "gone_id")
+    gone_sha = words.free_name(docs.columns, "gone_sha")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
+    same = F.col(doc_id).eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha))
     left = docs.join(gone.distinct(), same, "left_anti")
     if again.isEmpty():
         return left
-    return left.withColumn("_gone_sha", sha).dropDuplicates([doc_id, "_gone_sha"]).drop("_gone_sha")
+    return left.withColumn(gone_sha, sha).dropDuplicates([doc_id, gone_sha]).drop(gone_sha)

@@ -300,4 +300,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     fields = {"text": "string", "n_chars": "long"}
     if html.lower() in fields:
         pages, html = pages.withColumnRenamed(html, "_html"), "_html"
-    return words.with_columns(pages, html, fields, compute).drop(html)
+    return words.with_columns(pages, html, fields, compute, keep=[c for c in pages.columns if c != html and c not in fields])

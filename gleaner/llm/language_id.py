@@ -243,6 +243,17 @@ def predict_texts(model: LanguageFilter, column: pa.Array) -> tuple[list[str], n
     return names, np.where(total > 0, np.clip(share, 0, 1), 0.0)
 
 
+def detected(docs: DataFrame, model: LanguageFilter, name: str, text: str = "text") -> DataFrame:
+    """``docs`` with a struct ``name`` of ``lang_pred`` and ``score``; see ``predict``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def compute(column: pa.Array) -> list:
+        names, scores = predict_texts(shared.value, column)
+        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+
+    return words.described(docs, text, name, {"lang_pred": "string", "score": "double"}, compute, _SLICE_BYTES)
+
+
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` from the whole text of each row.
 
@@ -251,11 +262,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataF
     as does every text if nothing was learned. Ties go to the language with more training
     text, then by name. Existing columns with these two names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def compute(column: pa.Array) -> list:
-        names, scores = predict_texts(shared.value, column)
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-
-    fields = {"lang_pred": "string", "score": "double"}
-    return words.with_columns(docs, text, fields, compute, _SLICE_BYTES)
+    clean = docs.drop("lang_pred", "score")
+    name = words.free_name([*clean.columns, "lang_pred", "score"], "found")
+    found = detected(clean, model, name, text)
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score")}).drop(name)

@@ -177,7 +177,7 @@ def signed(
         ]
 
     fields = {"n_shingles": "long", "set_digest": "binary", "text_key": "long", "bands": "array<long>"}
-    return staged(words.with_columns(read, "text", fields, compute).drop("text"), "signed")
+    return staged(words.with_columns(read, "text", fields, compute, keep=[c for c in read.columns if c != "text"]), "signed")
 
 
 def _digests(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -541,9 +541,10 @@ def survivors(
     number, so a row stays or goes by its own text.
     """
     # The numbers are written down first: a scan made anew may be split in other ways.
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    number = words.free_name(docs.columns, "row")
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     member = staged(
-        _members(numbered, doc_id, text, params or NearDupParams(), "_row")
+        _members(numbered, doc_id, text, params or NearDupParams(), number)
         .where("n_shingles > 0")
         .select("component", "doc_id", "row", "set_digest", "exact"),
         "members",
@@ -554,5 +555,5 @@ def survivors(
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("exact") == F.col("first.exact"))
     same = same & (F.col("set_digest") == F.col("first.set_digest"))
     stays = (F.col("row") == F.col("first.row")) | F.coalesce(same, F.lit(False))
-    gone = member.join(several, "component").where(~stays).select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = member.join(several, "component").where(~stays).select(F.col("row").alias(number))
+    return numbered.join(gone, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,7 +123,9 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
         values = statistics(column)
         return [words.lists(values.reshape(-1), np.full(len(values), len(FEATURES)), pa.float64())]
 
-    return words.with_columns(docs, text, {"statistics": "array<double>"}, compute).drop(text)
+    return words.with_columns(
+        docs, text, {"statistics": "array<double>"}, compute, keep=[c for c in docs.columns if c not in (text, "statistics")]
+    )
 
 
 def fit(labeled: DataFrame, params: QdaParams | None = None) -> QdaModel:

@@ -54,7 +54,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, row: str | None)
     def sizes(column: pa.Array) -> list:
         return [words.split(column, lower=False).counts().astype(np.int64)]
 
-    return staged(words.with_columns(read, "text", {"size": "long"}, sizes).drop("text"), "sizes")
+    return staged(words.with_columns(read, "text", {"size": "long"}, sizes, keep=["row", "doc_id", "source"]), "sizes")
 
 
 def targets(sizes: DataFrame, params: MixParams) -> DataFrame:
@@ -276,10 +276,13 @@ def mixed_documents(
     space. A column ``n_chars`` is counted anew. Documents that were not drawn are left out.
     """
     # The numbers are written down first: a scan made anew may be split in other ways.
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    _, drawn = mix(numbered, doc_id, text, source, "_row", params)
-    stretch = F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_drawn")
-    rounds = drawn.groupBy(F.col("row").alias("_row"), "round").agg(stretch).drop("round")
+    number = words.free_name(docs.columns, "row")
+    spans = words.free_name([*docs.columns, number], "drawn")
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    _, drawn = mix(numbered, doc_id, text, source, number, params)
+    stretch = F.sort_array(F.collect_list(F.struct("start", "length"))).alias(spans)
+    rounds = drawn.groupBy(F.col("row").alias(number), "round").agg(stretch)
+    rounds = rounds.select(number, spans)
 
     def cut(column: pa.Array, drawn_: pa.Array) -> list[str | None]:
         w = words.split(column, lower=False)
@@ -302,14 +305,14 @@ def mixed_documents(
             out.append(b" ".join(texts).decode("utf-8", "replace"))
         return out
 
-    taken = numbered.join(rounds, "_row").drop("_row")
+    taken = numbered.join(rounds, number).drop(number)
     place = taken.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, text):
             columns = part.columns
-            columns[place] = pa.array(cut(columns[place], part.column("_drawn")), pa.string())
+            columns[place] = pa.array(cut(columns[place], part.column(spans)), pa.string())
             yield pa.RecordBatch.from_arrays(columns[:-1], names=part.schema.names[:-1])
 
-    mixed = taken.mapInArrow(run, taken.drop("_drawn").schema)
+    mixed = taken.mapInArrow(run, taken.drop(spans).schema)
     return mixed.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else mixed

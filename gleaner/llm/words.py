@@ -214,6 +214,42 @@ def with_columns(
     return kept.mapInArrow(run, schema)
 
 
+def described(
+    df: DataFrame,
+    text: str,
+    name: str,
+    fields: dict[str, str],
+    compute: Callable[[pa.Array], list],
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
+    """``df`` with a struct ``name`` computed from one text column, slice by slice.
+
+    Only the text goes to the Python workers and only the struct comes back; the row itself
+    stays in the JVM.
+    """
+    kind = ", ".join(f"{f}: {k}" for f, k in fields.items())
+
+    def run(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column], names=[_TEXT])
+        parts = [
+            pa.StructArray.from_arrays(compute(part.column(0)), names=list(fields))
+            for part in slices(iter([batch]), _TEXT, slice_bytes)
+        ]
+        if not parts:
+            return pa.StructArray.from_arrays(compute(column.slice(0, 0)), names=list(fields))
+        return pa.concat_arrays(parts)
+
+    return df.withColumn(name, F.arrow_udf(run, f"struct<{kind}>")(F.col(f"`{text}`")))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores ahead as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_bucket(doc_id: str, n: int) -> Column:
     """crc32 of an id written as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
