@@ -10,13 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, language_id, near_dup, packing, source_mix
+from gleaner.llm import exact_dedup, language_id, near_dup, packing, source_mix, words
 from gleaner.session import ship_package, staged
 
 #: Least share of a text's n-grams that its language must contain.
 MIN_LANGUAGE_SCORE = 0.3
 
-#: No single statement of SQL can express the stages; tests hold them against brute force.
+#: No single statement of SQL can express the stages.
 ORACLE_SQL = None
 
 
@@ -24,11 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without letters or in none of the labelled languages."""
     ship_package(spark)
     model = language_id.fit(docs)
-    # The prediction's columns must not replace columns of the documents.
-    aside = {c: f"_kept_{c}" for c in docs.columns if c.lower() in ("lang_pred", "score")}
-    found = language_id.predict(docs.withColumnsRenamed(aside), model)
-    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    # The prediction must not replace a column of the documents.
+    name = words.free_name(docs.columns, "found")
+    found = language_id.detected(docs, model, name)
+    known = (F.col(f"{name}.lang_pred") != language_id.UNDETERMINED) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).drop(name)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
