@@ -26,11 +26,15 @@ from gleaner.llm import bitmaps, words
 from gleaner.session import new_path, staged
 
 _STORE = "spark.sql.streaming.stateStore"
-#: Keyed state on disk. Many small stores: no space reserved ahead, changes logged per batch.
+#: Keyed state on disk. Many small stores: no space reserved ahead, changes logged per batch,
+#: and one bound for the memory outside the heap of all stores of an executor.
 _STATE_CONF = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "64",
+    f"{_STORE}.rocksdb.writeBufferSizeMB": "4",
 }
 _FLUSH_BYTES = 32 << 20
 

@@ -2,9 +2,12 @@
 
 Paragraphs pass points for their length and commas on to the elements above them, fewer with
 each level; an element's points are discounted by the share of its text that is links. The
-best container is kept together with those of its siblings that look like parts of the same
-article. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are cut out of the tree before, by tag, role or the words of class and id.
+best container's ``article`` or ``main`` is kept, or else the container grown to the elements
+above it while these hold no lists of links, with those of its siblings that are none.
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are cut out of the tree before, by tag, role or the words of class and id. A single
+word of a longer name (``market-share``) decides for containers outside an article only;
+elsewhere the whole name must say so, or the element must be links for the most part.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ _CLUTTER = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended widget widgets toolbar pagination pager search skip copyright hidden".split()
 )
+#: Words of names that say that an element is a part of the article.
+_CONTENT = frozenset("article body content entry lead post story text".split())
+#: Elements of running text, which a single word of their name does not condemn.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody pre blockquote figcaption span em strong b i".split())
 _COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CUT_OFF_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
@@ -56,10 +63,10 @@ _LEVELS = 5
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "cut", "length", "linked", "links", "points", "named")
+    __slots__ = ("tag", "parent", "children", "cut", "length", "linked", "links", "points", "suspect")
 
-    def __init__(self, tag: str, parent: _Node | None, cut: bool, named: str) -> None:
-        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
+    def __init__(self, tag: str, parent: _Node | None, cut: bool, suspect: bool = False) -> None:
+        self.tag, self.parent, self.cut, self.suspect = tag, parent, cut, suspect
         self.children: list[_Node | str] = []
         self.length = self.linked = self.links = 0
         self.points = 0.0
@@ -68,7 +75,8 @@ class _Node:
         return self.linked / self.length if self.length else 0.0
 
 
-def _is_clutter(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool:
+def _is_clutter(tag: str, attrs: dict[str, str | None], inside: set[str]) -> bool | None:
+    """Whether an element is cut; None if its links decide, once its text is known."""
     if tag in _NEVER or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
         return True
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
@@ -80,7 +88,13 @@ def _is_clutter(tag: str, attrs: dict[str, str | None], inside: set[str]) -> boo
         return False
     if (attrs.get("role") or "").lower() in _ROLES or (tag == "header" and not inside & {"article", "main"}):
         return True
-    return bool(names & _CLUTTER) and not {"has", "with", "no"} & names
+    if not names & _CLUTTER or {"has", "with", "no"} & names:
+        return False
+    tokens = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()
+    whole = [{w.lower() for w in _WORD.findall(t)} for t in tokens]
+    if any(t and t <= _CLUTTER for t in whole):
+        return True
+    return None if inside or tag in _PROSE or names & _CONTENT else True
 
 
 class _Tree(HTMLParser):
@@ -88,14 +102,15 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.top = _Node("html", None, False, "")
+        self.root = self.top = _Node("html", None, False)
         self.open: dict[str, int] = {}
 
     def _push(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         known = dict(attrs)
         inside = {t for t in ("article", "main") if self.open.get(t)}
-        cut = self.top.cut or _is_clutter(tag, known, inside)
-        node = _Node(tag, self.top, cut, f"{known.get('class') or ''}")
+        clutter = _is_clutter(tag, known, inside)
+        cut = self.top.cut or clutter is True
+        node = _Node(tag, self.top, cut, clutter is None)
         if not cut:
             self.top.children.append(node)
         self.top = node
@@ -128,7 +143,7 @@ class _Tree(HTMLParser):
             self._end(*_CLOSES[tag])
         if tag in _VOID:
             if not self.top.cut:
-                self.top.children.append(" " if tag != "hr" else _Node("hr", self.top, False, ""))
+                self.top.children.append(" " if tag != "hr" else _Node("hr", self.top, False))
             return
         self._push(tag, attrs)
 
@@ -167,6 +182,7 @@ def _in_order(root: _Node) -> list[_Node]:
 def _measure(order: list[_Node]) -> None:
     """Text and link lengths of every element, white space not counted."""
     for node in reversed(order):
+        node.length = node.linked = node.links = 0
         for child in node.children:
             if isinstance(child, str):
                 node.length += sum(map(len, child.split()))
@@ -217,20 +233,36 @@ def _score(order: list[_Node]) -> list[_Node]:
     return list(scored.values())
 
 
-def _belongs(node: _Node, top: _Node) -> bool:
-    """Whether a sibling of the best container is a part of the same article."""
-    if node is top:
-        return True
-    if node.tag not in _BLOCK or not node.length:
-        return False
-    if node.tag in _HEADINGS:
-        return node.link_density() < 0.5
-    if node.points >= max(10.0, 0.2 * top.points) or (node.named and node.named == top.named):
-        return node.link_density() < 0.5
-    if node.tag == "p":
-        text = _own_text(node)
-        return node.link_density() < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?", "…")))
-    return False
+def _without_suspects(root: _Node) -> list[_Node]:
+    """All elements in order, without those of a doubtful name that are links for the most part."""
+    order = _in_order(root)
+    _measure(order)
+    gone = [n for n in order if n.suspect and n.links and n.link_density() >= 0.5]
+    if not gone:
+        return order
+    for node in gone:
+        node.parent.children = [c for c in node.parent.children if c is not node]
+    order = _in_order(root)
+    _measure(order)
+    return order
+
+
+def _fits(one: _Node | str) -> bool:
+    """Whether something beside the best container may be a part of the same article."""
+    return isinstance(one, str) or not one.length or one.link_density() < 0.5
+
+
+def _article(top: _Node) -> list[_Node | str]:
+    """The best container with what belongs to it."""
+    for tag in ("article", "main"):
+        above: _Node | None = top
+        while above is not None and above.tag != tag:
+            above = above.parent
+        if above is not None:
+            return [above]
+    while top.parent is not None and all(_fits(c) for c in top.parent.children):
+        top = top.parent
+    return [top] if top.parent is None else [c for c in top.parent.children if c is top or _fits(c)]
 
 
 def _is_link_list(node: _Node) -> bool:
@@ -274,16 +306,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = _parse(html)
-    order = _in_order(root)
-    _measure(order)
-    candidates = _score(order)
+    candidates = _score(_without_suspects(root))
     if not candidates:
         return "\n".join(_blocks([root]))
-    top = max(candidates, key=lambda node: node.points)
-    if top.parent is None:
-        return "\n".join(_blocks([top]))
-    siblings = [c for c in top.parent.children if isinstance(c, _Node)]
-    return "\n".join(_blocks([c for c in siblings if _belongs(c, top)]))
+    return "\n".join(_blocks(_article(max(candidates, key=lambda node: node.points))))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

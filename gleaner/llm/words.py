@@ -6,6 +6,7 @@ a few megabytes, so memory follows the slice (or the one longest text), not the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -141,7 +142,25 @@ def lower_bytes(data: np.ndarray) -> bytes:
 def slices(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches into pieces of about ``limit`` bytes of one text column."""
+    """Cut batches into pieces of about ``limit`` bytes of one text column.
+
+    Python workers outlive their task: when all is read, unused memory goes back.
+    """
+    try:
+        yield from _cut(batches, column, limit)
+    finally:
+        give_back_memory()
+
+
+def give_back_memory() -> None:
+    """Return what Arrow and the C library keep for later use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -199,7 +218,7 @@ def with_columns(
     only those in ``keep`` come back: Spark cannot prune a column that a worker returns.
     """
     clean = df.drop(*fields)
-    keep = clean.columns if keep is None else keep
+    keep = [c for c in clean.columns if keep is None or c in keep]
     kept = clean.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(_TEXT))
     schema = T.StructType(kept.schema.fields[:-1])
     for name, kind in fields.items():
@@ -233,7 +252,7 @@ def described(
         batch = pa.RecordBatch.from_arrays([column], names=[_TEXT])
         parts = [
             pa.StructArray.from_arrays(compute(part.column(0)), names=list(fields))
-            for part in slices(iter([batch]), _TEXT, slice_bytes)
+            for part in _cut(iter([batch]), _TEXT, slice_bytes)
         ]
         if not parts:
             return pa.StructArray.from_arrays(compute(column.slice(0, 0)), names=list(fields))

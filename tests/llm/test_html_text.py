@@ -42,6 +42,49 @@ def test_best_container_and_its_siblings():
     assert main_text(page).split("\n") == ["Story", LONG, f"{LONG} Again.", f"{LONG} Twice.", "Short end."]
 
 
+PARTS = [
+    "<section><h2>Result</h2><p>Good.</p></section>",
+    "<div>Closing words</div>",
+    "<p>Yes, indeed</p>",
+    "<ul><li>one</li><li>two</li></ul>",
+    "<blockquote>Quoted</blockquote>",
+    "<pre>code here</pre>",
+    "loose text",
+    '<p class="market-share">Shares rose</p>',
+    '<p class="notice-period">Two weeks</p>',
+    '<div class="article-header"><p>The lead paragraph</p></div>',
+    '<div class="related-work"><p>Earlier work, see <a href="/x">there</a> and more.</p></div>',
+]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="story">{}</div>', "{}"])
+@pytest.mark.parametrize("tag", ["div", "section"])
+@pytest.mark.parametrize("part", PARTS)
+def test_short_parts_beside_a_long_one_stay(wrap, tag, part):
+    if "related" in part and "article" not in wrap and "main" not in wrap:
+        pytest.skip("outside an article a container's name decides")
+    import re
+
+    body = f"<{tag}><p>{LONG}</p><p>{LONG} Again.</p></{tag}>"
+    menu = '<nav><a href="/">Home</a></nav><div class="links"><a href="/1">one</a> <a href="/2">two</a></div>'
+    text = " ".join(re.sub(r"<[^>]+>", " ", part).split())
+    found = main_text(f"<html><body>{menu}{wrap.format(body + part)}</body></html>")
+    assert " ".join(found.split()) == f"{LONG} {LONG} Again. {text}"
+    found = main_text(f"<html><body>{menu}{wrap.format(part + body)}</body></html>")
+    assert " ".join(found.split()) == f"{text} {LONG} {LONG} Again."
+
+
+@pytest.mark.parametrize("clutter", [
+    '<div class="social-share">Tell others</div>',
+    '<p class="ad">Buy this now</p>',
+    '<div class="related-stories"><a href="/1">A story</a> <a href="/2">Another story</a></div>',
+    '<div id="newsletter"><p>Subscribe, it is free.</p></div>',
+    '<section class="comments"><p>First, I agree.</p></section>',
+])
+def test_clutter_inside_an_article_goes(clutter):
+    assert main_text(f"<article><p>{LONG}</p>{clutter}<p>{LONG} End.</p></article>") == f"{LONG}\n{LONG} End."
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""),
     ("", ""),
