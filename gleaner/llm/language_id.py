@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import words
+from gleaner.session import staged
 
 UNDETERMINED = "und"
 _FLUSH = 1 << 20
@@ -159,9 +160,8 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
     """
     params = params or LanguageIdParams()
     known = train.select("text", "lang").where("text is not null and lang is not null")
-    counts = (
-        _counts(known, params.orders).groupBy("gram", "lang").agg(F.sum("n").alias("n")).cache()
-    )
+    counts = _counts(known, params.orders).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "gram_counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()
     totals = sorted(((r["lang"], r["total"]) for r in totals), key=lambda x: (-x[1], x[0]))
     languages = tuple(lang for lang, _ in totals)
@@ -185,7 +185,7 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
             .where(F.col("m.n") >= params.min_count)
             .select("gram", "m.word", F.expr("shiftleft(1L, m.bit)").alias("mask"))
         )
-        bits = bits.cache()
+        bits = staged(bits, "gram_languages")
         learned = [r["count"] for r in bits.groupBy("word", "mask").count().collect()]
         params = replace(params, slots=_slots_for(max(learned, default=0), params))
         table = np.zeros((params.slots, n_words), dtype=np.uint64)
@@ -198,16 +198,14 @@ def fit(train: DataFrame, params: LanguageIdParams | None = None) -> LanguageFil
                     yield words.record(schema, _slot(gram, k, params), batch.column("word"), batch.column("mask"))
 
         filled = (
-            bits.mapInArrow(place, "slot long, word int, mask long")
+            bits.mapInArrow(words.giving_back(place), "slot long, word int, mask long")
             .groupBy("slot", "word")
             .agg(F.bit_or("mask").alias("mask"))
             .toPandas()
         )
-        bits.unpersist()
         table[filled["slot"].to_numpy(), filled["word"].to_numpy()] = (
             filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
         )
-    counts.unpersist()
     fill = np.array(
         [np.mean((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) for i in range(len(languages))]
     )

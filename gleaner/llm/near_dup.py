@@ -220,7 +220,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, params: NearDupParams)
             yield words.record(schema, digests, pa.array(sets, pa.binary()))
 
     read = docs.select(F.col(text).alias("text"))
-    found = read.mapInArrow(run, "set_digest binary, shingles binary")
+    found = read.mapInArrow(words.giving_back(run), "set_digest binary, shingles binary")
     exact = found.join(wanted.select("set_digest", "rep"), "set_digest").dropDuplicates(["rep"])
     sets = staged(exact.select("rep", "shingles"), "shingle-sets")
     shared.destroy()
@@ -248,7 +248,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(linked)
             yield words.record(schema, batch.column("a").filter(keep), batch.column("b").filter(keep))
 
-    return both.select("a", "b", "left_set", "right_set").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "left_set", "right_set").mapInArrow(words.giving_back(run), "a long, b long")
 
 
 def _local_forest(links: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _local_forest(links: DataFrame) -> DataFrame:
                 parent.clear()
         yield forest()
 
-    return links.mapInArrow(run, "node long, root long")
+    return links.mapInArrow(words.giving_back(run), "node long, root long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def _tiled(mixed: DataFrame, sets: DataFrame, reps: DataFrame, params: NearDupPa
         found = links(tile)
         yield words.record(schema, [a for a, _ in found], [b for _, b in found])
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    return tiles.mapInArrow(words.giving_back(run), "a long, b long").distinct()
 
 
 def _shared_buckets(reps: DataFrame, params: NearDupParams) -> DataFrame:
@@ -465,7 +465,7 @@ def _shared_buckets(reps: DataFrame, params: NearDupParams) -> DataFrame:
             owner = pa.array(owner[keep])
             yield words.record(schema, flat[keep], batch.column("rep").take(owner), batch.column("n").take(owner))
 
-    found = reps.select("rep", "n", "bands").mapInArrow(run, "bucket long, rep long, n long")
+    found = reps.select("rep", "n", "bands").mapInArrow(words.giving_back(run), "bucket long, rep long, n long")
     return found.join(shared, "bucket", "left_semi")
 
 

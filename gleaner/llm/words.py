@@ -160,6 +160,20 @@ def give_back_memory() -> None:
         trim(0)
 
 
+def giving_back(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, returning unused memory at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return wrapped
+
+
 def _cut(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
@@ -179,7 +193,7 @@ def in_batches(
     schema: str,
 ) -> DataFrame:
     """``mapInArrow``, named for what the callers do."""
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def lower_az(text: Column) -> Column:
