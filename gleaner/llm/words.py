@@ -268,6 +268,7 @@ def described(
             pa.StructArray.from_arrays(compute(part.column(0)), names=list(fields))
             for part in _cut(iter([batch]), _TEXT, slice_bytes)
         ]
+        give_back_memory()
         if not parts:
             return pa.StructArray.from_arrays(compute(column.slice(0, 0)), names=list(fields))
         return pa.concat_arrays(parts)
