@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -77,10 +78,11 @@ class TreesModel:
         shared = df.sparkSession.sparkContext.broadcast(self)
         width = self.n_features
 
-        @F.arrow_udf("double")
-        def probability(column: pa.Array) -> pa.Array:
-            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
-            return pa.array(1 / (1 + np.exp(-shared.value.raw_scores(x))))
+        # The same kind of UDF as the other members': Spark cannot mix kinds in one projection.
+        @F.pandas_udf("double")
+        def probability(column: pd.Series) -> pd.Series:
+            x = np.stack(column.to_numpy()) if len(column) else np.empty((0, width))
+            return pd.Series(1 / (1 + np.exp(-shared.value.raw_scores(x))))
 
         filled = vectors.or_zeros(vectors.as_doubles(vec), width)
         return df.withColumn(out, vectors.blank_without(vec, probability(filled)))
