@@ -540,9 +540,8 @@ def survivors(
     other row of the group goes, whether it shares the id or has none. Rows are told apart by
     number, so a row stays or goes by its own text.
     """
-    # The numbers are written down first: a scan made anew may be split in other ways.
     number = words.free_name(docs.columns, "row")
-    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = words.numbered(docs, number)
     member = staged(
         _members(numbered, doc_id, text, params or NearDupParams(), number)
         .where("n_shingles > 0")

@@ -275,10 +275,9 @@ def mixed_documents(
     words: the unchanged text if all were drawn, otherwise the drawn stretches joined by a
     space. A column ``n_chars`` is counted anew. Documents that were not drawn are left out.
     """
-    # The numbers are written down first: a scan made anew may be split in other ways.
     number = words.free_name(docs.columns, "row")
     spans = words.free_name([*docs.columns, number], "drawn")
-    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    numbered = words.numbered(docs, number)
     _, drawn = mix(numbered, doc_id, text, source, number, params)
     stretch = F.sort_array(F.collect_list(F.struct("start", "length"))).alias(spans)
     rounds = drawn.groupBy(F.col("row").alias(number), "round").agg(stretch)

@@ -13,12 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import staged
+
 SLICE_BYTES = 1 << 19
 
+#: Rows of one file have numbers of this many bits.
+_FILE_ROW_BITS = 40
+
 #: The text's name on its way to the Python workers, where a caller's names may clash.
 _TEXT = "_text_of_row_"
 
@@ -284,6 +290,38 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart, the same in every scan.
+
+    Rows of a plain Parquet table are numbered by file (in the order of the names) and place
+    in the file. Any other table is written down first, because a scan made anew may be split
+    in other ways. Numbers rise along the table and leave gaps.
+    """
+    plan = docs._jdf.queryExecution().analyzed().nodeName()
+    if plan != "LogicalRelation" or not _has_places(docs):
+        return staged(docs.withColumn(number, F.monotonically_increasing_id()), number)
+    place = docs.metadataColumn("_metadata")
+    name, first = free_name([*docs.columns, number], "file"), free_name([*docs.columns, number], "first")
+    # As many names as the driver lists for the scan itself.
+    names = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    files = docs.sparkSession.createDataFrame(
+        [(f, i << _FILE_ROW_BITS) for i, f in enumerate(names)], f"`{name}` string, `{first}` long"
+    )
+    # Written down, the table has a known size: Spark decides how to join it.
+    placed = docs.withColumns({name: place["file_path"], number: place["row_index"]})
+    placed = placed.join(staged(files, "files"), name)
+    return placed.withColumn(number, F.col(first) + F.col(number)).drop(name, first)
+
+
+def _has_places(docs: DataFrame) -> bool:
+    """Whether the files of a scan tell the place of a row."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
+
+
 def id_bucket(doc_id: str, n: int) -> Column:
     """crc32 of an id written as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
