@@ -69,6 +69,7 @@ class _Layout:
         self.cell_radius = np.full(len(pivots), np.inf)
         self.witness_vecs: dict[int, np.ndarray] = {}
         self.witness_keys: dict[int, list[tuple[tuple, tuple]]] = {}
+        self.witness_sides: dict[int, list] = {}
         self.tiles: dict[int, tuple[int, int, int, int]] = {}
         self.gaps = np.sqrt(self.squared_distances(pivots))
 
@@ -133,22 +134,37 @@ class _Layout:
             members = np.flatnonzero(home == cell)
             hits = self.similar(x[members], self.witness_vecs[cell])
             close = members[hits.any(1)]
-            for at, hit, (group, order) in zip(close, hits[hits.any(1)], rows.keys(close)):
-                settled[at] = any(
-                    witnesses[w][0] == group and witnesses[w][1] > order
+            sides = rows.sides(close)
+            for k, (hit, (group, order)) in enumerate(zip(hits[hits.any(1)], rows.keys(close))):
+                settled[close[k]] = any(
+                    witnesses[w][0] == group
+                    and witnesses[w][1] > order
+                    and (sides is None or self.witness_sides[cell][w] != sides[k])
                     for w in np.flatnonzero(hit)
                 )
         return settled
 
 
 class _Columns:
-    """The columns a comparison carries: group, order (id last) and their types."""
+    """The columns a comparison carries: group, order (id last) and their types.
 
-    def __init__(self, df: DataFrame, group: Sequence[str], order: Sequence[str], id_col: str):
+    With a ``side``, only rows of different sides are compared.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame,
+        group: Sequence[str],
+        order: Sequence[str],
+        id_col: str,
+        side: str | None = None,
+    ):
         self.group = list(group)
+        self.side = side
         self.order = list(dict.fromkeys([*order, id_col]))
         self.ids = list(dict.fromkeys([*group, id_col]))
-        self.all = list(dict.fromkeys([*self.group, *self.order]))
+        self.fold = list(dict.fromkeys([*group, *([side] if side else [])]))
+        self.all = list(dict.fromkeys([*self.fold, *self.order]))
         self.types = dict(df.dtypes)
 
     def ddl(self, names: Sequence[str]) -> str:
@@ -206,6 +222,11 @@ class _Rows:
 
         return list(zip(values(self.columns.group), values(self.columns.order)))
 
+    def sides(self, at: np.ndarray) -> list | None:
+        """The sides of the rows at some positions, if sides are compared."""
+        side = self.columns.side
+        return None if side is None else self.batch.column(side).take(pa.array(at)).to_pylist()
+
 
 def _located(
     batches: Iterable[pa.RecordBatch], layout: _Layout, columns: _Columns
@@ -244,13 +265,13 @@ def _distinct_rows(df: DataFrame, vec: str, columns: _Columns) -> DataFrame:
     )
     lone = F.when(F.col(vec).isNull(), F.col(columns.order[-1]))
     top = df.groupBy(
-        *columns.group,
+        *columns.fold,
         F.xxhash64(vec, lone).alias("vec_key"),
         F.col(vec).alias("vec"),
         lone.alias("lone"),
     ).agg(F.max(latest).alias("top"))
-    carried = [F.col(f"top.{c}").alias(c) for c in columns.order if c not in columns.group]
-    return top.select(*columns.group, "vec_key", "vec", *carried)
+    carried = [F.col(f"top.{c}").alias(c) for c in columns.order if c not in columns.fold]
+    return top.select(*columns.fold, "vec_key", "vec", *carried)
 
 
 def survivors(
@@ -288,13 +309,33 @@ def survivors(
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     if size.n == 0:
         return without
-    row_bytes = 8 * size.width
+    here, layout = _arranged(
+        rows, columns, size.n, size.width, threshold, n_models, tile_rows, n_pivots
+    )
+    dropped = _dropped(here, layout, columns)
+    kept = rows.select(*columns.ids).join(dropped, columns.ids, "left_anti")
+    return kept.unionByName(without)
+
+
+def _arranged(
+    rows: DataFrame,
+    columns: _Columns,
+    n_rows: int,
+    width: int,
+    threshold: float,
+    n_models: int,
+    tile_rows: int | None,
+    n_pivots: int | None,
+) -> tuple[DataFrame, _Layout]:
+    """Rows with their cell, visits and state, and the layout that tells where they meet."""
+    limit = n_models * threshold
+    row_bytes = 8 * width
     if tile_rows is None:
-        share = size.n // (4 * df.sparkSession.sparkContext.defaultParallelism)
+        share = n_rows // (4 * rows.sparkSession.sparkContext.defaultParallelism)
         tile_rows = min(max(1, _TILE_BYTES // row_bytes), max(_SMALLEST_TILE, share))
     pivots_given = n_pivots is not None
     if n_pivots is None:
-        n_pivots = math.ceil(size.n / _SMALLEST_TILE)
+        n_pivots = math.ceil(n_rows / _SMALLEST_TILE)
     budget = max(1, _BROADCAST_BYTES // (row_bytes * (1 + _WITNESSES_PER_CELL)))
     n_pivots = min(n_pivots, budget, _MAX_PIVOTS)
 
@@ -304,9 +345,9 @@ def survivors(
     sample = rows.orderBy(F.xxhash64("vec_key"), "vec_key").limit(n_pivots + n_sample)
     points = np.array([r.vec for r in sample.select("vec").collect()])
     if not pivots_given:
-        n_pivots = _pivot_count(points, n_pivots, radius, size.n, tile_rows)
+        n_pivots = _pivot_count(points, n_pivots, radius, n_rows, tile_rows)
     layout = _Layout(points[:n_pivots], radius, limit, n_models)
-    if size.n <= tile_rows and len(layout.pivots) == 1:
+    if n_rows <= tile_rows and len(layout.pivots) == 1:
         layout.tiles = {0: (1, 0, 0, 0)}
         here = rows.select(
             "*",
@@ -318,9 +359,7 @@ def survivors(
         _choose_witnesses(rows, layout, columns)
         here = _settle(rows, layout, columns)
         _choose_tiles(here, layout, tile_rows)
-    dropped = _dropped(here, layout, columns)
-    kept = rows.select(*columns.ids).join(dropped, columns.ids, "left_anti")
-    return kept.unionByName(without)
+    return here, layout
 
 
 def _pivot_count(
@@ -378,18 +417,22 @@ def _choose_witnesses(rows: DataFrame, layout: _Layout, columns: _Columns) -> No
             by_order = pc.sort_indices(piece.batch, sort_keys=order).to_numpy()
             last = {(home[i], salts[i]): i for i in by_order}
             at = np.fromiter(last.values(), dtype=np.int64)
-            for spot, i, key in zip(last, at, piece.keys(at)):
+            sides = piece.sides(at) or [None] * len(at)
+            for spot, i, key, side in zip(last, at, piece.keys(at), sides):
                 if spot not in found or key[1] > found[spot][0][1]:
-                    found[spot] = (key, piece.x[i].copy())
+                    found[spot] = (key, piece.x[i].copy(), side)
         if found:
             names = [*columns.group, *columns.order]
-            values = list(zip(*[(*key[0], *key[1]) for key, _ in found.values()]))
+            values = list(zip(*[(*key[0], *key[1]) for key, _, _ in found.values()]))
+            if columns.side and columns.side not in names:
+                names.append(columns.side)
+                values.append(tuple(side for _, _, side in found.values()))
             homes = [int(h) for h, _ in found]
             data = {
                 "home": pa.array(homes, pa.int32()),
                 "salt": pa.array([int(s) for _, s in found], pa.int32()),
                 "reach": pa.array(reach[homes]),
-                "vec": to_list_array(np.stack([vec for _, vec in found.values()])),
+                "vec": to_list_array(np.stack([vec for _, vec, _ in found.values()])),
             }
             for name in columns.all:
                 kind = piece.batch.schema.field(name).type
@@ -415,6 +458,8 @@ def _choose_witnesses(rows: DataFrame, layout: _Layout, columns: _Columns) -> No
             (tuple(w[n] for n in columns.group), tuple(w[n] for n in columns.order))
             for w in witnesses
         ]
+        if columns.side:
+            layout.witness_sides[cell] = [w[columns.side] for w in witnesses]
     shared.unpersist()
 
 
@@ -493,7 +538,11 @@ def _places(
 
 
 def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
-    """Ids of the distinct rows that have a similar later row."""
+    """Ids of the distinct rows that have a similar later row.
+
+    With sides: ids of those that have a similar row of another side, with the place of the
+    latest such row in the order as ``beaten_by`` (null for settled rows).
+    """
     shared = _share(rows, layout)
     spots = ["cell", "left", "right", "tile"]
 
@@ -543,6 +592,8 @@ def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
         left = np.flatnonzero(tile == table.column("left").to_numpy())
         right = np.flatnonzero(tile == table.column("right").to_numpy())
         x = _unpacked_rows(table.column("vec"))
+        if columns.side:
+            return latest_partners(table, x, ranks, left, right)
         drop = np.zeros(len(table), dtype=bool)
         for i, j in here.similar_pairs(x, left, right):
             drop[i[ranks[i] < ranks[j]]] = True
@@ -550,17 +601,101 @@ def _dropped(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
         drop &= table.column("is_open").to_numpy()
         return table.select(columns.ids).filter(pa.array(drop))
 
+    def latest_partners(table, x, ranks, left, right) -> pa.Table:
+        sides = table.column(columns.side).combine_chunks().dictionary_encode(null_encoding="encode")
+        side = (sides if isinstance(sides, pa.DictionaryArray) else sides.chunk(0)).indices.to_numpy()
+        best = np.full(len(table), -1)
+        for one in np.unique(side[left]):
+            own, others = left[side[left] == one], right[side[right] != one]
+            for i, j in shared.value.similar_pairs(x, own, others):
+                np.maximum.at(best, i, ranks[j])
+                np.maximum.at(best, j, ranks[i])
+        found = np.flatnonzero((best >= 0) & table.column("is_open").to_numpy())
+        by_rank = np.argsort(ranks)
+        here, partner = table.take(pa.array(found)), table.take(pa.array(by_rank[best[found]]))
+        out = {n: here.column(n) for n in columns.ids}
+        out |= {f"by_{k}": partner.column(n) for k, n in enumerate(columns.order)}
+        return pa.table(out)
+
     spread = rows.mapInArrow(
         send,
         f"{columns.ddl(columns.all)}, vec binary, cell int, left int, right int, "
         "tile int, is_open boolean",
     )
     ids = columns.ddl(columns.ids)
+    if columns.side:
+        by = "".join(f", by_{k} {columns.types[n]}" for k, n in enumerate(columns.order))
+        met = spread.groupBy(*columns.group, "cell", "left", "right").applyInArrow(compare, ids + by)
+        latest = F.struct(*[F.col(f"by_{k}").alias(n) for k, n in enumerate(columns.order)])
+        partners = met.groupBy(*columns.ids).agg(F.max(latest).alias("beaten_by"))
+        settled = rows.where("settled").select(*columns.ids, F.lit(None).alias("beaten_by"))
+        return partners.unionByName(settled)
     beaten = spread.groupBy(*columns.group, "cell", "left", "right").applyInArrow(compare, ids)
     beaten = beaten.unionByName(rows.where("settled").select(*columns.ids))
     return beaten.distinct()
 
 
+def survivors_across(
+    df: DataFrame,
+    side: str,
+    id_col: str = "sample_id",
+    vec: str = "vec",
+    order: Sequence[str] = (),
+    threshold: float = 0.99,
+    n_models: int = 1,
+    group: Sequence[str] = (),
+    tile_rows: int | None = None,
+    n_pivots: int | None = None,
+) -> DataFrame:
+    """``(group columns, side, id)`` of the items without a later similar item of another side.
+
+    A range join between sets instead of within one: items of the same ``side`` never drop
+    each other, however alike they are, and an item that itself goes still beats others.
+    Copies of a vector are folded on each side and share its latest partner; each is then
+    judged by its own place in the order, which holds over all sides. An id may stand on
+    several sides; on one side it must be unique. A null side is a side of its own. Items
+    with a null vector always stay. The other parameters are those of ``survivors``.
+    """
+    if not threshold > 0:
+        raise ValueError("the similarity threshold must be above 0")
+    columns = _Columns(df, group, order, id_col, side)
+    # An id on two sides is told apart by its side.
+    columns.ids = list(dict.fromkeys([*columns.fold, id_col]))
+    limit = n_models * threshold
+    checked = df.withColumn(vec, _unit_blocks(vec, n_models))
+    if np.float32(n_models) <= np.float32(limit):
+        return df.select(*columns.ids)
+    distinct = staged(_distinct_rows(checked, vec, columns), "distinct_vectors")
+    rows = distinct.where(F.col("vec").isNotNull())
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
+    if size.n == 0:
+        return df.select(*columns.ids)
+    here, layout = _arranged(
+        rows, columns, size.n, size.width, threshold, n_models, tile_rows, n_pivots
+    )
+    partners = _dropped(here, layout, columns)
+    partners = partners.select(
+        *[F.col(c).alias(f"with_{k}") for k, c in enumerate(columns.ids)], "beaten_by"
+    )
+    found = F.lit(True)
+    for k, c in enumerate(columns.ids):
+        found = found & F.col(c).eqNullSafe(F.col(f"with_{k}"))
+    beaten = rows.join(partners, found).select(
+        *[F.col(c).alias(f"of_{k}") for k, c in enumerate(columns.fold)],
+        "vec_key",
+        F.col("vec").alias("of_vec"),
+        "beaten_by",
+    )
+    # Every copy of a folded vector meets its one row; settled rows have no partner named.
+    place = F.struct(*columns.order)
+    goes = F.col("beaten_by").isNull() | (place < F.col("beaten_by"))
+    match = (F.xxhash64(vec) == F.col("vec_key")) & (F.col(vec) == F.col("of_vec"))
+    for k, c in enumerate(columns.fold):
+        match = match & F.col(c).eqNullSafe(F.col(f"of_{k}"))
+    items = df.select(*columns.all, vec)
+    return items.join(beaten, match & goes, "left_anti").select(*columns.ids)
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "sample_id", **search) -> DataFrame:
     """The rows of ``df`` that stay when later copies replace earlier ones.
 

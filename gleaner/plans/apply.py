@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gleaner.operators import dedup, routing
 from gleaner.operators.ensemble import EnsembleModel
@@ -42,3 +43,25 @@ def dedup_routed(
         with_vectors, order=["p"], threshold=threshold, n_models=n_models, group=["route"]
     )
     return routed.join(kept, ["sample_id", "route"], "left_semi")
+
+
+def dedup_across_routes(
+    routed: DataFrame,
+    features: DataFrame,
+    n_models: int,
+    threshold: float = ROUTED_DUPLICATES_THRESHOLD,
+) -> DataFrame:
+    """Drop items that have a near duplicate in another route with a clearer score.
+
+    Clearer is farther from one half; the id breaks ties. Items of one route are left to
+    ``dedup_routed``. Items without features or without a score stay.
+    """
+    with_vectors = routed.join(features.select("sample_id", "vec"), "sample_id", "left")
+    compared = with_vectors.where("p IS NOT NULL").select(
+        "sample_id", "route", F.abs(F.col("p") - 0.5).alias("clearness"), "vec"
+    )
+    kept = dedup.survivors_across(
+        compared, "route", order=["clearness"], threshold=threshold, n_models=n_models
+    )
+    unscored = routed.where("p IS NULL")
+    return routed.join(kept, ["sample_id", "route"], "left_semi").unionByName(unscored)

@@ -428,6 +428,14 @@ full_rows AS (SELECT sample_id, p, route, vec FROM routed JOIN letters USING (sa
 SELECT sample_id, route FROM full_rows a
 WHERE NOT EXISTS (SELECT 1 FROM full_rows b WHERE a.route = b.route
   AND (b.p, b.sample_id) > (a.p, a.sample_id)
+  AND list_dot_product(a.vec, b.vec)::FLOAT > {_TEXT}::FLOAT)""",
+        "near_dup_across_routes": f"""
+WITH {TOY_CTE}, {LETTER_CTE},
+routed AS ({_ROUTED.format(negative="0.6", positive="0.7")}),
+full_rows AS (SELECT sample_id, abs(p - 0.5::DOUBLE) AS clear, route, vec FROM routed JOIN letters USING (sample_id))
+SELECT sample_id, route FROM full_rows a
+WHERE NOT EXISTS (SELECT 1 FROM full_rows b WHERE a.route <> b.route
+  AND (b.clear, b.sample_id) > (a.clear, a.sample_id)
   AND list_dot_product(a.vec, b.vec)::FLOAT > {_TEXT}::FLOAT)""",
         "labeled_set": """
 SELECT doc_id AS sample_id, n_chars, quality::DOUBLE AS label FROM documents JOIN labels USING (doc_id)""",

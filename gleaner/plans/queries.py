@@ -26,7 +26,7 @@ from gleaner.operators import (
 )
 from gleaner.operators.ensemble import fit_ensemble, weighted_score
 from gleaner.operators.params import DEFAULT, TreeParams, for_sample_size
-from gleaner.plans.apply import dedup_routed, score_and_route
+from gleaner.plans.apply import dedup_across_routes, dedup_routed, score_and_route
 from gleaner.plans.train import fit_labeled, retrain_and_rescore, score_items
 from gleaner.session import new_path, spread, staged
 from gleaner.sources import items as items_source
@@ -238,6 +238,13 @@ def near_dup_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("sample_id", "route")
 
 
+def near_dup_across_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a near duplicate of a clearer score in another route."""
+    routed = routing.route_items(document_scores(spark, sf_dir), 0.7, 0.6)
+    kept = dedup_across_routes(routed, letter_vectors(spark, sf_dir), 1, TEXT_THRESHOLD)
+    return kept.select("sample_id", "route")
+
+
 # --- evaluation -----------------------------------------------------------------------
 
 
@@ -685,6 +692,7 @@ QUERIES: dict[str, Query] = {
     "near_dup_embeddings": near_dup_embeddings,
     "near_dup_two_models": near_dup_two_models,
     "near_dup_routed": near_dup_routed,
+    "near_dup_across_routes": near_dup_across_routes,
     "labeled_set": labeled_set,
     "accuracy_rmse": accuracy_rmse,
     "auc_exact": auc_exact,
