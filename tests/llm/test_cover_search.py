@@ -87,6 +87,37 @@ def test_far_groups_are_pruned(monkeypatch):
     assert sum(scored) < 1600 * 10 / 2
 
 
+def test_clusters_are_pruned_through_the_whole_search(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(50, 16))
+    points = centres[rng.integers(0, 50, size=20_000)] + 0.01 * rng.normal(size=(20_000, 16))
+    rows = [(i, p.astype(np.float32).tolist(), 0) for i, p in enumerate(points)]
+    scored = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame(rows, SCHEMA)
+    params = SearchParams(data_block=1024, query_block=64)
+    got = cover_search.top_k(table, F.col("vec_id") % 100 == 0, params=params, scored=scored)
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()}
+    whole = np.floor(1024 * points.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 20_000, 100):
+        score = whole @ whole[q]
+        order = np.lexsort((np.arange(20_000), -score))
+        best = order[order != q][:10]
+        assert [found[q, r + 1] for r in range(10)] == [(int(i), int(score[i])) for i in best]
+    assert len(found) == 2000
+    assert scored.value < 200 * 20_000 / 10
+
+
+def test_many_copies_keep_the_smallest_ids(spark):
+    rows = [(i, [0.5, 0.25, 0.125], 0) for i in range(3000)] + [(3000 + i, [0.1, i / 100, 0.0], 0) for i in range(20)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    params = SearchParams(k=4, data_block=64, query_block=8, leaf=4)
+    got = cover_search.top_k(table, F.col("vec_id") % 100 == 0, params=params)
+    for r in got.collect():
+        ids = [i for i in range(6) if i != r["query_id"]]
+        assert r["query_id"] == 3000 or r["vec_id"] == ids[r["rank"] - 1]
+    assert got.count() == 31 * 4
+
+
 def test_large_components_stay_exact():
     a = np.array([[2**40, -3]], dtype=np.int64)
     assert cover_search._inner(a, a)[0, 0] == 2**63 - 1  # beyond 64 bits
