@@ -15,9 +15,10 @@ similar items lie within a fixed radius and the join is a metric range join:
 3. In every cell a few of the latest rows act as witnesses. Rows similar to a later
    witness are settled: they are dropped and only serve as partners from then on. This
    takes dense groups of near-copies out of the quadratic part.
-4. Cells are cut into tiles by a hash of the vector, about ``tile_rows`` rows each; one
-   task compares one pair of tiles with a matrix product and emits dropped ids, never
-   pairs. Two tiles of settled rows are not compared.
+4. Cells are cut into tiles by a hash of the vector, at least about ``tile_rows`` rows each;
+   one task compares one pair of tiles with a matrix product and emits dropped ids, never
+   pairs. Two tiles of settled rows are not compared. A row goes to every tile that its own
+   one meets, so tiles grow with the cells: what is moved follows the rows, not their square.
 
 The number of pivots balances rows moved against products, estimated on a sample.
 """
@@ -46,6 +47,8 @@ _UNIT_SLACK = 1e-3
 # One side of a comparison task.
 _TILE_BYTES = 64 << 20
 _SMALLEST_TILE = 2048
+# Tiles grow until rows are moved to comparisons this many times on average.
+_MOVES_PER_ROW = 8
 _WITNESSES_PER_CELL = 8
 # Cells of a dense matrix a task may hold at a time.
 _MATRIX_CELLS = 4 << 20
@@ -289,8 +292,8 @@ def survivors(
 
     ``vec`` holds ``n_models`` concatenated unit blocks: a vector whose squared length is
     not their number fails the job. Items with a null vector always stay. Items are only
-    compared within equal values of ``group``. ``tile_rows`` and ``n_pivots`` follow from
-    the data when not given and never change the result.
+    compared within equal values of ``group``. ``tile_rows`` (the least size of a tile) and
+    ``n_pivots`` follow from the data when not given and never change the result.
     """
     if not threshold > 0:
         raise ValueError("the similarity threshold must be above 0")
@@ -490,8 +493,23 @@ def _settle(rows: DataFrame, layout: _Layout, columns: _Columns) -> DataFrame:
     return staged(decided, "settled_vectors")
 
 
+def _moves(sizes: Iterable[tuple[int, int, int, int]], tile_rows: int) -> int:
+    """How many rows reach the comparisons of all cells when tiles have ``tile_rows`` rows."""
+    moved = 0
+    for counts in sizes:
+        home_open, home_done, visit_open, visit_done = (math.ceil(n / tile_rows) for n in counts)
+        n_home = home_open + home_done
+        met = (n_home + visit_open + visit_done, home_open + visit_open, n_home, home_open)
+        moved += sum(n * tiles for n, tiles in zip(counts, met))
+    return moved
+
+
 def _choose_tiles(rows: DataFrame, layout: _Layout, tile_rows: int) -> None:
-    """Tile counts per cell: open and settled home rows, open and settled visitors."""
+    """Tile counts per cell: open and settled home rows, open and settled visitors.
+
+    ``tile_rows`` is the least size: tiles double, up to what a task can hold, until rows are
+    moved ``_MOVES_PER_ROW`` times on average.
+    """
     at_home = rows.select(F.col("home").alias("cell"), F.lit(True).alias("is_home"), "settled")
     visiting = rows.select(F.explode("visits").alias("cell"), F.lit(False).alias("is_home"), "settled")
     sizes = {
@@ -503,8 +521,13 @@ def _choose_tiles(rows: DataFrame, layout: _Layout, tile_rows: int) -> None:
         .groupBy("cell")
         .agg(*[count.alias(n) for n, count in sizes.items()])
     )
-    for row in totals.collect():  # one row a cell
-        layout.tiles[row.cell] = tuple(math.ceil(row[n] / tile_rows) for n in sizes)
+    cells = {row.cell: tuple(row[n] for n in sizes) for row in totals.collect()}  # one row a cell
+    most = max(tile_rows, _TILE_BYTES // (8 * layout.pivots.shape[1]))
+    bound = _MOVES_PER_ROW * sum(map(sum, cells.values()))
+    while tile_rows < most and _moves(cells.values(), tile_rows) > bound:
+        tile_rows = min(2 * tile_rows, most)
+    for cell, counts in cells.items():
+        layout.tiles[cell] = tuple(math.ceil(n / tile_rows) for n in counts)
 
 
 def _places(

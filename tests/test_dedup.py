@@ -171,3 +171,21 @@ def test_across_judges_every_copy_and_takes_odd_rows(spark):
         assert kept == [("b", "left"), ("c", "left"), ("e", "right"), ("f", "left"), ("g", "left")]
     assert dedup.survivors_across(df.limit(0), "side", order=["p"]).isEmpty()
     assert dedup.survivors_across(df, "side", order=["p"], threshold=1.0).count() == len(rows)
+
+
+def test_small_tiles_grow_with_the_rows_of_a_cell(spark):
+    """Tiles of 4 rows would send each row to hundreds of comparisons."""
+    df, vecs, p, ids, _ = make(spark, 2000, 1, seed=21, hot_share=0.9)
+    columns = dedup._Columns(df, [], ["p"], "sample_id")
+    distinct = dedup._distinct_rows(df, "vec", columns)
+    n = distinct.count()
+    here, layout = dedup._arranged(distinct, columns, n, vecs.shape[1], 0.9999, 1, 4, 2)
+    homes = {r["home"]: r["count"] for r in here.groupBy("home").count().collect()}
+    visits = here.select(F.sum(F.size("visits"))).first()[0]
+    moved = 0
+    for cell, (home_open, home_done, *_) in layout.tiles.items():
+        moved += homes.get(cell, 0) * max(home_open, home_done)
+    assert moved <= 8 * (n + visits)
+    alive = greedy(vecs, list(zip(p, ids)), 0.9999, np.zeros(len(ids)))
+    got = dedup.survivors(df, order=["p"], threshold=0.9999, tile_rows=4, n_pivots=2)
+    assert sorted(r.sample_id for r in got.collect()) == sorted(ids[alive])
