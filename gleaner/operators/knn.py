@@ -6,11 +6,13 @@ the labels of the nearest cluster means.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -18,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import vectors
 from gleaner.operators.params import KnnParams
@@ -30,6 +33,10 @@ _MATRIX_CELLS = 4 << 20
 _QUERIES_PER_GROUP = 50_000
 # Products a task of one k-means step should take.
 _PRODUCTS_PER_TASK = 2e7
+# Sums of that many tasks go straight to the driver; more are added up in the executors.
+_SUMS_COLLECTED = 64
+# Squared movement of a centre below which it is at rest: that of Spark's k-means.
+_AT_REST = 1e-4**2
 
 
 def nearest(x: np.ndarray, templates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,6 +240,87 @@ def template_aggregate(
     return joined.select("template_id", or_zeros("vec", width.v), or_zeros("y", width.y))
 
 
+@dataclass
+class Clustering:
+    """Centres of a k-means, its steps and the cost seen by the last of them."""
+
+    centres: np.ndarray
+    steps: int
+    cost: float
+
+    def assign(self, df: DataFrame, vec: str, *keep: str) -> DataFrame:
+        """Adds ``prediction``, the number of the nearest centre, to ``vec`` and ``keep``."""
+        shared = df.sparkSession.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(vec).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    near = pa.array(_closest(x, shared.value), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*batch.columns, near], names=[*batch.schema.names, "prediction"])
+
+        rows = df.select(vec, *keep)
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("prediction", T.IntegerType())]))
+
+
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of every row, the lowest of equally near ones."""
+    half = (centres**2).sum(1) / 2
+    out = np.empty(len(x), dtype=np.int64)
+    step = max(1, _MATRIX_CELLS // (8 * len(centres)))
+    for start in range(0, len(x), step):
+        out[start : start + step] = (half - x[start : start + step] @ centres.T).argmin(axis=1)
+    return out
+
+
+def cluster(rows: DataFrame, vec: str, k: int, seed: int, max_iter: int) -> Clustering:
+    """Lloyd's k-means over all rows of a vector column, from the start of Spark's k-means.
+
+    Spark draws the first centres (k-means||). The steps are its own too, as are the rule for
+    coming to rest and the cost, but tasks multiply whole blocks of rows with the centres in
+    numpy. A step sends the centres out and ``k`` sums from each task back.
+    """
+    started = KMeans(k=k, seed=seed, featuresCol=vec, maxIter=0).fit(rows)
+    centres = np.array(started.clusterCenters(), dtype=float)
+    context = rows.sparkSession.sparkContext
+    width = centres.shape[1]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.ascontiguousarray(batch.column("x").flatten().to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    blocks = rows.select(vector_to_array(vec).alias("x")).mapInArrow(pack, "x binary").persist()
+    n_parts = blocks.rdd.getNumPartitions()
+    steps, cost, moved = 0, 0.0, True
+    while steps < max_iter and moved:
+        shared = context.broadcast(centres)
+
+        def sums(part: Iterator) -> Iterator[np.ndarray]:
+            here = shared.value
+            out = np.zeros((len(here), width + 2))  # sums, rows and cost of every centre
+            for row in part:
+                x = np.frombuffer(row["x"]).reshape(-1, width)
+                near = _closest(x, here)
+                out[:, width] += np.bincount(near, minlength=len(here))
+                out[:, width + 1] += np.bincount(near, ((x - here[near]) ** 2).sum(1), len(here))
+                for c in range(width):
+                    out[:, c] += np.bincount(near, x[:, c], len(here))
+            yield out
+
+        found = blocks.rdd.mapPartitions(sums)
+        total = found.reduce(add) if n_parts <= _SUMS_COLLECTED else found.treeReduce(add)
+        shared.destroy()
+        used = total[:, width] > 0
+        new = centres.copy()
+        new[used] = total[used, :width] / total[used, width, None]
+        moved = bool((((new - centres) ** 2).sum(1) > _AT_REST).any())
+        centres, cost, steps = new, float(total[:, width + 1].sum()), steps + 1
+    blocks.unpersist()
+    return Clustering(centres, steps, cost)
+
+
 def fit_knn(
     df: DataFrame, params: KnnParams, vec: str = "vec", label: str = "label"
 ) -> CompressedKnnModel:
@@ -273,17 +361,14 @@ def fit_knn(
     n_clusters = max(
         1, min(params.n_rows, int(0.8 * params.minibatch_size_kmeans), int(0.8 * n))
     )
-    kmeans = KMeans(
-        k=n_clusters, seed=params.seed, featuresCol="knn_z", maxIter=params.kmeans_iterations
-    )
     work = float(n) * n_clusters * n_components
-    clusters = kmeans.fit(packed(reduced, work, _PRODUCTS_PER_TASK))
+    clusters = cluster(
+        packed(reduced, work, _PRODUCTS_PER_TASK), "knn_z", n_clusters, params.seed, params.kmeans_iterations
+    )
     spread = reduced.agg(Summarizer.variance(F.col("knn_z"))).first()[0].toArray().sum() * (n - 1)
-    inertia = clusters.summary.trainingCost
+    inertia = clusters.cost
 
-    members = clusters.transform(reduced).select(
-        "prediction", vector_to_array("knn_z").alias("vec"), "y"
-    )
+    members = clusters.assign(reduced.select(vector_to_array("knn_z").alias("vec"), "y"), "vec", "y")
     # n_clusters rows of n_components numbers: both are parameters.
     rows = (
         template_aggregate(members, "prediction", "vec", "y", n_clusters)
@@ -302,5 +387,5 @@ def fit_knn(
         variance_pca=float(pca.explainedVariance.toArray().sum()),
         variance_kmeans=float(1 - inertia / spread) if spread > 0 else 1.0,
         explained=[float(r) for r in pca.explainedVariance.toArray()],
-        kmeans_converged=clusters.summary.numIter < params.kmeans_iterations,
+        kmeans_converged=clusters.steps < params.kmeans_iterations,
     )

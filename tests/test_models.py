@@ -15,6 +15,8 @@ from dataclasses import replace
 from gleaner.plans import train
 from gleaner.plans.apply import dedup_routed, score_and_route
 from gleaner.session import new_path
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from gleaner.sources.models import load_model, model_name, save_model
 
@@ -289,3 +291,19 @@ def test_retrain_saves_a_model_that_keeps_best_copies(spark, data):
     assert scores.exceptAll(again).isEmpty() and again.count() == unit.count()
     kept = train.keep_best_copies(loaded, labeled, ["a", "b"], 0.9999)
     assert kept.count() == unit.count()
+
+
+def test_kmeans_equals_that_of_spark(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 5)) + 4 * rng.integers(0, 3, size=(600, 1))
+    rows = spark.createDataFrame(pd.DataFrame({"vec": list(x)}), "vec array<double>").repartition(3)
+    rows = rows.select("vec", array_to_vector("vec").alias("z")).persist()
+    rows.count()
+    for most in (100, 2):
+        theirs = KMeans(k=20, seed=3, featuresCol="z", maxIter=most).fit(rows)
+        ours = knn.cluster(rows, "z", 20, 3, most)
+        np.testing.assert_allclose(ours.centres, theirs.clusterCenters(), atol=1e-9)
+        assert ours.steps == theirs.summary.numIter
+        assert ours.cost == pytest.approx(theirs.summary.trainingCost)
+        told = {tuple(r.vec): r.prediction for r in ours.assign(rows, "vec").collect()}
+        assert told == {tuple(r.vec): r.prediction for r in theirs.transform(rows).collect()}
