@@ -34,6 +34,8 @@ MIN_HESSIAN = 1e-3
 _BYTES_PER_TASK = 5e8
 # Values (rows times columns) that a task bins.
 _BINNED_PER_TASK = 2e6
+# Rows from which sums go column by column; fewer rows of many columns are summed at once.
+_ROWS_BY_COLUMN = 4096
 # Rows scored together, times trees.
 _SCORED_AT_ONCE = 1 << 19
 _MODEL_SCHEMA = "fit int, init double, tree int, leaf array<int>, column array<int>, threshold array<double>, value array<double>"
@@ -136,9 +138,17 @@ def draw(key: np.ndarray, seed: int, tree: int) -> np.ndarray:
 
 
 def _lowest(numbers: np.ndarray, share: float) -> np.ndarray:
-    """Places of the lowest share of some numbers, at least one, in order."""
+    """Places of the lowest share of some numbers, at least one, in order.
+
+    Of equal numbers the first ones count.
+    """
     n = min(len(numbers), max(1, math.floor(share * len(numbers) + 0.5)))
-    return np.sort(np.argsort(numbers, kind="stable")[:n])
+    if not n:
+        return np.empty(0, np.int64)
+    most = np.partition(numbers, n - 1)[n - 1]
+    taken = numbers < most
+    taken[np.flatnonzero(numbers == most)[: n - np.count_nonzero(taken)]] = True
+    return np.flatnonzero(taken)
 
 
 @dataclass
@@ -175,12 +185,21 @@ class Growth:
         self.rounds, self.rate = boosting_rounds(params)
         self.bins = 1 + max((len(e) for e in edges), default=0)
 
-    def _sums(self, rows: np.ndarray, chosen: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        flat = self.codes[np.ix_(chosen, rows)] + (np.arange(len(chosen)) * self.bins)[:, None]
-        flat, size = flat.reshape(-1), len(chosen) * self.bins
-        weigh = lambda w: np.bincount(flat, weights=np.tile(w[rows], len(chosen)), minlength=size)
+    def _sums(self, codes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """First and second derivatives and counts by column and bin; ``codes`` has a row a column."""
+        if codes.shape[1] >= _ROWS_BY_COLUMN:
+            out = np.empty((3, len(codes), self.bins))
+            for c, own in enumerate(codes):
+                at = own.astype(np.intp)
+                out[0, c] = np.bincount(at, first, self.bins)
+                out[1, c] = np.bincount(at, second, self.bins)
+                out[2, c] = np.bincount(at, minlength=self.bins)
+            return out
+        flat = (codes + (np.arange(len(codes)) * self.bins)[:, None]).reshape(-1)
+        size = len(codes) * self.bins
+        weigh = lambda w: np.bincount(flat, weights=np.tile(w, len(codes)), minlength=size)
         counts = np.bincount(flat, minlength=size)
-        return np.array([weigh(first), weigh(second), counts]).reshape(3, len(chosen), self.bins)
+        return np.array([weigh(first), weigh(second), counts]).reshape(3, len(codes), self.bins)
 
     def _best(self, leaf: _Leaf, chosen: np.ndarray) -> tuple:
         """(gain, -column, edge, number among the chosen) of the best split of a leaf."""
@@ -202,13 +221,17 @@ class Growth:
         trees = self.params.trees
         p = 1 / (1 + np.exp(-score))
         first, second = p - self.y, p * (1 - p)
-        bag = np.zeros(len(self.y), dtype=bool)
-        bag[_lowest(draw(self.key, trees.seed, tree), trees.row_sample)] = True
+        # What the sums need of the sampled rows and columns is gathered once a tree.
+        bag = _lowest(draw(self.key, trees.seed, tree), trees.row_sample)
+        first, second = first[bag], second[bag]
         every = np.arange(self.n_features, dtype=np.uint64)
         sampled = _lowest(draw(every, trees.seed + 1, tree), trees.column_sample)
         chosen = np.flatnonzero(np.isin(self.columns, sampled))
+        codes = np.empty((len(chosen), len(bag)), dtype=self.codes.dtype)
+        for i, c in enumerate(chosen):
+            self.codes[c].take(bag, out=codes[i], mode="clip")
         at = np.zeros(len(self.y), dtype=np.int8)
-        leaves = [_Leaf(self._sums(np.flatnonzero(bag), chosen, first, second))]
+        leaves = [_Leaf(self._sums(codes, first, second))]
         fresh = [0]
         parents, columns, thresholds = [], [], []
         for k in range(trees.num_leaves - 1):
@@ -238,9 +261,11 @@ class Growth:
             columns.append(leaf.column)
             thresholds.append(threshold)
             # The smaller side is summed up, the other is what is left.
-            sides = (at == split) & bag, right & bag
-            small = int(sides[1].sum() < sides[0].sum())
-            sums = self._sums(np.flatnonzero(sides[small]), chosen, first, second)
+            of_bag = at[bag]
+            sides = np.flatnonzero(of_bag == split), np.flatnonzero(of_bag == k + 1)
+            small = int(len(sides[1]) < len(sides[0]))
+            rows = sides[small]
+            sums = self._sums(codes[:, rows], first[rows], second[rows])
             both = {small: sums, 1 - small: leaf.sums - sums}
             leaves[split] = _Leaf(both[0])
             leaves.append(_Leaf(both[1]))
@@ -250,8 +275,9 @@ class Growth:
         value = np.zeros(trees.num_leaves)
         n = len(parents) + 1
         if n > 1:
+            of_bag = at[bag]
             for i in range(n):
-                rows = bag & (at == i)
+                rows = of_bag == i
                 value[i] = -self.rate * first[rows].sum() / second[rows].sum()
         return parents, columns, thresholds, value, value[at]
 

@@ -146,3 +146,25 @@ def test_scores_do_not_depend_on_batches(spark, monkeypatch):
     np.testing.assert_allclose([got[i] for i in range(len(x))], 1 / (1 + np.exp(-whole)))
     again = trees.from_rows(model.table(spark).collect(), 9)
     np.testing.assert_array_equal(again.raw_scores(x), whole)
+
+
+def test_sums_by_column_equal_those_at_once(monkeypatch):
+    """A large fit sums its rows in another way; trees and samples are the same."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = rng.normal(size=(n, 6)).round(1)
+    y = (x[:, 0] + rng.normal(size=n) > 0).astype(float)
+    edges = [trees.bin_edges(c) for c in x.T]
+    codes = np.array([np.searchsorted(e, c) for e, c in zip(edges, x.T)], dtype=np.uint8)
+    params = replace(DEFAULT, trees=TreeParams(min_data_in_leaf=20), boosting=(6, 0.2))
+    key = rng.integers(0, 50, n)
+    grown = []
+    for least in (1, 10**9):
+        monkeypatch.setattr(trees, "_ROWS_BY_COLUMN", least)
+        grown.append(trees.Growth(codes, edges, y, key, np.arange(6), 6, params).run())
+    assert grown[0][0] == grown[1][0]
+    for name in grown[0][1]:
+        np.testing.assert_array_equal(grown[0][1][name], grown[1][1][name])
+    for share in (0.0, 0.35, 1.0):
+        order = np.sort(np.argsort(key, kind="stable")[: max(1, int(share * n + 0.5))])
+        np.testing.assert_array_equal(trees._lowest(key, share), order)
