@@ -626,13 +626,16 @@ def retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
-    """A table arriving as a stream of several files, two to a micro-batch."""
+    """A table arriving as a stream of at least ``files`` files, half of them to a micro-batch.
+
+    A larger table comes in as many files as it has pieces: a task writes and reads one.
+    """
     rows = table(spark, sf_dir, name)
+    files = max(files, rows.rdd.getNumPartitions())
     folder = new_path(spark, "arriving")
     rows.repartition(files).write.parquet(folder)
-    return (
-        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    )
+    at_once = -(-files // 2)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def _toy_score(items: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from gleaner.plans import queries
 from gleaner.operators import labeling, routing
 from gleaner.streaming import progress, scoring
 
@@ -96,3 +97,23 @@ def test_watermark_bounds_the_seen_ids(spark, tmp_path):
         event_time="ts", watermark="1 hour", trigger={"availableNow": True},
     ).awaitTermination()
     assert sorted(r.sample_id for r in scoring.routed_so_far(spark, out, SCHEMA).collect()) == ["a", "b"]
+
+
+def test_a_large_table_arrives_in_as_many_files_as_it_has_pieces(spark, tmp_path, monkeypatch):
+    spark.range(900).repartition(9).write.parquet(str(tmp_path / "events.parquet"))
+    folder = tmp_path / "arriving"
+    monkeypatch.setattr(queries, "new_path", lambda *_: str(folder))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "1k")
+    try:
+        stream = queries._stream(spark, str(tmp_path), "events")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(list(folder.glob("*.parquet"))) >= 9
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda df, _: seen.append(df.count()))
+    query.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert sum(seen) == 900 and len(seen) == 2
