@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import words
 from gleaner.session import staged
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
 
 @dataclass(frozen=True)
 class MixParams:
@@ -51,10 +53,9 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, row: str | None)
         F.col(text).alias("text"),
     )
 
-    def sizes(column: pa.Array) -> list:
-        return [words.split(column, lower=False).counts().astype(np.int64)]
-
-    return staged(words.with_columns(read, "text", {"size": "long"}, sizes, keep=["row", "doc_id", "source"]), "sizes")
+    # Counted in the JVM: no text goes to a Python worker.
+    size = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    return staged(read.select("row", "doc_id", "source", size.alias("size")), "sizes")
 
 
 def targets(sizes: DataFrame, params: MixParams) -> DataFrame:

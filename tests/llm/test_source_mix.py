@@ -78,3 +78,16 @@ def test_empty_table_and_empty_texts(spark, no_docs):
     assert source_mix.mixed_documents(no_docs).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in source_mix.mix(blank)[0].collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_sizes_are_counted_without_python_workers(spark, docs, rows, monkeypatch):
+    awkward = ["a\u00a0b c", "\x1c x\x0by", "\u2003", "\U0001f600 z"]
+    more = spark.createDataFrame([(1000 + i, t, "a") for i, t in enumerate(awkward)], "doc_id long, text string, source string")
+    both = docs.select("doc_id", "text", "source").unionByName(more)
+
+    def refused(*_):
+        raise AssertionError("texts went to Python workers")
+
+    monkeypatch.setattr(type(both), "mapInArrow", refused)
+    got = source_mix.sized(both, "doc_id", "text", "source", None).collect()
+    assert sorted(r["size"] for r in got) == sorted(n_words(t) for t in [*(r[1] for r in rows), *awkward])
