@@ -264,12 +264,20 @@ class Clustering:
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The number of the nearest centre of every row, the lowest of equally near ones."""
-    half = (centres**2).sum(1) / 2
+    """The number of the nearest centre of every row, the lowest of equally near ones.
+
+    Half the squared length of a centre is one more column of the product, which is written
+    into the same few megabytes again and again.
+    """
+    weights = np.ascontiguousarray(np.c_[-centres, (centres**2).sum(1) / 2].T)
+    rows = np.c_[x, np.ones(len(x))]
     out = np.empty(len(x), dtype=np.int64)
-    step = max(1, _MATRIX_CELLS // (8 * len(centres)))
+    step = max(1, _MATRIX_CELLS // (16 * len(centres)))
+    held = np.empty((min(step, len(x)), len(centres)))
     for start in range(0, len(x), step):
-        out[start : start + step] = (half - x[start : start + step] @ centres.T).argmin(axis=1)
+        part = rows[start : start + step]
+        near = np.matmul(part, weights, out=held[: len(part)])
+        out[start : start + step] = near.argmin(axis=1)
     return out
 
 
