@@ -13,6 +13,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -37,6 +38,10 @@ _PRODUCTS_PER_TASK = 2e7
 _SUMS_COLLECTED = 64
 # Squared movement of a centre below which it is at rest: that of Spark's k-means.
 _AT_REST = 1e-4**2
+# Products of a task from which a step of k-means builds on the one before: half a second's.
+_PRODUCTS_CARRIED = 4e9
+# Steps of k-means after which every row is compared with all centres again.
+_COMPARED_ANEW = 20
 
 
 def nearest(x: np.ndarray, templates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,12 +286,97 @@ def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _two_closest(x: np.ndarray, centres: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_closest``, and a distance that no other centre of the row is within.
+
+    ``slack`` bounds the rounding error of a squared distance.
+    """
+    weights = np.ascontiguousarray(np.c_[-centres, (centres**2).sum(1) / 2].T)
+    rows = np.c_[x, np.ones(len(x))]
+    near = np.empty(len(x), dtype=np.int64)
+    others = np.empty(len(x))
+    step = max(1, _MATRIX_CELLS // (16 * len(centres)))
+    held = np.empty((min(step, len(x)), len(centres)))
+    for start in range(0, len(x), step):
+        part = rows[start : start + step]
+        half = np.matmul(part, weights, out=held[: len(part)])
+        at = half.argmin(axis=1)
+        half[np.arange(len(part)), at] = np.inf
+        near[start : start + step] = at
+        others[start : start + step] = half.min(axis=1)
+    return near, np.sqrt(np.maximum(2 * others + (x**2).sum(1) - slack, 0.0))
+
+
+def _after_moves(
+    x: np.ndarray, near: np.ndarray, beyond: np.ndarray, centres: np.ndarray, moves: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centres once the centres have moved, and the distance the others are beyond.
+
+    ``near`` and ``beyond`` are those from before, ``moves`` how far each centre went. By the
+    triangle inequality a centre that went less than ``rest`` is at most so much nearer. The
+    few that went farther are compared with every row; a row that this does not settle is
+    compared with all centres. How many count as far is chosen by the work that it leaves.
+    """
+    k, n = len(centres), len(x)
+    length = (x**2).sum(1)
+    slack = 1e-13 * (length.max() + (centres**2).sum(1).max())
+    own = ((x - centres[near]) ** 2).sum(1)
+    low, high = np.sqrt(np.maximum(own - slack, 0.0)), np.sqrt(own + slack)
+    by_move = np.argsort(-moves, kind="stable")
+    moved = np.count_nonzero(moves)
+    least, far, rest = 1.2 * k * n, -1, 0.0
+    for tried in (0, *(k >> i for i in range(8, 0, -1)), moved):
+        if tried > moved:
+            continue
+        most = moves[by_move[tried]] if tried < k else 0.0
+        work = tried * n + 1.2 * k * (n - np.count_nonzero(high < beyond - most))
+        if work < least:
+            least, far, rest = work, tried, most
+    if far < 0:
+        return _two_closest(x, centres, slack)
+    near, beyond = near.copy(), beyond - rest - np.sqrt(slack) * 1e-3
+    clear = np.ones(n, dtype=bool)
+    if far:
+        tested = np.sort(by_move[:far])
+        place = np.full(k, -1)
+        place[tested] = np.arange(far)
+        weights = np.ascontiguousarray(np.c_[-centres[tested], (centres[tested] ** 2).sum(1) / 2].T)
+        rows = np.c_[x, np.ones(n)]
+        step = max(1, _MATRIX_CELLS // (16 * far))
+        held = np.empty((min(step, n), far))
+        for start in range(0, n, step):
+            part = slice(start, start + step)
+            half = np.matmul(rows[part], weights, out=held[: len(rows[part])])
+            here = np.arange(len(half))
+            of_own = place[near[part]]
+            half[here[of_own >= 0], of_own[of_own >= 0]] = np.inf
+            at = half.argmin(axis=1)
+            best = 2 * half[here, at] + length[part]
+            half[here, at] = np.inf
+            second = 2 * half.min(axis=1) + length[part]
+            best_low, best_high = np.sqrt(np.maximum(best - slack, 0.0)), np.sqrt(np.maximum(best, 0.0) + slack)
+            stays, goes = high[part] < best_low, best_high < low[part]
+            clear[part] = stays | goes
+            second_low = np.sqrt(np.maximum(second - slack, 0.0))
+            others = np.where(goes, np.minimum(low[part], second_low), best_low)
+            beyond[part] = np.minimum(beyond[part], others)
+            near[part] = np.where(goes, tested[at], near[part])
+            high[part] = np.where(goes, best_high, high[part])
+    open_rows = np.flatnonzero(~(clear & (high < beyond)))
+    if len(open_rows):
+        near[open_rows], beyond[open_rows] = _two_closest(x[open_rows], centres, slack)
+    return near, beyond
+
+
 def cluster(rows: DataFrame, vec: str, k: int, seed: int, max_iter: int) -> Clustering:
     """Lloyd's k-means over all rows of a vector column, from the start of Spark's k-means.
 
     Spark draws the first centres (k-means||). The steps are its own too, as are the rule for
     coming to rest and the cost, but tasks multiply whole blocks of rows with the centres in
-    numpy. A step sends the centres out and ``k`` sums from each task back.
+    numpy. A step sends the centres out and ``k`` sums from each task back. Where a task has many
+    products, it keeps the nearest centre of each row and how far the others are at least, so
+    a step compares a row only with centres whose moves leave it open; every
+    ``_COMPARED_ANEW`` steps all are compared, which also bounds what a lost block costs.
     """
     started = KMeans(k=k, seed=seed, featuresCol=vec, maxIter=0).fit(rows)
     centres = np.array(started.clusterCenters(), dtype=float)
@@ -301,30 +391,62 @@ def cluster(rows: DataFrame, vec: str, k: int, seed: int, max_iter: int) -> Clus
 
     blocks = rows.select(vector_to_array(vec).alias("x")).mapInArrow(pack, "x binary").persist()
     n_parts = blocks.rdd.getNumPartitions()
-    steps, cost, moved = 0, 0.0, True
-    while steps < max_iter and moved:
-        shared = context.broadcast(centres)
+    at_once = min(n_parts, context.defaultParallelism)
+    steps, cost, n, moves = 0, 0.0, 0.0, np.full(k, np.inf)
+    state, sent = None, []
+    while steps < max_iter and (moves**2 > _AT_REST).any():
+        shared = context.broadcast((centres, moves))
 
-        def sums(part: Iterator) -> Iterator[np.ndarray]:
-            here = shared.value
-            out = np.zeros((len(here), width + 2))  # sums, rows and cost of every centre
+        def plainly(part: Iterator) -> Iterator[tuple]:
+            for row in part:
+                yield row["x"], _closest(np.frombuffer(row["x"]).reshape(-1, width), shared.value[0])
+
+        def anew(part: Iterator) -> Iterator[tuple]:
+            here, _ = shared.value
+            top = (here**2).sum(1).max()
             for row in part:
                 x = np.frombuffer(row["x"]).reshape(-1, width)
-                near = _closest(x, here)
+                yield row["x"], *_two_closest(x, here, 1e-13 * ((x**2).sum(1).max() + top))
+
+        def onward(part: Iterator) -> Iterator[tuple]:
+            for block, near, beyond in part:
+                yield block, *_after_moves(np.frombuffer(block).reshape(-1, width), near, beyond, *shared.value)
+
+        def sums(part: Iterator) -> Iterator[np.ndarray]:
+            here, _ = shared.value
+            out = np.zeros((len(here), width + 2))  # sums, rows and cost of every centre
+            for block, near, *_ in part:
+                x = np.frombuffer(block).reshape(-1, width)
                 out[:, width] += np.bincount(near, minlength=len(here))
                 out[:, width + 1] += np.bincount(near, ((x - here[near]) ** 2).sum(1), len(here))
                 for c in range(width):
                     out[:, c] += np.bincount(near, x[:, c], len(here))
             yield out
 
-        found = blocks.rdd.mapPartitions(sums)
+        before, fresh = state, state is None or steps % _COMPARED_ANEW == 0
+        # The first step counts the rows.
+        if steps and n * k * width >= _PRODUCTS_CARRIED * at_once:
+            state = blocks.rdd.mapPartitions(anew) if fresh else before.mapPartitions(onward)
+            found = state.persist(StorageLevel.MEMORY_AND_DISK).mapPartitions(sums)
+        else:
+            found = blocks.rdd.mapPartitions(lambda part, nearest=plainly, add_up=sums: add_up(nearest(part)))
         total = found.reduce(add) if n_parts <= _SUMS_COLLECTED else found.treeReduce(add)
-        shared.destroy()
+        if before is not None:
+            before.unpersist()
+        # A lost block is made again by the steps since its rows were compared with all centres.
+        for old in sent if fresh else ():
+            old.destroy()
+        sent = [shared] if fresh else [*sent, shared]
+        n = total[:, width].sum()
         used = total[:, width] > 0
         new = centres.copy()
         new[used] = total[used, :width] / total[used, width, None]
-        moved = bool((((new - centres) ** 2).sum(1) > _AT_REST).any())
+        moves = np.sqrt(((new - centres) ** 2).sum(1))
         centres, cost, steps = new, float(total[:, width + 1].sum()), steps + 1
+    if state is not None:
+        state.unpersist()
+    for old in sent:
+        old.destroy()
     blocks.unpersist()
     return Clustering(centres, steps, cost)
 

@@ -307,3 +307,53 @@ def test_kmeans_equals_that_of_spark(spark):
         assert ours.cost == pytest.approx(theirs.summary.trainingCost)
         told = {tuple(r.vec): r.prediction for r in ours.assign(rows, "vec").collect()}
         assert told == {tuple(r.vec): r.prediction for r in theirs.transform(rows).collect()}
+
+
+def test_rows_at_rest_are_not_compared_with_all_centres(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 6)) + 3 * rng.integers(0, 4, size=(4000, 1))
+    x[:50] = x[50:100]  # rows that occur twice
+    centres, moves, state, compared = x[:200].copy(), None, None, []
+    full = knn._two_closest
+
+    def counted(rows, *rest):
+        compared.append(len(rows))
+        return full(rows, *rest)
+
+    monkeypatch.setattr(knn, "_two_closest", counted)
+    for step in range(60):
+        if state is None:
+            state = knn._two_closest(x, centres, 1e-12)
+        else:
+            state = knn._after_moves(x, *state, centres, moves)
+        near, beyond = state
+        assert (near == knn._closest(x, centres)).all()
+        d = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(2))
+        d[np.arange(len(x)), near] = np.inf
+        assert (beyond <= d.min(axis=1) + 1e-9).all()
+        n = np.bincount(near, minlength=200)
+        new = np.stack([np.bincount(near, x[:, c], 200) for c in range(6)], 1) / np.maximum(n, 1)[:, None]
+        new[n == 0] = centres[n == 0]
+        moves, centres = np.sqrt(((new - centres) ** 2).sum(1)), new
+    assert sum(compared) < 0.5 * 60 * len(x)
+    assert sum(compared[-5:]) < len(x)
+
+
+def test_kmeans_of_many_steps_is_lloyd(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 3))
+    rows = spark.createDataFrame(pd.DataFrame({"vec": list(x)}), "vec array<double>").repartition(3)
+    rows = rows.select(array_to_vector("vec").alias("z")).persist()
+    centres = np.array(KMeans(k=12, seed=5, featuresCol="z", maxIter=0).fit(rows).clusterCenters())
+    steps, moved = 0, True
+    while moved and steps < 70:
+        near = knn._closest(x, centres)
+        new = np.array([x[near == i].mean(0) for i in range(12)])
+        moved = (((new - centres) ** 2).sum(1) > 1e-8).any()
+        centres, steps = new, steps + 1
+    assert steps > 2 * knn._COMPARED_ANEW
+    for carried in (0, 1e18):
+        monkeypatch.setattr(knn, "_PRODUCTS_CARRIED", carried)
+        ours = knn.cluster(rows, "z", 12, 5, 70)
+        assert ours.steps == steps
+        np.testing.assert_allclose(ours.centres, centres, atol=1e-9)
