@@ -193,3 +193,39 @@ def test_frequent_words_are_exact_where_no_part_has_them_first(spark):
     docs = spark.createDataFrame([(p, True) for p in parts], "text string, learn boolean").repartitionByRange(2, "text")
     found = pitman_yor._frequent_words(docs, PitmanYorParams(frequent_words=1))
     assert found.tolist() == pitman_yor.word_hashes(pa.array([b"both"])).tolist()
+
+
+def test_rare_pairs_stay_in_their_context():
+    """Of many characters, those of a context that is seen once teach that context."""
+    text = pa.array([b"q" + bytes([65 + i % 26, 65 + i // 26 % 26]) for i in range(676)] + [b"xyz"], pa.binary())
+    params = PitmanYorParams(order=2)
+    context, symbol, length, word = pitman_yor._spelled(text, params.order)
+    customers = np.where(word == 676, 1, 100_000)
+    keys, index = np.unique((context << 9) | symbol, return_inverse=True)
+    first = np.unique((context << 9) | symbol, return_index=True)[1]
+    model = pitman_yor.seat_spelling(keys, length[first], np.bincount(index, weights=customers).astype(int), params, 1)
+    assert customers.sum() > 5_000_000
+    for n in range(1, params.order + 1):
+        own = np.unique(np.concatenate([((context[length >= n] & ((1 << 9 * n) - 1)) << 9) | symbol[length >= n]]))
+        assert model.pairs[n].tolist() == own.tolist()
+    z = ord("x") << 9 | ord("y")
+    assert model.probability(np.array([z]), np.array([ord("z")]), np.array([2]))[0] > 0.05
+
+
+def test_spelling_seated_in_one_place_or_in_tasks_agree(docs, monkeypatch):
+    marked = docs.select("doc_id", "text", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)).alias("learn"))
+    params = PitmanYorParams(**{**vars(SMALL), "order": 5})
+    monkeypatch.setattr(pitman_yor, "_PART_WORDS", 40)
+    monkeypatch.setattr(pitman_yor, "_SHELF_PAIRS", 50)
+    found = []
+    for limit in (10**9, 0):
+        monkeypatch.setattr(pitman_yor, "_COLLECTED_PAIRS", limit)
+        model = pitman_yor.fit(marked, params)
+        found.append((model, {r.word_hash: r for r in model.values.collect()}))
+    (one, together), (other, apart) = found
+    assert together.keys() == apart.keys() and len(together) > 50
+    assert np.allclose(one.rest, other.rest, rtol=1e-5)
+    for key, r in together.items():
+        assert (r.n, r.c, r.contexts) == (apart[key].n, apart[key].c, apart[key].contexts)
+        assert abs(r.log_p0 - apart[key].log_p0) < 1e-4 * abs(r.log_p0)
+        assert np.allclose(r.masses, apart[key].masses, rtol=1e-5)
