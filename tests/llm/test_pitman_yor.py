@@ -229,3 +229,28 @@ def test_spelling_seated_in_one_place_or_in_tasks_agree(docs, monkeypatch):
         assert (r.n, r.c, r.contexts) == (apart[key].n, apart[key].c, apart[key].contexts)
         assert abs(r.log_p0 - apart[key].log_p0) < 1e-4 * abs(r.log_p0)
         assert np.allclose(r.masses, apart[key].masses, rtol=1e-5)
+
+
+def test_dishes_of_many_customers_count_in_the_likelihood():
+    """Against every restaurant's seating weighed exactly, with 400 customers at one dish."""
+    context, customers, tables = np.array([0, 0, 1]), np.array([400, 3, 5]), np.array([60, 1, 2])
+    found = pitman_yor._odds(context, customers, tables, PitmanYorParams())
+    expected = []
+    for d in PitmanYorParams.discounts:
+        row = np.array([1.0])
+        scale, kept = 0.0, {}
+        for c in range(400):
+            t = np.arange(len(row))
+            row = np.append(row * (c - d * t), 0.0) + np.append(0.0, row)
+            row[0] = 0.0
+            scale += math.log(row.sum())
+            row /= row.sum()
+            kept[c + 1] = np.log(np.maximum(row, 1e-300)) + scale
+        log_s = sum(kept[c][t] for c, t in zip(customers, tables, strict=True))
+        for s in PitmanYorParams.strengths:
+            whole = log_s
+            for c, t in ((403, 61), (5, 2)):
+                whole += sum(math.log(s + d * i) for i in range(t)) - sum(math.log(s + i) for i in range(c))
+            expected.append(whole)
+    assert np.allclose(found, expected, atol=0.1)
+    assert np.ptp(expected) > 10
